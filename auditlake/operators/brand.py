@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from auditlake.functions import text as X, urls as U
-from auditlake.functions.binding import let
+from auditlake.functions.binding import let, unpack
 
 # Display names.
 PROVIDER_LABELS = {
@@ -60,7 +60,8 @@ def with_mentions(responses: DataFrame, brands: list[Brand]) -> DataFrame:
 
 
 def brand_mentions(analyses: DataFrame) -> DataFrame:
-    return analyses.select("resp_id", "provider", "intent", F.explode("mentions").alias("m")).select("resp_id", "provider", "intent", "m.*")
+    rows = analyses.select("resp_id", "provider", "intent", "mentions")
+    return unpack(rows, "mentions", "m").select("resp_id", "provider", "intent", "m.*")
 
 
 def brand_stats(analyses: DataFrame, brands: list[Brand], grouping_sets: list[list[str]]) -> DataFrame:
@@ -160,4 +161,5 @@ def parse_battery(replies: DataFrame, intents: list[str], per_intent: int) -> Da
         "doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("intent_no"), F.lit(n).alias("intent")) for i, n in enumerate(intents)])).alias("i"), "battery"
     )
     texts = F.slice(F.try_element_at("battery", F.col("i.intent")), 1, per_intent)
-    return rows.select("doc_id", "i.intent_no", "i.intent", F.posexplode(texts).alias("pos", "text")).withColumn("text", F.trim("text")).where("text <> ''")
+    listed = rows.select("doc_id", "i.intent_no", "i.intent", texts.alias("texts"))
+    return unpack(listed, "texts", "text", "pos").drop("texts").withColumn("text", F.trim("text")).where("text <> ''")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from auditlake.functions.binding import unpack
 from auditlake.operators.shuffle import salted_join
 
 CHECKED_PER_PAGE = 25  # fixed value: images looked at per page
@@ -15,7 +16,7 @@ def broken_images(pages: DataFrame, assets: DataFrame) -> DataFrame:
     ``assets``: src, status (NULL when there was no response).  A logo may be on every page, so the asset join
     spreads hot addresses; an image without a log row was not requested and is not broken.
     """
-    images = pages.select("page_id", F.posexplode(F.slice("image_srcs", 1, CHECKED_PER_PAGE)).alias("pos", "src"))
+    images = unpack(pages.select("page_id", "image_srcs"), F.slice("image_srcs", 1, CHECKED_PER_PAGE), "src", "pos").drop("image_srcs")
     bad = assets.where("status IS NULL OR status >= 400").select("src", F.lit(True).alias("bad"))
     hits = salted_join(images, bad, ["src"], F.col("page_id"), "inner")
     # at most CHECKED_PER_PAGE per page

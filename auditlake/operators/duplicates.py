@@ -19,11 +19,15 @@ def duplicate_groups(pages: DataFrame, key: str) -> DataFrame:
     return salted_join(usable, group_sizes(pages, key), ["site", key], F.col("page_id"), "inner")
 
 
-def with_duplicate_counts(pages: DataFrame) -> DataFrame:
-    """Adds ``same_content``, ``same_title``, ``same_meta``: pages sharing the value, the page itself included."""
+def with_duplicate_counts(pages: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Adds ``same_content``, ``same_title``, ``same_meta``: pages sharing the value, the page itself included.
+
+    ``stored`` is the fact table behind ``pages``: counts are taken from it.
+    """
+    stored = pages if stored is None else stored
     out = pages
     for key, name in (("content_hash", "same_content"), ("title", "same_title"), ("meta_description", "same_meta")):
-        sizes = group_sizes(pages, key).withColumnRenamed("group_size", name)
-        out = salted_join(out, sizes, ["site", key], F.col("page_id"))
+        sizes = group_sizes(stored, key).withColumnRenamed("group_size", name)
+        out = salted_join(out, sizes, ["site", key], F.col("page_id"), counted=stored)
         out = out.withColumn(name, F.when(F.col("status") == 200, F.coalesce(name, F.lit(1))).otherwise(F.lit(1)).cast("long"))
     return out

@@ -10,6 +10,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditlake.functions import html as H, text as X, urls as U
+from auditlake.functions.binding import unpack
 
 
 
@@ -99,12 +100,19 @@ def is_indexable() -> Column:
 
 def page_links(facts: DataFrame) -> DataFrame:
     """Edge table in document order."""
-    return facts.select(
-        "page_id", "site", F.col("final_url").alias("source"), "depth", F.posexplode("outlinks").alias("link_pos", "link")
-    ).select(
+    edges = facts.select("page_id", "site", F.col("final_url").alias("source"), "depth", "outlinks")
+    return unpack(edges, "outlinks", "link", "link_pos").select(
         "page_id", "site", "source", "depth", "link_pos",
         F.col("link.target").alias("target"),
         F.col("link.anchor_text").alias("anchor_text"),
         F.col("link.rel").alias("rel"),
         U.is_same_site(F.col("source"), F.col("link.target"), True).alias("is_internal"),
     )
+
+
+def parsed_anchors(fetches: DataFrame) -> DataFrame:
+    """href of every ``<a>`` element with the base it resolves against."""
+    usable = is_html(F.col("status"), F.col("content_type"), F.col("html"))
+    doc = H.markup(F.when(usable, F.col("html")).otherwise(F.lit("")))
+    hrefs = F.transform(H.elements(F.col("doc"), "a"), lambda a: H.attr(H.start_tag(a), "href"))
+    return fetches.withColumn("doc", doc).select("page_id", U.base_parts(F.col("final_url")).alias("base"), hrefs.alias("hrefs"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from auditlake.functions import text as X
+from auditlake.functions.binding import unpack
 
 _CONTENT_FIELDS = f"transform(fields, f -> struct(filter(f.words, w -> {X.IS_CONTENT_WORD}) AS words, f.weight AS weight))"
 # Term order inside one field: all words first, then all pairs.  The sequence number breaks score ties.
@@ -78,7 +79,7 @@ def site_keywords(pages: DataFrame, limit: int = 6) -> DataFrame:
     ``pages`` carries ``keywords`` plus the text fields.  Ties keep first-seen order (page, then position).
     """
     counts = (
-        pages.select("site", "page_id", F.posexplode("keywords").alias("pos", "keyword"))
+        unpack(pages.select("site", "page_id", "keywords"), "keywords", "keyword", "pos")
         .groupBy("site", "keyword")
         .agg(F.count("*").alias("pages"), F.min(F.struct("page_id", "pos")).alias("first_seen"))
     )
@@ -90,7 +91,7 @@ def site_keywords(pages: DataFrame, limit: int = 6) -> DataFrame:
         F.min(F.struct((F.col("depth") != 0).alias("deeper"), "page_id", "title", "h1", "meta_description")).alias("home"),
     ).where("most = 0")
     bare = home.select("site", "home.title", "home.h1", "home.meta_description", F.lit("").alias("text"))
-    fallback = top_keywords(bare, limit).select("site", F.posexplode("keywords").alias("pos", "keyword")).select(
+    fallback = unpack(top_keywords(bare, limit).select("site", "keywords"), "keywords", "keyword", "pos").select(
         "site", (F.col("pos") + 1).alias("rank"), "keyword", F.lit(0).cast("long").alias("pages")
     )
     return top.unionByName(fallback)

@@ -109,10 +109,10 @@ def verdict(decision_rules: Column, path: Column) -> Column:
     return F.coalesce(F.get(hits, F.lit(0)).allow, F.lit(True))
 
 
-def robots_allowed(pages: DataFrame, docs: DataFrame, user_agent: str) -> DataFrame:
+def robots_allowed(pages: DataFrame, docs: DataFrame, user_agent: str, stored: DataFrame | None = None) -> DataFrame:
     """Adds ``is_allowed`` for one crawler; a site without a file allows everything."""
     decisions = group_for_bot(robots_rules(docs), F.lit(user_agent)).select("site", F.col("decision.rules").alias("_rules"))
-    joined = salted_join(pages, decisions, ["site"], F.col("page_id"))
+    joined = salted_join(pages, decisions, ["site"], F.col("page_id"), counted=stored)
     return joined.withColumn("is_allowed", verdict(F.col("_rules"), robots_path(F.col("url")))).drop("_rules")
 
 

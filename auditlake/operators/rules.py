@@ -9,6 +9,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditlake.functions import text as X, urls as U
+from auditlake.functions.binding import unpack
 from auditlake.operators.facts import is_indexable
 
 # Severity weights and order, categories in display order.
@@ -209,6 +210,6 @@ def collect_page_issues(pages: DataFrame, extra_rules: list[Rule] | None = None)
 
 def issue_rows(audited: DataFrame) -> DataFrame:
     """One row per finding, with the sequence numbers that keep first-seen order."""
-    return audited.select("page_id", "site", "url", F.posexplode("issues").alias("issue_seq", "issue")).select(
+    return unpack(audited.select("page_id", "site", "url", "issues"), "issues", "issue", "issue_seq").select(
         "page_id", "site", "url", "issue_seq", "issue.*"
     )

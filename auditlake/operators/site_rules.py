@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditlake.functions import text as X, urls as U
+from auditlake.functions.binding import unpack
 from auditlake.operators.aggregates import url_consistency
 from auditlake.operators.robots import AI_BOTS, declared_sitemaps, group_for_bot, robots_rules, verdict
 from auditlake.operators.rules import EXPIRY_DAYS
@@ -103,7 +104,7 @@ def site_issues(inputs: DataFrame) -> DataFrame:
                            "solo-TLS 1.3); las páginas se descargaron a través del navegador Chromium integrado.")),
         )
     )
-    return inputs.select("site", F.posexplode(findings).alias("issue_seq", "i")).select("site", "issue_seq", "i.*")
+    return unpack(inputs.select("site", findings.alias("found")), "found", "i", "issue_seq").select("site", "issue_seq", "i.*")
 
 
 def site_infrastructure(sites: DataFrame, issues: DataFrame, listed: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from auditlake.functions import html as H, urls as U
+from auditlake.functions.binding import unpack
 from auditlake.operators.shuffle import cut_lineage, salted_join
 
 MAX_DOCUMENTS = 20  # fixed value: sitemap files read per site
@@ -52,8 +53,9 @@ def expand_sitemaps(docs: DataFrame, starts: DataFrame, max_documents: int = MAX
     children = (
         parse_sitemaps(docs.where("status = 200"))
         .where("is_index")
-        .select("site", F.col("sitemap_url").alias("parent"), F.posexplode("locs").alias("child_pos", "sitemap_url"))
+        .select("site", F.col("sitemap_url").alias("parent"), "locs")
     )
+    children = unpack(children, "locs", "sitemap_url", "child_pos").drop("locs")
     queue = starts.select("site", F.lit(0).alias("parent_no"), F.col("pos").alias("child_pos"), "sitemap_url")
     visited = None
     for _ in range(max_documents):
@@ -80,12 +82,11 @@ def expand_sitemaps(docs: DataFrame, starts: DataFrame, max_documents: int = MAX
 def sitemap_urls(docs: DataFrame, visited: DataFrame) -> DataFrame:
     """Addresses collected from the visited urlset files, in reading order."""
     files = parse_sitemaps(docs.where("status = 200")).where("NOT is_index")
-    return visited.join(files, ["site", "sitemap_url"]).select(
-        "site", "visit_no", "sitemap_url", F.posexplode("locs").alias("loc_pos", "loc")
-    )
+    entries = visited.join(files, ["site", "sitemap_url"]).select("site", "visit_no", "sitemap_url", "locs")
+    return unpack(entries, "locs", "loc", "loc_pos").drop("locs")
 
 
-def with_membership(pages: DataFrame, listed: DataFrame) -> DataFrame:
+def with_membership(pages: DataFrame, listed: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Adds ``in_sitemap`` (by requested or final address) and ``site_has_sitemap``."""
     members = listed.select("site", U.strip_fragment(F.col("loc")).alias("loc")).distinct()
     address = F.when(F.col("final_url") == "", F.col("url")).otherwise(F.col("final_url"))
@@ -93,7 +94,7 @@ def with_membership(pages: DataFrame, listed: DataFrame) -> DataFrame:
     by_final = members.select("site", F.col("loc").alias("_address"), F.lit(True).alias("_by_final"))
     sites = members.groupBy("site").agg(F.lit(True).alias("_has"))
     joined = pages.withColumn("_address", address).join(by_url, ["site", "url"], "left").join(by_final, ["site", "_address"], "left")
-    joined = salted_join(joined, sites, ["site"], F.col("page_id"))
+    joined = salted_join(joined, sites, ["site"], F.col("page_id"), counted=stored)
     no = F.lit(False)
     return joined.withColumns(
         {

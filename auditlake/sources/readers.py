@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from auditlake.functions import html as H, text as X, urls as U
+from auditlake.functions.binding import unpack
 
 SNAPSHOT_SCHEMA = (
     "seed_url string, timestamp double, pages map<string,array<string>>, status_by_url map<string,int>, "
@@ -97,7 +98,7 @@ def feed_items(docs: DataFrame, limit: int = 15) -> DataFrame:
         ),
     )
     kept = F.filter(parsed, lambda i: (i.title != "") & (i.link != "") & X.is_relevant(i.title))
-    return docs.select("doc_id", F.posexplode(F.slice(kept, 1, limit)).alias("pos", "item")).select("doc_id", "pos", "item.*")
+    return unpack(docs.select("doc_id", F.slice(kept, 1, limit).alias("items")), "items", "item", "pos").select("doc_id", "pos", "item.*")
 
 
 def speed_metrics(payloads: DataFrame) -> DataFrame:

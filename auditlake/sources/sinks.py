@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from auditlake.functions import text as X
+from auditlake.functions.binding import unpack
 from auditlake.operators.facts import is_indexable
 
 REPORT_URLS = 40  # fixed value: addresses listed per finding in an area report
@@ -40,7 +41,7 @@ def page_export(pages: DataFrame) -> DataFrame:
 
 
 def issue_export(pages: DataFrame) -> DataFrame:
-    return pages.select(F.col("url").alias("URL"), F.explode("issues").alias("i")).select(
+    return unpack(pages.select(F.col("url").alias("URL"), "issues"), "issues", "i").select(
         "URL",
         F.col("i.category").alias("Category"), F.col("i.severity").alias("Severity"),
         F.col("i.code").alias("Code"), F.col("i.message").alias("Message"),

@@ -60,7 +60,7 @@ FROM (
   FROM (
     SELECT page_id, html, regexp_replace(url, '#.*$', '') AS url,
       regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www[.]', '') AS site,
-      CASE WHEN page_id % 29 = 0 THEN NULL WHEN page_id % 13 = 0 THEN 404 WHEN page_id % 17 = 0 THEN 503 WHEN page_id % 19 = 0 THEN 403 ELSE 200 END AS status,
+      cast(CASE WHEN page_id % 29 = 0 THEN NULL WHEN page_id % 13 = 0 THEN 404 WHEN page_id % 17 = 0 THEN 503 WHEN page_id % 19 = 0 THEN 403 ELSE 200 END AS bigint) AS status,
       CASE WHEN page_id % 29 <> 0 THEN ''
            WHEN page_id % 145 = 0 THEN 'net::ERR_NAME_NOT_RESOLVED' WHEN page_id % 145 = 29 THEN 'Read timed out'
            WHEN page_id % 145 = 58 THEN 'Connection refused' WHEN page_id % 145 = 87 THEN 'certificate verify failed' ELSE 'weird' END AS error,
@@ -151,6 +151,12 @@ FROM {lineitem} CROSS JOIN (SELECT count(*) AS n FROM {part}) c
 """,
 )
 
+# Addresses the user marked as important.
+DERIVED["priority_list"] = (
+    ("fetch_rows",),
+    "SELECT DISTINCT url FROM {fetch_rows} WHERE url LIKE '%/en/%' AND url LIKE '%utm_source%'",
+)
+
 # Certificates: one per site, spread around the reference date; every seventh one is unreadable or refused.
 DERIVED["certificates"] = (
     ("site_list",),

@@ -91,8 +91,8 @@ def _notices(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 
 
 def backoff_notices(log: DataFrame) -> DataFrame:
-    """At most one notice per host and three seconds.  Rows are first reduced to distinct seconds per host, so a
-    hot host costs one row per second, not one per request."""
+    """At most one notice per host and three seconds.  Only the throttled rows' times reach Python, a micro-batch
+    at a time."""
     seconds = throttle_events(log).select("host", F.col("unix_ts").cast("double").alias("unix_ts"))
     return seconds.groupBy("host").applyInPandasWithState(
         _notices, "host string, notified_at double", "last double", "append", GroupStateTimeout.NoTimeout
