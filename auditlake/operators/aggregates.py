@@ -106,10 +106,15 @@ def top_offenders(pages: DataFrame, limit: int = 5) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+def worst_severity() -> Column:
+    """0 critical, 1 warning, 2 info, 3 none: sorts the grid."""
+    return F.coalesce(F.array_min(F.transform("issues", lambda i: order(i.severity))), F.lit(3))
+
+
 def max_severity() -> Column:
     labels = {0: "Crítico", 1: "Advertencia", 2: "Info"}
-    worst = F.array_min(F.transform("issues", lambda i: order(i.severity)))
-    out = F.when(worst.isNull(), F.lit("Sin issues"))
+    worst = worst_severity()
+    out = F.when(worst == 3, F.lit("Sin issues"))
     for level, text in labels.items():
         out = out.when(worst == level, F.lit(text))
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from auditlake.functions import urls as U
@@ -162,27 +164,40 @@ def redirect_chains(starts: DataFrame, hops: DataFrame, max_hops: int = MAX_HOPS
         F.col("from_url").alias("start_url"), F.col("from_url").alias("current"),
         F.array().cast("array<struct<url:string,status:int>>").alias("chain"),
     )
-    finished = None
+    finished = []
+    # a walk that returns to an address it has left repeats that cycle until the limit: unrolled in place, so the
+    # number of rounds is the longest chain without a repetition
+    back = F.array_position(F.transform("chain", lambda h: h.url), F.col("current"))
+    unrolled = F.transform(
+        F.sequence(F.lit(0), F.lit(max_hops - 1)),
+        lambda k: F.when(k < F.size("chain"), F.get("chain", k)).otherwise(
+            F.get("chain", (F.col("back") - 1 + (k - F.col("back") + 1) % (F.size("chain") - F.col("back") + 1)).cast("int"))
+        ),
+    )
     for round_no in range(max_hops + 1):
         stepped = cut_lineage(salted_join(active, one_hop, ["current"], F.col("start_url")))
-        ended = stepped.where("hop IS NULL") if round_no < max_hops else stepped
-        ended = ended.select("start_url", F.col("current").alias("final_url"), "chain", F.lit(round_no == max_hops).alias("too_many"))
-        finished = ended if finished is None else finished.unionByName(ended)
-        if round_no == max_hops:
-            break
-        active = stepped.where("hop IS NOT NULL").select(
+        finished.append(
+            stepped.where("hop IS NULL").select("start_url", F.col("current").alias("final_url"), "chain", F.lit(False).alias("too_many"))
+        )
+        moved = stepped.where("hop IS NOT NULL").select(
             "start_url",
             F.col("hop.to_url").alias("current"),
             F.concat("chain", F.array(F.struct(F.col("current").alias("url"), F.col("hop.status").cast("int").alias("status")))).alias("chain"),
+        ).withColumn("back", back)
+        stuck = (F.col("back") > 0) | (F.size("chain") >= max_hops)
+        full = F.when(F.size("chain") >= max_hops, F.col("chain")).otherwise(unrolled)
+        finished.append(
+            moved.where(stuck).select("start_url", F.lit(None).cast("string").alias("final_url"), full.alias("chain"), F.lit(True).alias("too_many"))
         )
+        active = moved.where(~stuck).drop("back")
         if active.isEmpty():
             break
+    finished = reduce(DataFrame.unionByName, finished)
     urls = F.transform("chain", lambda h: h.url)
     return finished.withColumns(
         {
             "n_hops": F.size("chain"),
             "has_loop": F.size("chain") > F.size(F.array_distinct(urls)),
-            "final_url": F.when(~F.col("too_many"), F.col("final_url")),
         }
     )
 

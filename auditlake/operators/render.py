@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import difflib
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from auditlake.functions import html as H
 
 SIMILARITY = 0.85  # fixed value
 
+# The Python functions below travel inside the job, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _similar(x: str, y: str) -> bool:
     matcher = difflib.SequenceMatcher(None, x, y)

@@ -7,14 +7,19 @@ newest version of each key.  Nothing is rewritten as the table grows and nothing
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditlake.functions import text as X
 
+# The Python functions below travel inside the job, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def write_changes(changes: DataFrame, path: str, checkpoint: str):
     """Starts the job that appends changed rows of a keyed stream (update mode), one partition per batch."""
