@@ -19,15 +19,23 @@ def duplicate_groups(pages: DataFrame, key: str) -> DataFrame:
     return salted_join(usable, group_sizes(pages, key), ["site", key], F.col("page_id"), "inner")
 
 
-def with_duplicate_counts(pages: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Adds ``same_content``, ``same_title``, ``same_meta``: pages sharing the value, the page itself included.
+KEYS = (("content_hash", "same_content"), ("title", "same_title"), ("meta_description", "same_meta"))
 
-    ``stored`` is the fact table behind ``pages``: counts are taken from it.
+
+def duplicate_counts(pages: DataFrame) -> DataFrame:
+    """Per page: how many pages of its site share its content, title and description, itself included.
+
+    The three keys of a page become three narrow rows, so one count, one join and one regrouping serve them all and
+    no wide page row is shuffled.  Only repeated keys are joined back.
     """
-    stored = pages if stored is None else stored
-    out = pages
-    for key, name in (("content_hash", "same_content"), ("title", "same_title"), ("meta_description", "same_meta")):
-        sizes = group_sizes(stored, key).withColumnRenamed("group_size", name)
-        out = salted_join(out, sizes, ["site", key], F.col("page_id"), counted=stored)
-        out = out.withColumn(name, F.when(F.col("status") == 200, F.coalesce(name, F.lit(1))).otherwise(F.lit(1)).cast("long"))
-    return out
+    keys = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(k).alias("key")) for i, (k, _) in enumerate(KEYS)])
+    narrow = pages.where("status = 200").select("page_id", "site", F.explode(keys).alias("k")).select("page_id", "site", "k.*").where("key <> ''")
+    sizes = narrow.groupBy("site", "kind", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = salted_join(narrow, sizes, ["site", "kind", "key"], F.col("page_id"), "inner")
+    return shared.groupBy("page_id").agg(*[F.max(F.when(F.col("kind") == i, F.col("n"))).alias(name) for i, (_, name) in enumerate(KEYS)])
+
+
+def with_duplicate_counts(pages: DataFrame) -> DataFrame:
+    """Adds ``same_content``, ``same_title``, ``same_meta``; 1 where nothing is shared."""
+    counted = pages.join(duplicate_counts(pages), "page_id", "left")
+    return counted.withColumns({name: F.coalesce(name, F.lit(1)).cast("long") for _, name in KEYS})

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from auditlake.functions import html as H, urls as U
 from auditlake.functions.binding import unpack
-from auditlake.operators.shuffle import cut_lineage, salted_join
+from auditlake.operators.shuffle import cut_lineage
 
 MAX_DOCUMENTS = 20  # fixed value: sitemap files read per site
 
@@ -44,17 +44,14 @@ def parse_sitemaps(docs: DataFrame) -> DataFrame:
     )
 
 
-def expand_sitemaps(docs: DataFrame, starts: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+def expand_sitemaps(parsed: DataFrame, starts: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """Reads each site's sitemap files breadth first, every file once, at most ``max_documents`` of them.
 
-    ``docs``: site, sitemap_url, status, xml.  ``starts``: site, pos, sitemap_url.  Returns the files visited with
-    their visit number.  One round per index level; every round adds at least one file per open site.
+    ``parsed``: the stored result of ``parse_sitemaps`` for the files that answered 200; every round reads it.
+    ``starts``: site, pos, sitemap_url.  Returns the files visited with their visit number.  One round per index
+    level; every round adds at least one file per open site.
     """
-    children = (
-        parse_sitemaps(docs.where("status = 200"))
-        .where("is_index")
-        .select("site", F.col("sitemap_url").alias("parent"), "locs")
-    )
+    children = parsed.where("is_index").select("site", F.col("sitemap_url").alias("parent"), "locs")
     children = unpack(children, "locs", "sitemap_url", "child_pos").drop("locs")
     queue = starts.select("site", F.lit(0).alias("parent_no"), F.col("pos").alias("child_pos"), "sitemap_url")
     visited = None
@@ -79,29 +76,26 @@ def expand_sitemaps(docs: DataFrame, starts: DataFrame, max_documents: int = MAX
     return visited
 
 
-def sitemap_urls(docs: DataFrame, visited: DataFrame) -> DataFrame:
+def sitemap_urls(parsed: DataFrame, visited: DataFrame) -> DataFrame:
     """Addresses collected from the visited urlset files, in reading order."""
-    files = parse_sitemaps(docs.where("status = 200")).where("NOT is_index")
+    files = parsed.where("NOT is_index")
     entries = visited.join(files, ["site", "sitemap_url"]).select("site", "visit_no", "sitemap_url", "locs")
     return unpack(entries, "locs", "loc", "loc_pos").drop("locs")
 
 
-def with_membership(pages: DataFrame, listed: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Adds ``in_sitemap`` (by requested or final address) and ``site_has_sitemap``."""
-    members = listed.select("site", U.strip_fragment(F.col("loc")).alias("loc")).distinct()
-    address = F.when(F.col("final_url") == "", F.col("url")).otherwise(F.col("final_url"))
-    by_url = members.select("site", F.col("loc").alias("url"), F.lit(True).alias("_by_url"))
-    by_final = members.select("site", F.col("loc").alias("_address"), F.lit(True).alias("_by_final"))
-    sites = members.groupBy("site").agg(F.lit(True).alias("_has"))
-    joined = pages.withColumn("_address", address).join(by_url, ["site", "url"], "left").join(by_final, ["site", "_address"], "left")
-    joined = salted_join(joined, sites, ["site"], F.col("page_id"), counted=stored)
-    no = F.lit(False)
-    return joined.withColumns(
-        {
-            "in_sitemap": F.coalesce("_by_url", no) | F.coalesce("_by_final", no),
-            "site_has_sitemap": F.coalesce("_has", no),
-        }
-    ).drop("_address", "_by_url", "_by_final", "_has")
+def members(pages: DataFrame, listed: DataFrame) -> DataFrame:
+    """Ids of the pages that are listed by their requested or final address.
+
+    Each page contributes its two addresses as narrow rows; the address is part of the key, so nothing is skewed.
+    """
+    final = F.when(F.col("final_url") == "", F.col("url")).otherwise(F.col("final_url"))
+    addresses = pages.select("page_id", "site", F.explode(F.array_distinct(F.array("url", final))).alias("loc"))
+    entries = listed.select("site", U.strip_fragment(F.col("loc")).alias("loc"))
+    return addresses.join(entries, ["site", "loc"], "left_semi").select("page_id").distinct()
+
+
+def sites_with_sitemap(listed: DataFrame) -> DataFrame:
+    return listed.select("site").distinct()
 
 
 def crawled_addresses(pages: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auditlake.functions import urls as U
 from auditlake.operators import broken_assets, duplicates, facts as page_facts, links, robots, rules, sitemaps
-from auditlake.operators.shuffle import stage
+from auditlake.operators.shuffle import salted_join, stage
 from auditlake.sources import tables
 from auditlake.sources.tables import table
 
@@ -23,8 +23,8 @@ def discovered(pages: DataFrame) -> DataFrame:
 
 
 def listed(spark: SparkSession, sf: str) -> DataFrame:
-    docs = tables.sitemap_docs(spark, sf)
-    return sitemaps.sitemap_urls(docs, sitemaps.expand_sitemaps(docs, sitemap_starts(spark, sf)))
+    parsed = stage(sitemaps.parse_sitemaps(tables.sitemap_docs(spark, sf).where("status = 200")).drop("xml"), "sitemaps")
+    return sitemaps.sitemap_urls(parsed, sitemaps.expand_sitemaps(parsed, sitemap_starts(spark, sf)))
 
 
 def sitemap_starts(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,37 +37,51 @@ def sitemap_starts(spark: SparkSession, sf: str) -> DataFrame:
     return declared.select("site", F.col("line_no").alias("pos"), "sitemap_url").unionByName(default)
 
 
-def with_priority(pages: DataFrame, priority: DataFrame) -> DataFrame:
-    """Adds ``is_priority_url`` (requested address) and ``is_priority`` (requested or final address)."""
-    by_url = priority.select("url", F.lit(True).alias("_u"))
-    by_final = priority.select(F.col("url").alias("final_url"), F.lit(True).alias("_f"))
-    no = F.lit(False)
-    return (
-        pages.join(by_url, "url", "left").join(by_final, "final_url", "left")
-        .withColumns({"is_priority_url": F.coalesce("_u", no), "is_priority": F.coalesce("_u", no) | F.coalesce("_f", no)})
-        .drop("_u", "_f")
-    )
+def priority_flags(pages: DataFrame, priority: DataFrame) -> DataFrame:
+    """Per page: ``is_priority_url`` (requested address) and ``is_priority`` (requested or final address)."""
+    addresses = pages.select("page_id", F.explode(F.array(
+        F.struct(F.lit(True).alias("requested"), F.col("url").alias("url")), F.struct(F.lit(False).alias("requested"), F.col("final_url").alias("url")))).alias("a"))
+    hits = addresses.select("page_id", "a.*").join(priority, "url", "left_semi")
+    return hits.groupBy("page_id").agg(F.max("requested").alias("is_priority_url"), F.lit(True).alias("is_priority"))
+
+
+def site_signals(spark: SparkSession, sf: str, pages: DataFrame, sitemap: DataFrame) -> DataFrame:
+    """Per page: may it be fetched, and does its site have a sitemap.  One row per site, joined once."""
+    decisions = robots.group_for_bot(robots.robots_rules(tables.table(spark, sf, "robots_docs")), F.lit(AGENT))
+    per_site = decisions.select("site", F.col("decision.rules").alias("rules")).join(
+        sitemaps.sites_with_sitemap(sitemap).withColumn("site_has_sitemap", F.lit(True)), "site", "full")
+    joined = salted_join(pages.select("page_id", "site", "url"), per_site, ["site"], F.col("page_id"))
+    allowed = robots.verdict(F.col("rules"), robots.robots_path(F.col("url")))
+    return joined.select("page_id", (~allowed).alias("is_blocked"), "site_has_sitemap")
 
 
 def audited(spark: SparkSession, sf: str) -> DataFrame:
     """The whole audit: page facts, every joined signal, and the findings of each page.
 
     Facts are written once without the HTML, because the graph, the sitemap and the duplicate counts all read them.
+    Every signal is worked out on narrow rows and keyed by page, so the wide facts are shuffled once, by page id.
     """
     pages = stage(facts(spark, sf), "facts")
-    admitted = discovered(pages)
     sitemap = stage(listed(spark, sf), "listed")
-    orphan = links.orphan_candidates(sitemap, admitted.select("site", F.col("target").alias("url")).select(
-        U.site_key(F.col("url")).alias("site"), "url")).select("site", "url", F.lit(True).alias("is_orphan"))
-    broken = broken_assets.broken_images(pages, tables.table(spark, sf, "assets"))
+    targets = discovered(pages).select(U.site_key(F.col("target")).alias("site"), F.col("target").alias("url"))
+    lost = links.orphan_candidates(sitemap, targets).select("site", "url")
+    true = F.lit(True)
+    signals = [
+        site_signals(spark, sf, pages, sitemap),
+        sitemaps.members(pages, sitemap).withColumn("in_sitemap", true),
+        pages.select("page_id", "site", "url").join(lost, ["site", "url"], "left_semi").select("page_id", true.alias("is_orphan")),
+        broken_assets.broken_images(pages, tables.table(spark, sf, "assets")),
+        priority_flags(pages, tables.table(spark, sf, "priority_list")),
+        duplicates.duplicate_counts(pages),
+    ]
     out = pages.drop("outlinks", "image_srcs")
-    out = robots.robots_allowed(out, tables.table(spark, sf, "robots_docs"), AGENT, pages).withColumn("is_blocked", ~F.col("is_allowed"))
-    out = sitemaps.with_membership(out, sitemap, pages)
-    out = out.join(orphan, ["site", "url"], "left").withColumn("is_orphan", F.coalesce("is_orphan", F.lit(False)))
-    out = out.join(broken, "page_id", "left").withColumn("broken_images", F.coalesce("broken_images", F.array().cast("array<string>")))
-    out = with_priority(out, tables.table(spark, sf, "priority_list"))
-    out = duplicates.with_duplicate_counts(out, pages)
-    return rules.collect_page_issues(out)
+    for signal in signals:
+        out = out.join(signal, "page_id", "left")
+    flags = ["is_blocked", "site_has_sitemap", "in_sitemap", "is_orphan", "is_priority_url", "is_priority"]
+    filled = {c: F.coalesce(c, F.lit(False)) for c in flags}
+    filled |= {c: F.coalesce(c, F.lit(1)).cast("long") for _, c in duplicates.KEYS}
+    filled["broken_images"] = F.coalesce("broken_images", F.array().cast("array<string>"))
+    return rules.collect_page_issues(out.withColumns(filled))
 
 
 def audited_once(spark: SparkSession, sf: str) -> DataFrame:

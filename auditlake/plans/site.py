@@ -105,8 +105,10 @@ def page_detail(spark, sf):
 
 @query("priority_flag", "SELECT page_id, is_priority_url, is_priority FROM audited_pages")
 def priority_flag(spark, sf):
-    return I.with_priority(table(spark, sf, "fetch_rows").select("page_id", "url", "final_url"), table(spark, sf, "priority_list")).select(
-        "page_id", "is_priority_url", "is_priority")
+    pages = table(spark, sf, "fetch_rows").select("page_id", "url", "final_url")
+    flagged = pages.select("page_id").join(I.priority_flags(pages, table(spark, sf, "priority_list")), "page_id", "left")
+    no = F.lit(False)
+    return flagged.select("page_id", F.coalesce("is_priority_url", no).alias("is_priority_url"), F.coalesce("is_priority", no).alias("is_priority"))
 
 
 @query("broken_images", "SELECT page_id, array_to_string(broken_images, ' ') AS broken_images FROM broken_rows")
@@ -283,7 +285,11 @@ def sitemap_expand(spark, sf):
 @query("sitemap_membership", "SELECT page_id, in_sitemap, site_has_sitemap FROM in_sitemap_rows")
 def sitemap_membership(spark, sf):
     pages = table(spark, sf, "fetch_rows").select("page_id", "site", "url", "final_url")
-    return sitemaps.with_membership(pages, I.listed(spark, sf)).select("page_id", "in_sitemap", "site_has_sitemap")
+    listed = I.stage(I.listed(spark, sf), "listed")
+    inside = sitemaps.members(pages, listed).withColumn("in_sitemap", F.lit(True))
+    both = I.site_signals(spark, sf, pages, listed).join(inside, "page_id", "left")
+    no = F.lit(False)
+    return both.select("page_id", F.coalesce("in_sitemap", no).alias("in_sitemap"), F.coalesce("site_has_sitemap", no).alias("site_has_sitemap"))
 
 
 @query("sitemap_broken", """

@@ -7,6 +7,8 @@ input grows with its table.  The formulas are plain SQL that reads the same in S
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 AS_OF = "2024-02-01 00:00:00"
@@ -278,14 +280,20 @@ BASE_TABLES = ("pages", "documents", "conversations", "events", "lineitem", "lab
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A supplied table, or one derived from the supplied tables."""
+    """A supplied table, or one derived from the supplied tables (a plan, built once per application)."""
+    return _table(spark.sparkContext.applicationId, sf_dir, name)
+
+
+@lru_cache(maxsize=256)
+def _table(application: str, sf_dir: str, name: str) -> DataFrame:
+    spark = SparkSession.active()
     if name in BASE_TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     inputs, text = DERIVED[name]
     text = text.replace("{epoch}", "cast(floor(unix_micros(cast(ts as timestamp)) / 1000000) as bigint)").replace(
         "{epoch_ms}", "unix_millis(cast(ts as timestamp))"
     )
-    return spark.sql(text, **{i: table(spark, sf_dir, i) for i in inputs})
+    return spark.sql(text, **{i: _table(application, sf_dir, i) for i in inputs})
 
 
 def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
