@@ -179,4 +179,4 @@ def rate_band(rate: Column) -> Column:
 
 def fixed_decimals(value: Column, digits: int) -> Column:
     """A number as text with a fixed number of decimals; empty when NULL."""
-    return F.coalesce(F.format_string(f"%.{digits}f", value), F.lit(""))
+    return F.when(value.isNull(), F.lit("")).otherwise(F.format_string(f"%.{digits}f", value))

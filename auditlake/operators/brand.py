@@ -156,7 +156,9 @@ def parse_battery(replies: DataFrame, intents: list[str], per_intent: int) -> Da
     cleaned = F.trim(F.regexp_replace(F.trim("reply"), r"(?m)^```[a-zA-Z]*\n?|```$", ""))
     fenced = F.when(F.trim("reply").startswith("```"), cleaned).otherwise(F.trim("reply"))
     body = F.regexp_extract(fenced, r"(?s)(\{.*\})", 1)
-    parsed = F.from_json(body, "map<string,array<string>>")
+    # one complete JSON value and nothing after it: wrapped in brackets it must be an array of one element
+    whole = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
+    parsed = F.when(whole, F.from_json(body, "map<string,array<string>>"))
     rows = replies.withColumn("battery", parsed).select(
         "doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("intent_no"), F.lit(n).alias("intent")) for i, n in enumerate(intents)])).alias("i"), "battery"
     )

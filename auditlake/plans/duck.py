@@ -40,7 +40,7 @@ def lit(text: str) -> str:
 
 
 for _name, (_inputs, _text) in DERIVED.items():
-    _text = _text.replace("{epoch}", "cast(floor(epoch_us(ts) / 1000000) AS bigint)").replace("{epoch_ms}", "epoch_ms(ts)")
+    _text = _text.replace("{epoch}", "cast(floor(epoch_us(ts) / 1000000) AS bigint)").replace("{epoch_ms}", "epoch_us(ts) // 1000")
     CTES[_name] = _text.format(**{i: i for i in _inputs})
 
 # ---------------------------------------------------------------- expressions

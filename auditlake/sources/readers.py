@@ -59,16 +59,20 @@ def snapshot_catalog(snapshots: DataFrame) -> DataFrame:
     """Metadata of every stored crawl, newest first; only the needed columns are parsed."""
     return snapshots.select(
         "path", "seed_url", F.col("timestamp").alias("crawl_ts"),
-        F.size(F.map_keys("pages")).alias("page_count"), (F.size("pages_full") > 0).alias("has_full"),
+        F.size(F.map_keys("pages")).alias("page_count"), F.coalesce(F.size("pages_full") > 0, F.lit(False)).alias("has_full"),
     ).orderBy(F.desc("crawl_ts"))
 
 
 def read_brand_runs(spark: SparkSession, path: str) -> DataFrame:
     """Brand runs (indented JSON, one document per file) as answer rows with the stored analysis."""
     runs = spark.read.schema(RUN_SCHEMA).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
-    return runs.select(F.col("config.target.name").alias("target"), "created_at", F.posexplode("analyses").alias("answer_no", "a")).select(
-        "target", "created_at", "answer_no", "a.response.*", "a.mentions", "a.framing"
-    )
+    return brand_answers(runs)
+
+
+def brand_answers(runs: DataFrame) -> DataFrame:
+    """Answer rows of stored runs."""
+    rows = runs.select(F.col("config.target.name").alias("target"), "created_at", "analyses")
+    return unpack(rows, "analyses", "a", "answer_no").select("target", "created_at", "answer_no", "a.response.*", "a.mentions", "a.framing")
 
 
 MAX_AGE_SECONDS = 7 * 24 * 3600  # fixed value: older frontiers are not resumed
