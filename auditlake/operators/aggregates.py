@@ -75,6 +75,10 @@ def opportunities(issues: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(rank)).drop("first")
 
 
+def _count_of(category: str, severity: str) -> Column:
+    return F.size(F.filter("issues", lambda i: (i.category == category) & (i.severity == severity)))
+
+
 def sidebar_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("site").agg(
         F.count("*").alias("all_pages"),
@@ -82,7 +86,7 @@ def sidebar_counts(pages: DataFrame) -> DataFrame:
         F.count_if("is_orphan").alias("orphans"),
         F.count_if(in_category("duplicates")).alias("duplicates"),
         *[
-            F.sum(F.size(F.filter("issues", lambda i, c=c, s=s: (i.category == c) & (i.severity == s)))).alias(f"{c}_{s}")
+            F.sum(_count_of(c, s)).alias(f"{c}_{s}")
             for c in CATEGORIES
             for s in SEVERITY_WEIGHT
         ],

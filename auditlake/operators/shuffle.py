@@ -51,6 +51,16 @@ def number_within(df: DataFrame, key: str, order: list[str], block: Column, name
     return numbered.withColumn(name, F.col("_local") + F.col("_before")).drop("_block", "_local", "_before")
 
 
+def spread_small_scan(df: DataFrame, scan: DataFrame) -> DataFrame:
+    """Spreads ``df`` over all cores when its source ``scan`` has fewer splits than there are cores.
+
+    Parsing is CPU-bound, so a small file must not run as one task.  An archive has far more splits than cores and
+    is left as it is: no shuffle of page text at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if scan.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables: the one the cluster names, a scratch one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

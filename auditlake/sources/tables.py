@@ -11,6 +11,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from auditlake.operators.shuffle import spread_small_scan
+
 AS_OF = "2024-02-01 00:00:00"
 AS_OF_EPOCH = 1706745600
 
@@ -298,7 +300,7 @@ def _table(application: str, sf_dir: str, name: str) -> DataFrame:
 
 def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page archive as a crawl delivers it: headers as a map, redirect hops as an array."""
-    rows = table(spark, sf_dir, "fetch_rows")
+    rows = spread_small_scan(table(spark, sf_dir, "fetch_rows"), table(spark, sf_dir, "pages").select("page_id"))
     url = F.col("url")
 
     def hop(address, status: int):
