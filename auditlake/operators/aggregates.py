@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from auditlake.functions.binding import unpack
 from auditlake.operators.rules import CATEGORIES, SEVERITY_WEIGHT, order, weight
 
 PRIORITY_MULTIPLIER = 1.6  # fixed value
@@ -60,13 +61,20 @@ def crawl_budget(pages: DataFrame) -> DataFrame:
     )
 
 
-def opportunities(issues: DataFrame) -> DataFrame:
+def first_findings(pages: DataFrame) -> DataFrame:
+    """The first finding of each code on each page.  A page's findings are in one row, so this needs no shuffle."""
+    codes = F.transform("issues", lambda i: i.code)
+    rows = unpack(pages.select("page_id", "site", "url", "issues", codes.alias("codes")), "issues", "i", "issue_seq")
+    return rows.where(F.array_position("codes", F.col("i.code")) == F.col("issue_seq") + 1).select("page_id", "site", "url", "issue_seq", "i.*")
+
+
+def opportunities(findings: DataFrame) -> DataFrame:
     """One row per site and code: pages affected, severity as first seen, and its rank by weight times reach.
 
-    A page counts once per code because (page, code) is reduced before the count.
+    ``findings`` has one row per page and code (see ``first_findings``); only partial counts are shuffled.
     """
-    once = issues.groupBy("site", "code", "page_id").agg(F.min(F.struct("page_id", "issue_seq", "category", "severity")).alias("first"))
-    per_code = once.groupBy("site", "code").agg(F.min("first").alias("first"), F.count("*").alias("affected_pages"))
+    first = F.min(F.struct("page_id", "issue_seq", "category", "severity"))
+    per_code = findings.groupBy("site", "code").agg(first.alias("first"), F.count("*").alias("affected_pages"))
     scored = per_code.select(
         "site", "code", "first.category", "first.severity", "affected_pages",
         (weight(F.col("first.severity")) * F.col("affected_pages")).alias("score"), "first",

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from auditlake.functions import urls as U
-from auditlake.operators.shuffle import cut_lineage, salted_join
+from auditlake.operators.shuffle import cut_lineage, heavy_keys, salted_join
 
 MAX_HOPS = 10  # fixed value: redirects followed before giving up
 
@@ -103,11 +103,13 @@ def bfs(
     level = cut_lineage(frontier.select(key, "node", "depth", F.array(F.coalesce("pos", F.lit(0)).cast("long")).alias("place")))
     done = level
     settled = level.select(key, "node") if visited is None else visited.select(key, "node").unionByName(level.select(key, "node"))
+    out_edges = edges.withColumnRenamed("src", "node")
+    hubs = cut_lineage(heavy_keys(out_edges, [key, "node"]))
     while True:
         open_nodes = level.where(F.col("depth") <= max_depth)
-        # edges are the large side and a hub appears many times as a target, never as many times as a source
+        # a node with a large share of all edges is spread; a popular target is reduced by the partial minimum
         reached = (
-            open_nodes.join(edges.withColumnRenamed("src", "node"), [key, "node"])
+            salted_join(out_edges, open_nodes, [key, "node"], F.col("dst"), "inner", heavy=hubs)
             .groupBy(key, F.col("dst").alias("node"))
             .agg(
                 F.min(

@@ -13,22 +13,31 @@ SALTS = 64
 
 def heavy_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys holding at least ``1/HEAVY_SHARE`` of the rows: never more than ``HEAVY_SHARE`` of them."""
-    counts = df.where(F.coalesce(*[F.col(k).isNotNull() for k in keys])).groupBy(*keys).agg(F.count("*").alias("_n"))
+    counts = df.select(*keys).dropna().groupBy(*keys).agg(F.count("*").alias("_n"))
     floor = counts.agg(F.sum("_n")).scalar()
     return counts.where(F.col("_n") * HEAVY_SHARE >= floor).where("_n > 1").select(*keys)
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "left", counted: DataFrame | None = None
+    big: DataFrame,
+    small: DataFrame,
+    keys: list[str],
+    spread: Column,
+    how: str = "left",
+    counted: DataFrame | None = None,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Join where ``big`` may be skewed on ``keys``.
 
     Rows of heavy keys are spread over ``SALTS`` sub-keys by a hash of ``spread``; only the matching rows of
     ``small`` are repeated, so light keys cost nothing extra.  The heavy-key list is bounded (see
     ``heavy_keys``), hence the broadcasts.  Pass the stored table behind ``big`` as ``counted`` when ``big`` is
-    costly, so that counting reads the key columns only; which keys are salted never changes the result.
+    costly, so that counting reads the key columns only, or a stored ``heavy`` list when one table is joined many
+    times; which keys are salted never changes the result.
     """
-    heavy = heavy_keys(big if counted is None else counted, keys).withColumn("_heavy", F.lit(True))
+    if heavy is None:
+        heavy = heavy_keys(big if counted is None else counted, keys)
+    heavy = heavy.withColumn("_heavy", F.lit(True))
     salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     left = big.join(F.broadcast(heavy), keys, "left").withColumn("_salt", salt).drop("_heavy")
     salts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))

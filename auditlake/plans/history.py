@@ -100,7 +100,7 @@ def _case(column: str, mapping: dict) -> str:
 
 
 @query("priority_feed", f"""
-SELECT site, code, severity, affected_pages, title, fix_step, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, affected_pages DESC, site, code) AS feed_no FROM (
+SELECT site, code, severity, affected_pages, title, fix_step FROM (
   SELECT o.*, a.title, a.fix_step, row_number() OVER (PARTITION BY site ORDER BY w * affected_pages DESC, first_user, o.code) AS rank FROM (
     SELECT s.site, s.code, {_case('s.code', _CODE_SEVERITY)} AS severity, CASE {_case('s.code', _CODE_SEVERITY)} WHEN 'critical' THEN 10 WHEN 'warning' THEN 3 ELSE 1 END AS w, count(DISTINCT s.url) AS affected_pages, min(cast(substr(s.url, 3) AS bigint)) AS first_user
     FROM snapshots s JOIN latest_full l ON l.site = s.site AND l.ts = s.crawl_day GROUP BY ALL) o JOIN advice a ON a.code = o.code)
@@ -115,14 +115,6 @@ def priority_feed(spark, sf):
     # codes of a page come sorted in a snapshot
     position = F.array_position(F.array(*[F.lit(c) for c in sorted(_CODE_CATEGORY)]), u("code"))
     top = A.opportunities(issues.withColumn("issue_seq", position)).where("rank <= 4")
-    return with_feed_order(with_advice(top.select("site", "code", "severity", "affected_pages")))
-
-
-def with_feed_order(feed):
-    """Global order by range-partitioned sort; the running number comes from per-block counts, not one task."""
-    from auditlake.operators.shuffle import number_within
-
-    keyed = feed.withColumn("_all", F.lit(1)).withColumn("_level", rules.order(u("severity"))).withColumn("_reach", -u("affected_pages"))
-    block = u("_level") * 1000000000000 - F.floor(u("affected_pages") / 1000)
-    numbered = number_within(keyed, "_all", ["_level", "_reach", "site", "code"], block, "feed_no")
-    return numbered.select("site", "code", "severity", "affected_pages", "title", "fix_step", "feed_no")
+    feed = with_advice(top.select("site", "code", "severity", "affected_pages"))
+    ordered = feed.orderBy(rules.order(u("severity")), F.desc("affected_pages"), "site", "code")
+    return ordered.select("site", "code", "severity", "affected_pages", "title", "fix_step")

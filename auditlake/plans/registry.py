@@ -10,7 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from auditlake.plans import duck
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+_SQL: dict[str, str] = {}
+
+
+def oracle() -> dict[str, str]:
+    """Complete statements; composed once every module has named its subqueries."""
+    return {name: duck.compose(sql) for name, sql in _SQL.items()}
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -22,7 +27,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def query(name: str, sql: str | None = None):
-    """Registers a query; ``sql`` may name any table of ``duck.CTES``."""
+    """Registers a query; ``sql`` may name any subquery of ``duck.CTES``."""
 
     def register(fn):
         @wraps(fn)
@@ -31,7 +36,7 @@ def query(name: str, sql: str | None = None):
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = duck.compose(sql)
+            _SQL[name] = sql
         return fn
 
     return register

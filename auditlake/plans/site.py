@@ -176,18 +176,18 @@ def crawl_budget(spark, sf):
 
 @query("opportunities", "SELECT site, code, category, severity, affected_pages, score::bigint AS score, rank FROM opps")
 def opportunities(spark, sf):
-    return A.opportunities(rules.issue_rows(I.audited(spark, sf)))
+    return A.opportunities(A.first_findings(I.audited(spark, sf)))
 
 
 @query("top_opportunities", "SELECT site, code, affected_pages, rank FROM opps WHERE rank <= 8")
 def top_opportunities(spark, sf):
-    return A.opportunities(rules.issue_rows(I.audited(spark, sf))).where("rank <= 8").select("site", "code", "affected_pages", "rank")
+    return A.opportunities(A.first_findings(I.audited(spark, sf))).where("rank <= 8").select("site", "code", "affected_pages", "rank")
 
 
 @query("opportunity_advice", f"""
 SELECT o.site, o.code, o.affected_pages, o.rank, coalesce(a.title, '') AS title, coalesce(a.why, '') AS why, coalesce(a.fix_step, 'Revisa este hallazgo y decide si aplica una corrección.') AS fix_step FROM opps o LEFT JOIN advice a ON a.code = o.code""")
 def opportunity_advice(spark, sf):
-    opps = A.opportunities(rules.issue_rows(I.audited(spark, sf))).select("site", "code", "affected_pages", "rank")
+    opps = A.opportunities(A.first_findings(I.audited(spark, sf))).select("site", "code", "affected_pages", "rank")
     return with_advice(opps)
 
 
@@ -243,7 +243,7 @@ SELECT site, row_number() OVER (PARTITION BY site ORDER BY n) AS step_no, step F
 def next_steps(spark, sf):
     pages = I.audited_once(spark, sf)
     found = rules.issue_rows(pages)
-    return A.next_steps(A.opportunities(found), A.category_breakdown(found), A.crawl_budget(pages), advice_table(spark))
+    return A.next_steps(A.opportunities(A.first_findings(pages)), A.category_breakdown(found), A.crawl_budget(pages), advice_table(spark))
 
 
 # ---------------------------------------------------------- robots and sitemaps

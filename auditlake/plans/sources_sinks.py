@@ -24,12 +24,16 @@ def _folder(spark, name: str) -> str:
 
 
 def _snapshot_files(spark, sf) -> str:
-    """Snapshot documents, one JSON object per crawl, with full pages on two days of three."""
+    """Snapshot documents, one JSON object per crawl, with full pages on two days of three.
+
+    A document holds a bounded number of pages: crawls are cut into blocks of five hundred users.
+    """
     rows = _codes(spark, sf).groupBy("site", "crawl_ts", "url").agg(F.array_sort(F.collect_set("code")).alias("codes"))
     host = F.concat(F.lit("https://s"), u("site").cast("string"), F.lit(".example.com/"))
     issue = lambda c: F.array(F.lit("meta"), F.lit("info"), c, F.lit(""))
     full = F.struct("url", F.lit(200).alias("status_code"), F.transform("codes", issue).alias("issues"), F.array(F.array(u("url"), F.lit("301"))).alias("redirect_chain"))
-    docs = rows.groupBy("site", "crawl_ts").agg(
+    block = F.floor(F.regexp_extract("url", "([0-9]+)", 1).cast("long") / 10000)
+    docs = rows.groupBy("site", "crawl_ts", block.alias("block")).agg(
         F.map_from_entries(F.collect_list(F.struct("url", "codes"))).alias("pages"),
         F.map_from_entries(F.collect_list(F.struct("url", F.lit(200)))).alias("status_by_url"),
         F.collect_list(full).alias("full"),
@@ -43,7 +47,7 @@ def _snapshot_files(spark, sf) -> str:
 
 
 @query("snapshot_catalog", """
-SELECT 'https://s' || site || '.example.com/' AS seed_url, crawl_day::double AS crawl_ts, count(DISTINCT url) AS page_count, crawl_day % 3 <> 0 AS has_full FROM snapshots GROUP BY site, crawl_day""")
+SELECT 'https://s' || site || '.example.com/' AS seed_url, crawl_day::double AS crawl_ts, count(DISTINCT url) AS page_count, crawl_day % 3 <> 0 AS has_full FROM snapshots GROUP BY site, crawl_day, cast(substr(url, 3) AS bigint) // 10000""")
 def snapshot_catalog(spark, sf):
     return readers.snapshot_catalog(readers.read_snapshots(spark, _snapshot_files(spark, sf))).drop("path")
 

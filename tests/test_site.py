@@ -68,8 +68,6 @@ def test_bfs_matches_a_queue(spark):
             if depth > max_depth or (max_pages and len(fetched) >= max_pages):
                 continue
             fetched.append(node)
-            for s, d, pos in sorted((e[1], e[2], e[3]) for e in edges if e[1] == node):
-                pass
             for d in [e[2] for e in sorted((e for e in edges if e[1] == node), key=lambda e: e[3])]:
                 if d not in seen:
                     seen.add(d)
@@ -149,7 +147,7 @@ def test_site_aggregates(spark):
     budget = A.crawl_budget(df).where("site = 's'").collect()[0]
     assert (budget.total_pages, budget.blocked_by_robots, budget.error_pages, budget.ok_pages, budget.orphan_pages) == (6, 1, 2, 3, 1)
     issues = rules.issue_rows(df)
-    ranked = A.opportunities(issues).where("site = 's'").orderBy("rank").collect()
+    ranked = A.opportunities(A.first_findings(df)).where("site = 's'").orderBy("rank").collect()
     assert [(o.code, o.affected_pages) for o in ranked] == [("title_missing", 1), ("error_404", 1), ("h1_missing", 2), ("blocked_by_robots", 1), ("h2_missing", 1)]
     failed = A.error_pages(df.where("site = 's'")).collect()
     assert [(r.page_id, r.label) for r in failed] == [(6, "HTTP 404"), (3, "boom")]
