@@ -94,7 +94,7 @@ def bfs(
 ) -> DataFrame:
     """Breadth-first discovery from ``frontier`` (key, node, depth), all sites at once.
 
-    ``edges``: key, src, dst, link_pos.  Nodes beyond ``max_depth`` are discovered but not expanded
+    ``edges``: key, src, dst, link_pos, as a stored table (every round reads it).  Nodes beyond ``max_depth`` are discovered but not expanded
     (``fetched`` is false).  ``visited`` (key, node) resumes an earlier crawl.  ``place`` is the chain of link
     positions from the seed, which orders a level exactly as a queue would; ``max_pages`` keeps the first pages
     of each site in that order.  A node is settled once, so the work is one pass over the edges in total; the

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import text as X
 from auditlake.operators import brand as B
+from auditlake.operators.shuffle import spread_small_scan
 from auditlake.plans import duck as D
 from auditlake.plans.registry import query
 from auditlake.sources import sinks
@@ -49,15 +50,19 @@ LEFT JOIN tones t ON t.resp_id = r.resp_id AND m.brand IS NOT NULL GROUP BY {gro
 _STAT_COLUMNS = ["brand_no", "brand", "is_target", "responses", "mention_rate", "avg_position", "share_of_voice", "domain_citation_rate"] + [f"framing_{f}" for f in X.FRAMINGS]
 
 
+def _responses(spark, sf):
+    return spread_small_scan(table(spark, sf, "responses"), table(spark, sf, "documents").select("doc_id"))
+
+
 def _analyses(spark, sf):
     """Answers with mentions and the tone label of the classified ones."""
     tones = table(spark, sf, "framing_replies").select("resp_id", X.framing_label(u("reply")).alias("framing"))
-    return B.with_mentions(table(spark, sf, "responses"), BRANDS).drop("text").join(tones, "resp_id", "left")
+    return B.with_mentions(_responses(spark, sf), BRANDS).drop("text").join(tones, "resp_id", "left")
 
 
 @query("brand_mentions", "SELECT m.resp_id, r.provider, r.intent, m.brand, m.position, m.is_domain_citation FROM mention_rows m JOIN responses r ON r.resp_id = m.resp_id")
 def brand_mentions(spark, sf):
-    return B.brand_mentions(B.with_mentions(table(spark, sf, "responses"), BRANDS))
+    return B.brand_mentions(B.with_mentions(_responses(spark, sf), BRANDS))
 
 
 @query("brand_stats", _stats_sql([]))
@@ -103,7 +108,7 @@ SELECT r.resp_id, r.provider, r.intent, r.query, r.repetition, r.web_search, len
 def brand_run_rows(spark, sf):
     """Rows as stored for a run: raw answer next to the derived mentions."""
     shown = F.array_join(F.transform("mentions", lambda m: F.concat(m.brand, F.lit(":"), m.position.cast("string"))), ",")
-    return B.with_mentions(table(spark, sf, "responses"), BRANDS).select(
+    return B.with_mentions(_responses(spark, sf), BRANDS).select(
         "resp_id", "provider", "intent", "query", "repetition", "web_search", F.length("text").alias("n_chars"), "error", shown.alias("mentions"))
 
 

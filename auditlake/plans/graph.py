@@ -54,7 +54,7 @@ SELECT '/p1' AS node, 0 AS depth UNION SELECT g.dst, r.depth + 1 FROM reach r JO
 
 @query("bfs_depth", _BFS)
 def bfs_depth(spark, sf):
-    return L.bfs(_edges(spark, sf), _seed(spark, sf), max_depth=8).select("node", "depth")
+    return L.bfs(I.stage(_edges(spark, sf), "edges"), _seed(spark, sf), max_depth=8).select("node", "depth")
 
 
 D.CTES["reach2"] = """

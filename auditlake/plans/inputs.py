@@ -55,13 +55,14 @@ def site_signals(spark: SparkSession, sf: str, pages: DataFrame, sitemap: DataFr
     return joined.select("page_id", (~allowed).alias("is_blocked"), "site_has_sitemap")
 
 
-def audited(spark: SparkSession, sf: str) -> DataFrame:
+def audited(spark: SparkSession, sf: str, pages: DataFrame | None = None) -> DataFrame:
     """The whole audit: page facts, every joined signal, and the findings of each page.
 
     Facts are written once without the HTML, because the graph, the sitemap and the duplicate counts all read them.
     Every signal is worked out on narrow rows and keyed by page, so the wide facts are shuffled once, by page id.
+    ``pages`` is a fact table that is already stored.
     """
-    pages = stage(facts(spark, sf), "facts")
+    pages = stage(facts(spark, sf), "facts") if pages is None else pages
     sitemap = stage(listed(spark, sf), "listed")
     targets = discovered(pages).select(U.site_key(F.col("target")).alias("site"), F.col("target").alias("url"))
     lost = links.orphan_candidates(sitemap, targets).select("site", "url")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import html as H, text as X
 from auditlake.functions.binding import unpack
-from auditlake.operators import aggregates as A, broken_assets, duplicates, facts as page_facts, links as L, render, robots, rules, site_rules, sitemaps
+from auditlake.operators import aggregates as A, broken_assets, duplicates, facts as page_facts, keywords as K, links as L, render, robots, rules, site_rules, sitemaps
 from auditlake.operators.advice import advice_table, with_advice
 from auditlake.plans import duck as D, inputs as I
 from auditlake.plans.registry import query
@@ -50,10 +50,8 @@ SELECT CASE WHEN p.is_orphan THEN '🕸 ' ELSE '' END || p.url AS url, coalesce(
 FROM page_findings p LEFT JOIN tech_rows t ON t.page_id = p.page_id LEFT JOIN page_top k ON k.page_id = p.page_id""")
 def audit_grid(spark, sf):
     """The page grid, worst severity first."""
-    from auditlake.operators import keywords as K
-
-    words = K.top_keywords(I.facts(spark, sf, keep_text=True)).select("page_id", "keywords")
-    pages = I.audited(spark, sf).join(words, "page_id", "left")
+    stored = I.stage(K.top_keywords(I.facts(spark, sf, keep_text=True)).drop("text"), "facts")
+    pages = I.audited(spark, sf, stored)
     yes = lambda c: F.when(c, F.lit("Sí")).otherwise(F.lit("No"))
     return pages.orderBy(A.worst_severity(), "page_id").select(
         F.concat(F.when(u("is_orphan"), F.lit("🕸 ")).otherwise(F.lit("")), "url").alias("url"),
@@ -87,7 +85,7 @@ UNION ALL SELECT page_id, 'hop', unnest([url, url || '~1', url]), '301' FROM fac
 def page_detail(spark, sf):
     """Everything shown for one page, as (relation, key, value) rows for all pages."""
     pages = I.stage(I.facts(spark, sf), "facts")
-    audited = I.audited(spark, sf)
+    audited = I.audited(spark, sf, pages)
     row = lambda df, kind, k, v: df.select("page_id", F.lit(kind).alias("relation"), k.alias("k"), v.alias("v"))
     edges = page_facts.page_links(pages)
     found = rules.issue_rows(audited)
