@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from auditlake.operators import brand as B
 from auditlake.operators.shuffle import shared_folder
+from auditlake.plans import duck as D
 from auditlake.plans.brand import BRANDS
 from auditlake.plans.registry import query
 from auditlake.streaming import pages as S
@@ -78,7 +79,14 @@ def stream_backoff(spark, sf):
     return _keyed(spark, S.backoff_until(_throttled(spark, sf)), "backoff", ["host"])
 
 
-@query("stream_backoff_notices")
+D.CTES["throttle_times"] = "SELECT DISTINCT 'h' || (user_id % 20) AS host, floor(epoch_us(ts) / 1000000)::double AS t FROM events WHERE event_type = 'error'"
+D.CTES["notice_walk"] = """
+SELECT host, min(t) AS t FROM throttle_times GROUP BY host
+UNION ALL SELECT host, nt FROM (SELECT w.host, (SELECT min(e.t) FROM throttle_times e WHERE e.host = w.host AND e.t > w.t + 3) AS nt FROM notice_walk w) WHERE nt IS NOT NULL
+"""
+
+
+@query("stream_backoff_notices", "SELECT host, t AS notified_at FROM notice_walk")
 def stream_backoff_notices(spark, sf):
     path, progress = _folders(spark, "notices")
     S.append_stream(S.backoff_notices(_throttled(spark, sf)), path, progress).awaitTermination()

@@ -150,8 +150,8 @@ FROM {event_log}
 DERIVED["links_graph"] = (
     ("lineitem", "part"),
     """
-SELECT DISTINCT '/p' || cast(l_partkey as string) AS src, '/p' || cast((l_partkey * 7 + l_linenumber) % n as string) AS dst
-FROM {lineitem} CROSS JOIN (SELECT count(*) AS n FROM {part}) c
+SELECT DISTINCT '/p' || cast(l_partkey as string) AS src, '/p' || cast((l_partkey * 7 + l_linenumber) % (SELECT count(*) FROM {part}) as string) AS dst
+FROM {lineitem}
 """,
 )
 
