@@ -127,7 +127,16 @@ SELECT f.page_id, f.site, f.{key} AS shared, g.group_size FROM facts f JOIN (
         return duplicates.duplicate_groups(pages, key).select("page_id", "site", u(key).alias("shared"), "group_size")
 
 
-_groups("duplicate_content", "content_hash")
+@query("duplicate_content", """
+SELECT d.doc_id AS page_id, d.source AS site, sha256(d.text) AS shared, g.group_size FROM documents d JOIN (
+  SELECT source, sha256(text) AS h, count(*) AS group_size FROM documents GROUP BY ALL HAVING count(*) > 1) g ON g.source = d.source AND g.h = sha256(d.text)""")
+def duplicate_content(spark, sf):
+    """Copies among the documents, which hold whole-text duplicates (the pages differ in their links)."""
+    docs = table(spark, sf, "documents").select(
+        u("doc_id").alias("page_id"), u("source").alias("site"), u("doc_id").cast("string").alias("url"), F.lit(200).alias("status"), H.content_hash(u("text")).alias("content_hash"))
+    return duplicates.duplicate_groups(I.stage(docs, "hashes"), "content_hash").select("page_id", "site", u("content_hash").alias("shared"), "group_size")
+
+
 _groups("duplicate_titles", "title")
 _groups("duplicate_meta", "meta_description")
 
