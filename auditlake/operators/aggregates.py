@@ -29,7 +29,7 @@ def in_category(category: str) -> Column:
 def health_score(pages: DataFrame) -> DataFrame:
     """0-100 per site: weighted penalties per page with a response, heavier for priority pages."""
     crawled = F.col("status").isNotNull()
-    factor = F.when(F.col("is_priority"), F.lit(16)).otherwise(F.lit(10))  # tenths, so that the sum is exact
+    factor = F.when(F.col("is_priority"), F.lit(round(PRIORITY_MULTIPLIER * 10))).otherwise(F.lit(10))  # tenths, so that the sum is exact
     per_site = pages.groupBy("site").agg(
         F.coalesce(F.sum(F.when(crawled, penalty() * factor)), F.lit(0)).alias("tenths"), F.count_if(crawled).alias("crawled")
     )

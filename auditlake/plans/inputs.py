@@ -8,7 +8,6 @@ from auditlake.functions import urls as U
 from auditlake.operators import broken_assets, duplicates, facts as page_facts, links, robots, rules, sitemaps
 from auditlake.operators.shuffle import salted_join, stage
 from auditlake.sources import tables
-from auditlake.sources.tables import table
 
 AGENT = "SiteAuditBot/0.1 (+https://example.invalid/bot)"
 

@@ -75,7 +75,7 @@ def url_variant_groups(spark, sf):
     pages = I.facts(spark, sf)
     address = F.when(u("final_url") == "", u("url")).otherwise(u("final_url"))
     seen = page_facts.page_links(pages).select(u("target").alias("url"))
-    fetched = I.table(spark, sf, "fetch_rows")
+    fetched = table(spark, sf, "fetch_rows")
     seen = seen.unionByName(fetched.select(address.alias("url"))).unionByName(fetched.select("url")).distinct()
     keyed = seen.withColumn("variant_key", U.variant_key(u("url")))
     return keyed.groupBy("variant_key").agg(
