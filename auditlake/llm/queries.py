@@ -1,4 +1,4 @@
 """All queries of this subpackage; importing this module registers them."""
 
-from auditlake.llm import q_quality  # noqa: F401
+from auditlake.llm import q_dedup, q_quality  # noqa: F401
 from auditlake.llm.registry import ORACLE, QUERIES  # noqa: F401
