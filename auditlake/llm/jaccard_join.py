@@ -3,12 +3,13 @@
 1. A profile per document: size and 128-bit digest of its set of word shingles, a few min-hashes, and the shingles that
    are common in its batch.  Documents with equal sets are one class, led by the smallest id.
 2. Only shingles that come first in one global order (rare ones first, then by hash) can be needed: sets of similarity 0.8
-   share a shingle among the first ``n - ceil(0.8 n) + 1``.  Those held by a single class are dropped.
+   share ``SHARED`` shingles among the first ``n - ceil(0.8 n) + SHARED`` of each (all of them in a smaller set).  Shingles
+   held by a single class are dropped, then classes left with fewer than that.
 3. Classes that share a min-hash are compared with the smallest of them: the links found partition similar documents
    into groups.
 4. The token-group matrix holds each group's union of those shingles.  A query (a member of the smaller group) can be
-   similar to a member of another group only if it hits the matrix there and the sizes allow it; such groups are opened
-   and their members compared exactly.
+   similar to a member of another group only if it hits the matrix there as often and the sizes allow it; such groups are
+   opened and their members compared exactly.
 
 The list of common shingles only orders them, so its bound changes the cost and never the result.  Exact sets decide.
 A null, empty or blank text has an empty set and is linked with nothing; ids that repeat are one document per row, classes
@@ -31,6 +32,7 @@ from auditlake.operators.shuffle import stage
 WORDS = 5
 SIMILAR = 80  # percent
 MIN_HASHES = 6
+SHARED = 4  # shingles of the ordered beginnings that similar sets must share
 COMMON = 200_000  # at most so many common shingles are known to the order (bounds the broadcast at 3.2 MB)
 _SEEDS = [np.uint64(0x632BE59BD9B4E019 * (i + 1) % 2**64) for i in range(MIN_HASHES)]
 
@@ -79,7 +81,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def first_tokens(tokens: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
     """The shingles of a set that any similar set must meet: rare ones by hash, then common ones by count and hash."""
     n = len(tokens)
-    need = n - (SIMILAR * n + 99) // 100 + 1
+    need = min(n, n - (SIMILAR * n + 99) // 100 + SHARED)
     if len(common):
         at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
         known = common[at] == tokens
@@ -144,22 +146,23 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     classes = stage(filled.agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("short").alias("short"), F.first("mins").alias("mins")), "classes")
     rows = docs.mapInArrow(_prefixes(common, often), "token long, short long")
     repeated = rows.groupBy("token").count().where("count > 1").select("token")
-    live = rows.join(repeated, "token", "left_semi").distinct().join(classes.select("short", "id"), "short").select("token", "id")
-    live = stage(live, "tokens")
+    live = stage(rows.join(repeated, "token", "left_semi").distinct(), "tokens")
+    enough = F.least(F.lit(SHARED), F.ceil(F.col("n") * SIMILAR / 100))
+    held = live.groupBy("short").count().join(classes, "short").where(F.col("count") >= enough)
+    held = stage(held.select("short", "id", "doc", "n", "mins"), "held")
 
-    keyed = classes.select("id", "doc", "n", F.posexplode("mins").alias("i", "low"))
+    keyed = held.select("id", "doc", "n", F.posexplode("mins").alias("i", "low"))
     leads = keyed.groupBy("i", "low").agg(F.min(F.struct("doc", F.col("id").alias("b"), F.col("n").alias("m"))).alias("lead"), F.count("*").alias("k"))
     stars = keyed.join(leads.where("k > 1"), ["i", "low"]).where((F.col("id") != F.col("lead.b")) & _fits(F.col("n"), F.col("lead.m")))
     stars = stage(stars.select(F.col("id").alias("a"), F.col("lead.b").alias("b")).distinct(), "stars")
-    needed = live.select("id").union(stars.select("a")).union(stars.select("b")).distinct()
-    wanted = classes.join(needed, "id", "left_semi").select("doc").distinct()
+    wanted = held.select("doc").distinct()
     sets = stage(docs.join(wanted, docs.doc_id == wanted.doc).select("text").mapInArrow(_sets, "id binary, tokens array<long>"), "sets")
 
     links = stage(_verified(stars, sets).distinct(), "links")
-    member = classes.select("id", "n").join(components(links), "id", "left").select("id", "n", F.coalesce("component", "id").alias("group"))
+    member = held.select("short", "id", "n").join(components(links), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
     extent = member.groupBy("group").agg(F.count("*").alias("members"))
     member = stage(member.join(extent, "group"), "members")
-    cells = stage(live.join(member, "id"), "cells")
+    cells = stage(live.join(member, "short").select("token", "id", "n", "group", "members"), "cells")
     spread = cells.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
     cells = stage(cells.join(spread, "token", "left_semi"), "matrix")
     matrix = cells.groupBy("token", "group", "members").agg(F.min("n").alias("least"), F.max("n").alias("most"))
@@ -167,7 +170,8 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     order = F.struct("q.members", "q.group") < F.struct("m.members", "m.group")
     reach = (F.col("m.most") * 100 >= F.col("q.n") * SIMILAR) & (F.col("m.least") * SIMILAR <= F.col("q.n") * 100)
     hits = q.join(m, F.col("q.token") == F.col("m.token")).where(order & reach)
-    opened = stage(hits.select("q.id", "q.n", "m.group").distinct(), "opened")
+    opened = hits.groupBy("q.id", "q.n", "m.group").count().where(F.col("count") >= enough)
+    opened = stage(opened.drop("count"), "opened")
     inner = member.select("group", F.col("id").alias("b"), F.col("n").alias("k"))
     pairs = opened.join(inner, "group").where(_fits(F.col("n"), F.col("k"))).select(F.col("id").alias("a"), "b").distinct()
     final = components(links.union(stage(_verified(pairs, sets).distinct(), "links")))

@@ -84,7 +84,7 @@ def _finish(batch: pa.RecordBatch, words: Words, removed: np.ndarray, rows: np.n
     ]
     names = ["doc_id", "hash", "n_words", "n_removed", "kept_sha256"]
     if text:
-        columns.append(pa.array([kept[i].decode() for i in rows], pa.string()))
+        columns.append(pa.array([kept[i].decode() if gone[i] else None for i in rows], pa.string()))
         names.append("kept")
     return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -166,7 +166,7 @@ def _cut(k: int, text: bool):
 
 
 def repeated_spans(docs: DataFrame, k: int = K, text: bool = False) -> DataFrame:
-    """``doc_id, hash, n_words, n_removed, kept_sha256`` and, with ``text``, ``kept``: what is left of each row of ``docs``.
+    """``doc_id, hash, n_words, n_removed, kept_sha256`` of each row of ``docs``; with ``text`` also ``kept``, what is left if words went.
 
     ``docs`` needs doc_id and text; ``hash`` is the text's 64-bit hash, which with doc_id names a row.
     """
