@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditlake.llm import warc
+from auditlake.llm import url_filter, warc
 from auditlake.llm.registry import query, table
 
 
@@ -18,3 +18,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", F.when(revisit, F.col("payload_bytes")).otherwise(F.col("n_bytes")).alias("payload_bytes"),
         F.when(revisit, F.col("payload_digest")).otherwise(F.col("digest_so_far")).alias("payload_digest"), "record_type", "refers_to",
     )
+
+
+@query("op3_url_filter")
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document with its id: bad if toxic or of low quality."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels")
+    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    labelled = pages.join(labels, pages.page_id == labels.doc_id).select("url", bad.alias("bad"))
+    return url_filter.judged(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
