@@ -6,6 +6,8 @@ Extraction is by regular expression over the whole document.  Badly nested marku
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
 from auditlake.functions.binding import let
@@ -22,13 +24,10 @@ WS = rf"[^{_VISIBLE}\x{{0001}}]"
 WS_OR_NODE = rf"[^{_VISIBLE}]"
 NODE = "\u0001"  # marks a text-node boundary
 
-# Named entities.  ``amp`` is decoded after all others.
-ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "middot": "·",
-    "hellip": "…", "ndash": "–", "mdash": "—", "laquo": "«", "raquo": "»", "euro": "€", "aacute": "á",
-    "eacute": "é", "iacute": "í", "oacute": "ó", "uacute": "ú", "ntilde": "ñ", "uuml": "ü", "iquest": "¿",
-    "iexcl": "¡",
-}
+# Every named entity of HTML 5 as one text, each name and value between marks; ``amp`` is decoded after all others.
+_NAMES = "\u0002" + "".join(f"{name[:-1]}\u0003{value}\u0002" for name, value in sorted(html5.items()) if name.endswith(";") and name != "amp;")
+# References to the C1 block mean the characters of the Windows code page.
+_C1 = {i: ord(c) for i in range(0x80, 0xA0) if (c := bytes([i]).decode("cp1252", "replace")) != "\ufffd"}
 
 
 def trim_ws(text: Column) -> Column:
@@ -36,21 +35,36 @@ def trim_ws(text: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """Named entities and decimal references, each replaced throughout; text without ``&`` is left alone."""
-    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    """Named, decimal and hexadecimal references, each replaced throughout; text without ``&`` is left alone.
+
+    An unknown name stays; a number that is no character becomes the replacement character.
+    """
+    c1 = F.create_map(*[F.lit(x) for pair in _C1.items() for x in pair])
+
+    def numbered(code: Column) -> Column:
+        hexadecimal = code.rlike("^#[xX]")
+        point = F.when(hexadecimal, F.conv(F.substring(code, F.lit(3), F.lit(8)), 16, 10)).otherwise(F.substring(code, F.lit(2), F.lit(8))).try_cast("int")
+        point = F.coalesce(F.try_element_at(c1, point), point)
+        wrong = (point < 1) | (point > 0x10FFFF) | point.between(0xD800, 0xDFFF)
+        return F.when(wrong, F.lit("\ufffd")).otherwise(F.decode(F.unhex(F.lpad(F.hex(point.cast("long")), 8, "0")), "UTF-32"))
+
+    def named(code: Column) -> Column:
+        key = F.concat(F.lit("\u0002"), code, F.lit("\u0003"))
+        at = F.instr(F.lit(_NAMES), key)
+        rest = F.substring(F.lit(_NAMES), at + F.char_length(key), F.lit(8))
+        return F.when(at > 0, F.substring_index(rest, "\u0002", 1))
 
     def replacement(code: Column) -> Column:
-        point = F.lpad(F.hex(F.regexp_extract(code, "^#([0-9]+)$", 1).try_cast("long")), 8, "0")
-        return F.when(code.startswith("#"), F.decode(F.unhex(point), "UTF-32")).otherwise(F.try_element_at(names, code))
+        return F.when(code.startswith("#"), numbered(code)).otherwise(named(code))
 
     def decoded(t: Column) -> Column:
-        codes = F.array_distinct(F.regexp_extract_all(t, F.lit("&(#[0-9]{1,6}|[a-z]{2,8});"), F.lit(1)))
-        named = F.aggregate(
+        codes = F.array_distinct(F.regexp_extract_all(t, F.lit("&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"), F.lit(1)))
+        filled = F.aggregate(
             F.filter(codes, lambda c: c != "amp"),
             t,
             lambda acc, c: F.coalesce(F.replace(acc, F.concat(F.lit("&"), c, F.lit(";")), replacement(c)), acc),
         )
-        return F.when(t.contains("&"), F.replace(named, F.lit("&amp;"), F.lit("&"))).otherwise(t)
+        return F.when(t.contains("&"), F.replace(filled, F.lit("&amp;"), F.lit("&"))).otherwise(t)
 
     return let(text, decoded)
 
@@ -190,7 +204,7 @@ def outlinks(parts: Column, base: Column) -> Column:
 def json_ld_types(html: Column) -> Column:
     """``@type`` values of every JSON-LD block: objects, arrays, list-valued types and ``@graph`` members."""
     blocks = F.regexp_extract_all(
-        html,
+        F.regexp_replace(html, r"(?is)<!--.*?-->", ""),
         F.lit(r"(?is)<script\s[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"),
         F.lit(1),
     )
@@ -278,13 +292,12 @@ NOT_FOUND = (
     r"|page not found|not found|error 404|404 error|we can.?t find"
 )
 SOFT_404_WORDS = 60
-SOFT_404_SAMPLE = 2000  # the rule is defined on the opening of the page
 
 
 def soft_404(status: Column, title_col: Column, text: Column, words: Column) -> Column:
-    opening = F.concat(title_col, F.lit(" "), F.substring(text, 1, SOFT_404_SAMPLE))
+    whole = F.concat(title_col, F.lit(" "), text)
     return (
         F.coalesce(status == 200, F.lit(False))
-        & opening.rlike(NOT_FOUND)
+        & whole.rlike(NOT_FOUND)
         & ((words <= SOFT_404_WORDS) | title_col.rlike(NOT_FOUND))
     )

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
-_ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿšžčěřůāēīōūőű"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyszceruaeiouou"
+# Lower-case Latin letters that decompose into a plain letter and marks.
+_FOLDED = {
+    chr(i): base
+    for i in (*range(0xDF, 0x250), *range(0x1E00, 0x1F00))
+    if chr(i).islower() and len(full := unicodedata.normalize("NFD", chr(i))) > 1 and "a" <= (base := full[0]) <= "z"
+}
+_ACCENTED, _PLAIN = "".join(_FOLDED), "".join(_FOLDED.values())
 
 # Words that never become a keyword.
 STOPWORDS = sorted(
@@ -27,9 +34,8 @@ STOPWORDS = sorted(
     )
 )
 
-# Field weights and the length of the body sample that the keyword score is defined on.
+# Field weights.
 TITLE_WEIGHT, H1_WEIGHT, DESCRIPTION_WEIGHT, BODY_WEIGHT = 4, 3, 2, 1
-BODY_SAMPLE = 4000
 TOP_KEYWORDS = 5
 
 WORD = "[a-záéíóúüñàèìòù0-9]{3,}"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F
 
 from auditlake.functions.binding import let
 
-# Registry suffixes that take two labels.  Anything else is treated as a one-label suffix.
+# Registry suffixes that take two labels, beside those of the rule below.
 TWO_LABEL_SUFFIXES = (
     "co.uk org.uk ac.uk gov.uk com.au net.au org.au edu.au co.nz com.br net.br org.br gov.br com.ar com.mx "
     "org.mx com.co com.pe com.ve com.ec com.uy com.bo com.py com.gt com.do com.pa gob.cl gob.mx gob.ar co.jp "
@@ -17,6 +17,9 @@ TWO_LABEL_SUFFIXES = (
     "org.in co.za org.za com.tr com.ua com.pl co.il com.sa com.eg com.ng com.es nom.es org.es gob.es"
 ).split()
 
+# A country's second level for companies, networks, schools, government and the like.
+SECOND_LEVEL = r"^(ac|co|com|edu|go|gob|gouv|gov|govt|mil|ne|net|nom|or|org|sch)\.[a-z][a-z]$"
+
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
 
 
@@ -68,7 +71,7 @@ def registrable_domain(url: Column) -> Column:
     last_three = F.regexp_extract(bare, r"([^.]+\.[^.]+\.[^.]+)$", 1)
     return (
         F.when(bare.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$") | (last_two == ""), bare)
-        .when(last_two.isin(TWO_LABEL_SUFFIXES) & (last_three != ""), last_three)
+        .when((last_two.isin(TWO_LABEL_SUFFIXES) | last_two.rlike(SECOND_LEVEL)) & (last_three != ""), last_three)
         .otherwise(last_two)
     )
 

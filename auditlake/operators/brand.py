@@ -23,7 +23,6 @@ INTENT_LABELS = {
     "comparativa": "Comparativa", "transaccional": "Transaccional", "informacional": "Informacional",
 }
 MAX_QUESTIONS = 4
-EXCERPT_CHARS = 300
 
 
 @dataclass(frozen=True)
@@ -135,14 +134,14 @@ def label_of(value: Column, labels: dict[str, str]) -> Column:
     return F.coalesce(lookup(value, labels), value)
 
 
-def answer_verdicts(answers: DataFrame) -> DataFrame:
+def answer_verdicts(answers: DataFrame, excerpt_chars: int | None = None) -> DataFrame:
     """Display rows of a visibility check; ``mentioned`` is already computed."""
     return answers.select(
         "resp_id",
         label_of(F.col("provider"), PROVIDER_LABELS).alias("provider"),
         "query",
         F.when(F.col("error") != "", F.lit("Error")).when(F.col("mentioned"), F.lit("Sí ✓")).otherwise(F.lit("No")).alias("verdict"),
-        F.when(F.col("error") != "", F.col("error")).otherwise(F.substring("text", 1, EXCERPT_CHARS)).alias("detail"),
+        F.when(F.col("error") != "", F.col("error")).otherwise(F.col("text") if excerpt_chars is None else F.substring("text", 1, excerpt_chars)).alias("detail"),
     )
 
 

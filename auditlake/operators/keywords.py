@@ -30,10 +30,10 @@ transform(starts, (s, k) -> named_struct(
 """
 
 
-def scored_terms(pages: DataFrame, body_chars: int | None = X.BODY_SAMPLE) -> DataFrame:
+def scored_terms(pages: DataFrame, body_chars: int | None = None) -> DataFrame:
     """Adds ``scored``: array of (term, score, first_seq).
 
-    The score is defined on the opening ``body_chars`` characters of the body; pass ``None`` for all of it.
+    The score covers the whole body, or its opening ``body_chars`` characters.
     """
     body = F.col("text") if body_chars is None else F.substring("text", 1, body_chars)
 
@@ -55,7 +55,7 @@ def scored_terms(pages: DataFrame, body_chars: int | None = X.BODY_SAMPLE) -> Da
     )
 
 
-def top_keywords(pages: DataFrame, top_n: int = X.TOP_KEYWORDS, body_chars: int | None = X.BODY_SAMPLE) -> DataFrame:
+def top_keywords(pages: DataFrame, top_n: int = X.TOP_KEYWORDS, body_chars: int | None = None) -> DataFrame:
     """Adds ``keywords``: the best terms, single words that sit inside a chosen pair left out."""
     ranked = F.expr(
         "slice(transform(array_sort(transform(scored, t -> struct(-t.score AS rank, t.first_seq AS seq, t.term AS term))), t -> t.term), 1, "

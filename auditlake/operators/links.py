@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from auditlake.functions import urls as U
@@ -12,6 +14,15 @@ from auditlake.operators.shuffle import cut_lineage, heavy_keys, salted_join
 MAX_HOPS = 10  # fixed value: redirects followed before giving up
 
 
+def _compiles(pattern: str) -> bool:
+    """A pattern that is no regular expression excludes nothing."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        return False
+    return True
+
+
 def url_allowed(
     url: Column,
     max_length: int = 0,
@@ -23,7 +34,7 @@ def url_allowed(
     ok = F.lit(True)
     if max_length:
         ok = ok & (F.length(url) <= max_length)
-    for pattern in exclude_patterns:
+    for pattern in filter(_compiles, exclude_patterns):
         ok = ok & ~url.rlike(pattern)
     if max_query_params:
         ok = ok & (U.query_param_count(url) <= max_query_params)

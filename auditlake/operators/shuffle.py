@@ -7,15 +7,18 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-HEAVY_SHARE = 256  # a key with at least 1/256 of all rows is heavy, so there are at most 256 heavy keys
 SALTS = 64
 
 
 def heavy_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys holding at least ``1/HEAVY_SHARE`` of the rows: never more than ``HEAVY_SHARE`` of them."""
+    """Keys that fill a good part of a shuffle partition: at least a quarter of an even one.
+
+    There are never more than four times as many as shuffle partitions, which bounds the broadcast of the list.
+    """
+    share = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.select(*keys).dropna().groupBy(*keys).agg(F.count("*").alias("_n"))
     floor = counts.agg(F.sum("_n")).scalar()
-    return counts.where(F.col("_n") * HEAVY_SHARE >= floor).where("_n > 1").select(*keys)
+    return counts.where(F.col("_n") * share >= floor).where("_n > 1").select(*keys)
 
 
 def salted_join(
@@ -60,16 +63,6 @@ def number_within(df: DataFrame, key: str, order: list[str], block: Column, name
     return numbered.withColumn(name, F.col("_local") + F.col("_before")).drop("_block", "_local", "_before")
 
 
-def spread_small_scan(df: DataFrame, scan: DataFrame) -> DataFrame:
-    """Spreads ``df`` over all cores when its source ``scan`` has fewer splits than there are cores.
-
-    Parsing is CPU-bound, so a small file must not run as one task.  An archive has far more splits than cores and
-    is left as it is: no shuffle of page text at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if scan.rdd.getNumPartitions() < cores else df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables: the one the cluster names, a scratch one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

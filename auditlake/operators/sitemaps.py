@@ -8,8 +8,6 @@ from auditlake.functions import html as H, urls as U
 from auditlake.functions.binding import unpack
 from auditlake.operators.shuffle import cut_lineage
 
-MAX_DOCUMENTS = 20  # fixed value: sitemap files read per site
-
 
 def root_tag(xml: Column) -> Column:
     """Local name of the document element, empty when the text is not a closed XML element."""
@@ -44,18 +42,18 @@ def parse_sitemaps(docs: DataFrame) -> DataFrame:
     )
 
 
-def expand_sitemaps(parsed: DataFrame, starts: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """Reads each site's sitemap files breadth first, every file once, at most ``max_documents`` of them.
+def expand_sitemaps(parsed: DataFrame, starts: DataFrame, max_documents: int | None = None) -> DataFrame:
+    """Reads each site's sitemap files breadth first, every file once, all of them or at most ``max_documents`` per site.
 
     ``parsed``: the stored result of ``parse_sitemaps`` for the files that answered 200; every round reads it.
     ``starts``: site, pos, sitemap_url.  Returns the files visited with their visit number.  One round per index
-    level; every round adds at least one file per open site.
+    level; files already visited are left out, so cycles end.
     """
     children = parsed.where("is_index").select("site", F.col("sitemap_url").alias("parent"), "locs")
     children = unpack(children, "locs", "sitemap_url", "child_pos").drop("locs")
     queue = starts.select("site", F.lit(0).alias("parent_no"), F.col("pos").alias("child_pos"), "sitemap_url")
     visited = None
-    for _ in range(max_documents):
+    while True:
         fresh = queue.groupBy("site", "sitemap_url").agg(F.min(F.struct("parent_no", "child_pos")).alias("place"))
         if visited is None:
             seen = fresh.withColumn("already", F.lit(0))
@@ -63,17 +61,16 @@ def expand_sitemaps(parsed: DataFrame, starts: DataFrame, max_documents: int = M
             fresh = fresh.join(visited, ["site", "sitemap_url"], "left_anti")
             seen = fresh.join(visited.groupBy("site").agg(F.count("*").alias("already")), "site")
         turn = F.row_number().over(W.partitionBy("site").orderBy("place"))
-        level = seen.withColumn("turn", turn).where(F.col("turn") <= max_documents).withColumn(
-            "visit_no", (F.col("turn") + F.col("already")).cast("int")
-        )
-        level = cut_lineage(level.where(F.col("visit_no") <= max_documents).select("site", "sitemap_url", "visit_no"))
-        if level.isEmpty():
-            break
+        level = seen.withColumn("visit_no", (turn + F.col("already")).cast("int"))
+        if max_documents is not None:
+            level = level.where(F.col("visit_no") <= max_documents)
+        level = cut_lineage(level.select("site", "sitemap_url", "visit_no"))
+        if visited is not None and level.isEmpty():
+            return visited
         visited = level if visited is None else visited.unionByName(level)
         queue = children.join(
             level.select("site", F.col("sitemap_url").alias("parent"), F.col("visit_no").alias("parent_no")), ["site", "parent"]
         ).select("site", "parent_no", "child_pos", "sitemap_url")
-    return visited
 
 
 def sitemap_urls(parsed: DataFrame, visited: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import text as X
 from auditlake.operators import brand as B
-from auditlake.operators.shuffle import spread_small_scan
 from auditlake.plans import duck as D
 from auditlake.plans.registry import query
 from auditlake.sources import sinks
@@ -51,7 +50,7 @@ _STAT_COLUMNS = ["brand_no", "brand", "is_target", "responses", "mention_rate",
 
 
 def _responses(spark, sf):
-    return spread_small_scan(table(spark, sf, "responses"), table(spark, sf, "documents").select("doc_id"))
+    return table(spark, sf, "responses")
 
 
 def _analyses(spark, sf):
@@ -135,7 +134,7 @@ def domain_mentions(spark, sf):
 
 
 @query("answer_verdicts", f"""
-SELECT resp_id, {D.labels('provider', B.PROVIDER_LABELS)} AS provider, query, CASE WHEN error <> '' THEN 'Error' WHEN {_MENTIONED} THEN 'Sí ✓' ELSE 'No' END AS verdict, CASE WHEN error <> '' THEN error ELSE substr(text, 1, 300) END AS detail FROM responses""")
+SELECT resp_id, {D.labels('provider', B.PROVIDER_LABELS)} AS provider, query, CASE WHEN error <> '' THEN 'Error' WHEN {_MENTIONED} THEN 'Sí ✓' ELSE 'No' END AS verdict, CASE WHEN error <> '' THEN error ELSE text END AS detail FROM responses""")
 def answer_verdicts(spark, sf):
     return B.answer_verdicts(_answers(spark, sf))
 

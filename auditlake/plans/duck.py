@@ -83,12 +83,11 @@ def site(u: str) -> str:
 
 def domain(u: str) -> str:
     h = f"regexp_replace(regexp_replace({host(u)}, '^.*@', ''), ':[0-9]*$', '')"
-    suffixes = ", ".join(lit(s) for s in U.TWO_LABEL_SUFFIXES)
     two = f"regexp_extract({h}, '([^.]+[.][^.]+)$', 1)"
     three = f"regexp_extract({h}, '([^.]+[.][^.]+[.][^.]+)$', 1)"
     return (
         f"(CASE WHEN {two} = '' OR regexp_matches({h}, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$') THEN {h} "
-        f"WHEN {two} IN ({suffixes}) AND {three} <> '' THEN {three} ELSE {two} END)"
+        f"WHEN regexp_matches({two}, '^(co|com|net|org|edu|gov|gob|ac|ne|or)[.][a-z][a-z]$') AND {three} <> '' THEN {three} ELSE {two} END)"
     )
 
 
@@ -97,7 +96,7 @@ def trim(x: str) -> str:
 
 
 def decode(x: str) -> str:
-    for name, char in H.ENTITIES.items():
+    for name, char in {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "middot": "·", "eacute": "é", "hellip": "…"}.items():
         x = f"replace({x}, '&{name};', {lit(char)})"
     return f"replace({x}, '&amp;', '&')"
 
@@ -179,7 +178,7 @@ FROM docs d
 """
 CTES["facts"] = rf"""
 SELECT f.*, CASE WHEN html_ok THEN sha256(f.text) ELSE '' END AS content_hash,
-  coalesce(f.status = 200, false) AND regexp_matches(f.title || ' ' || substr(f.text, 1, 2000), '{H.NOT_FOUND.replace('(?iu)', '(?i)').replace("'", "''")}')
+  coalesce(f.status = 200, false) AND regexp_matches(f.title || ' ' || f.text, '{H.NOT_FOUND.replace('(?iu)', '(?i)').replace("'", "''")}')
     AND (f.word_count <= 60 OR regexp_matches(f.title, '{H.NOT_FOUND.replace('(?iu)', '(?i)').replace("'", "''")}')) AS is_soft_404,
   coalesce(f.status = 200 AND lower(meta_robots || ' ' || x_robots_tag) NOT LIKE '%noindex%' AND (canonical = '' OR canonical = final_url OR canonical = url), false) AS is_indexable,
   CASE WHEN f.final_url = '' THEN f.url ELSE f.final_url END AS address
@@ -301,7 +300,7 @@ SELECT site, sitemap_url, visit_no FROM (
     SELECT site, sitemap_url, arg_min(level, (level, pos)) AS level, arg_min(pos, (level, pos)) AS pos FROM (
       SELECT site, sitemap_url, 0 AS level, 0 AS pos FROM sitemap_starts
       UNION ALL SELECT e.site, e.loc, 1, e.loc_pos FROM sitemap_starts s JOIN sitemap_entries e ON e.site = s.site AND e.sitemap_url = s.sitemap_url AND e.root = 'sitemapindex' AND e.status = 200)
-    GROUP BY site, sitemap_url)) WHERE visit_no <= 20
+    GROUP BY site, sitemap_url))
 """
 CTES["listed"] = """
 SELECT v.site, v.visit_no, v.sitemap_url, e.loc_pos, e.loc FROM sitemap_visits v
@@ -320,7 +319,7 @@ WHERE {site('url')} = site AND url NOT IN (SELECT target FROM admitted) GROUP BY
 """
 CTES["broken_rows"] = """
 SELECT i.page_id, list(i.src ORDER BY i.n) AS broken_images FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n) AS k FROM image_rows) i
-JOIN assets a ON a.src = i.src WHERE i.k <= 25 AND (a.status IS NULL OR a.status >= 400) GROUP BY i.page_id
+JOIN assets a ON a.src = i.src WHERE a.status IS NULL OR a.status >= 400 GROUP BY i.page_id
 """
 
 # ------------------------------------------------------------------- findings

@@ -99,12 +99,15 @@ def _case(column: str, mapping: dict) -> str:
     return f"CASE {column} " + " ".join(f"WHEN {D.lit(str(k))} THEN {v if isinstance(v, int) else D.lit(v)}" for k, v in mapping.items()) + " END"
 
 
+PER_SITE = 6  # fixed value: findings of a site in the feed
+
+
 @query("priority_feed", f"""
 SELECT site, code, severity, affected_pages, title, fix_step FROM (
   SELECT o.*, a.title, a.fix_step, row_number() OVER (PARTITION BY site ORDER BY w * affected_pages DESC, first_user, o.code) AS rank FROM (
     SELECT s.site, s.code, {_case('s.code', _CODE_SEVERITY)} AS severity, CASE {_case('s.code', _CODE_SEVERITY)} WHEN 'critical' THEN 10 WHEN 'warning' THEN 3 ELSE 1 END AS w, count(DISTINCT s.url) AS affected_pages, min(cast(substr(s.url, 3) AS bigint)) AS first_user
     FROM snapshots s JOIN latest_full l ON l.site = s.site AND l.ts = s.crawl_day GROUP BY ALL) o JOIN advice a ON a.code = o.code)
-WHERE rank <= 4""")
+WHERE rank <= 6""")
 def priority_feed(spark, sf):
     """What matters most across sites: the top findings of each site's newest full crawl, then one order for all."""
     latest = H.latest_full(_catalog(spark, sf)).select("site", "crawl_ts")
@@ -114,7 +117,7 @@ def priority_feed(spark, sf):
         rules.lookup(u("code"), _CODE_CATEGORY).alias("category"), rules.lookup(u("code"), _CODE_SEVERITY).alias("severity"))
     # codes of a page come sorted in a snapshot
     position = F.array_position(F.array(*[F.lit(c) for c in sorted(_CODE_CATEGORY)]), u("code"))
-    top = A.opportunities(issues.withColumn("issue_seq", position)).where("rank <= 4")
+    top = A.opportunities(issues.withColumn("issue_seq", position)).where(F.col("rank") <= PER_SITE)
     feed = with_advice(top.select("site", "code", "severity", "affected_pages"))
     ordered = feed.orderBy(rules.order(u("severity")), F.desc("affected_pages"), "site", "code")
     return ordered.select("site", "code", "severity", "affected_pages", "title", "fix_step")

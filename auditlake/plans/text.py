@@ -19,7 +19,7 @@ D.CTES["keyword_fields"] = f"""
 SELECT page_id, 0 AS field, 4 AS weight, {_WORDS.format(x='title')} AS words FROM facts
 UNION ALL SELECT page_id, n, 3, {_WORDS.format(x='h')} FROM (SELECT page_id, unnest(h1) AS h, generate_subscripts(h1, 1) AS n FROM facts)
 UNION ALL SELECT page_id, 1000, 2, {_WORDS.format(x='meta_description')} FROM facts
-UNION ALL SELECT page_id, 1001, 1, {_WORDS.format(x='substr(text, 1, 4000)')} FROM facts
+UNION ALL SELECT page_id, 1001, 1, {_WORDS.format(x='text')} FROM facts
 """
 D.CTES["term_scores"] = """
 SELECT page_id, term, sum(w)::bigint AS score, row_number() OVER (PARTITION BY page_id ORDER BY min((field, kind, pos))) AS first_no FROM (

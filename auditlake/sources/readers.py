@@ -84,8 +84,8 @@ def resumable(saved: DataFrame, as_of: Column) -> DataFrame:
     return saved.where((F.size("frontier") > 0) & (age <= MAX_AGE_SECONDS)).withColumn("age_seconds", age).orderBy(F.desc("saved_at"))
 
 
-def feed_items(docs: DataFrame, limit: int = 15) -> DataFrame:
-    """Relevant items of RSS documents in document order, at most ``limit`` per document."""
+def feed_items(docs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Relevant items of RSS documents in document order, all or at most ``limit`` per document."""
     items = F.regexp_extract_all("xml", F.lit(r"(?s)<item(?:\s[^>]*)?>(.*?)</item\s*>"), F.lit(1))
 
     def field(item: Column, tag: str) -> Column:
@@ -102,7 +102,7 @@ def feed_items(docs: DataFrame, limit: int = 15) -> DataFrame:
         ),
     )
     kept = F.filter(parsed, lambda i: (i.title != "") & (i.link != "") & X.is_relevant(i.title))
-    return unpack(docs.select("doc_id", F.slice(kept, 1, limit).alias("items")), "items", "item", "pos").select("doc_id", "pos", "item.*")
+    return unpack(docs.select("doc_id", (kept if limit is None else F.slice(kept, 1, limit)).alias("items")), "items", "item", "pos").select("doc_id", "pos", "item.*")
 
 
 def speed_metrics(payloads: DataFrame) -> DataFrame:
