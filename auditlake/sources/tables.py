@@ -16,7 +16,8 @@ AS_OF_EPOCH = 1706745600
 
 DERIVED: dict[str, tuple[tuple[str, ...], str]] = {}
 
-# One row per fetched address.
+# One row per fetched address.  The neighbours that a page links to are found on narrow rows and joined once; a hub has
+# at most some two hundred pages, whatever the size.
 DERIVED["fetch_rows"] = (
     ("pages",),
     """
@@ -58,7 +59,7 @@ FROM (
     CASE WHEN p.status IS NULL THEN '' WHEN p.page_id % 31 = 5 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS content_type,
     CASE WHEN p.page_id % 2 = 0 THEN 'nginx' ELSE 'Apache' END AS server,
     CASE WHEN p.page_id % 23 = 0 THEN 'NoFollow' ELSE '' END AS x_robots_tag,
-    n.url AS next_url, h.url AS hub_url
+    r.next_url, r.hub_url
   FROM (
     SELECT page_id, html, regexp_replace(url, '#.*$', '') AS url,
       regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www[.]', '') AS site,
@@ -67,11 +68,14 @@ FROM (
            WHEN page_id % 145 = 0 THEN 'net::ERR_NAME_NOT_RESOLVED' WHEN page_id % 145 = 29 THEN 'Read timed out'
            WHEN page_id % 145 = 58 THEN 'Connection refused' WHEN page_id % 145 = 87 THEN 'certificate verify failed' ELSE 'weird' END AS error,
       page_id % 6 AS depth, cast(50 + (page_id * 37) % 400 as double) + 0.25 AS fetch_ms,
-      CASE WHEN page_id % 35 = 0 THEN 'loop' WHEN page_id % 21 = 0 THEN 'long' WHEN page_id % 14 = 0 THEN 'temporary' WHEN page_id % 7 = 0 THEN 'single' ELSE 'none' END AS hop_kind,
-      CASE WHEN page_id % 3 = 0 THEN 0 ELSE page_id - page_id % 10 END AS hub_id
+      CASE WHEN page_id % 35 = 0 THEN 'loop' WHEN page_id % 21 = 0 THEN 'long' WHEN page_id % 14 = 0 THEN 'temporary' WHEN page_id % 7 = 0 THEN 'single' ELSE 'none' END AS hop_kind
     FROM {pages}) p
-  LEFT JOIN (SELECT page_id - 1 AS before_id, regexp_replace(url, '#.*$', '') AS url FROM {pages}) n ON n.before_id = p.page_id
-  LEFT JOIN (SELECT page_id AS at_id, regexp_replace(url, '#.*$', '') AS url FROM {pages}) h ON h.at_id = p.hub_id
+  LEFT JOIN (
+    SELECT k.page_id, n.url AS next_url, h.url AS hub_url
+    FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN page_id - page_id % 200 ELSE page_id - page_id % 10 END AS hub_id FROM {pages}) k
+    LEFT JOIN (SELECT page_id - 1 AS before_id, regexp_replace(url, '#.*$', '') AS url FROM {pages}) n ON n.before_id = k.page_id
+    LEFT JOIN (SELECT page_id AS at_id, regexp_replace(url, '#.*$', '') AS url FROM {pages}) h ON h.at_id = k.hub_id
+  ) r ON r.page_id = p.page_id
 ) x
 """,
 )
