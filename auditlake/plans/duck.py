@@ -417,5 +417,5 @@ SELECT site, count(*) AS total_pages, count_if(is_blocked)::bigint AS blocked_by
   count_if(NOT is_blocked AND status < 400)::bigint AS ok_pages, count_if(list_contains(codes, 'duplicate_content'))::bigint AS duplicate_pages, count_if(is_orphan)::bigint AS orphan_pages
 FROM page_findings GROUP BY site
 """
-_ADVICE = ", ".join(f"({lit(c)}, {lit(t)}, {lit(w)}, {lit(s[0])})" for c, t, w, s in ADVICE)
-CTES["advice"] = f"SELECT * FROM (VALUES {_ADVICE}) t(code, title, why, fix_step)"
+_ADVICE = ", ".join(f"({lit(c)}, {lit(t)}, {lit(w)}, {lit(s[0])}, {lit(chr(10).join(s))})" for c, t, w, s in ADVICE)
+CTES["advice"] = f"SELECT * FROM (VALUES {_ADVICE}) t(code, title, why, fix_step, fix_plan)"

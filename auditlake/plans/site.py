@@ -192,7 +192,7 @@ def top_opportunities(spark, sf):
 
 
 @query("opportunity_advice", f"""
-SELECT o.site, o.code, o.affected_pages, o.rank, coalesce(a.title, '') AS title, coalesce(a.why, '') AS why, coalesce(a.fix_step, 'Revisa este hallazgo y decide si aplica una corrección.') AS fix_step FROM opps o LEFT JOIN advice a ON a.code = o.code""")
+SELECT o.site, o.code, o.affected_pages, o.rank, coalesce(a.title, '') AS title, coalesce(a.why, '') AS why, coalesce(a.fix_step, 'Revisa este hallazgo y decide si aplica una corrección.') AS fix_step, coalesce(a.fix_plan, 'Revisa este hallazgo y decide si aplica una corrección.') AS fix_plan FROM opps o LEFT JOIN advice a ON a.code = o.code""")
 def opportunity_advice(spark, sf):
     opps = A.opportunities(A.first_findings(I.audited(spark, sf))).select("site", "code", "affected_pages", "rank")
     return with_advice(opps)

@@ -64,3 +64,13 @@ def test_a_key_of_a_third_of_a_percent_is_split_when_partitions_are_many(spark):
         assert joined.count() == 10
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_unknown_codes_keep_their_own_message_and_known_ones_all_steps(spark):
+    from auditlake.operators.advice import ADVICE, DEFAULT_STEP, with_advice
+
+    code, title, _, steps = next(a for a in ADVICE if len(a[3]) > 1)
+    rows = spark.createDataFrame([(code, "m1"), ("own_code", "m2")], "code string, message string")
+    out = {r["code"]: r for r in with_advice(rows, "message").collect()}
+    assert out[code]["title"] == title and out[code]["fix_plan"] == "\n".join(steps) and out[code]["fix_step"] == steps[0]
+    assert out["own_code"]["title"] == "m2" and out["own_code"]["fix_plan"] == DEFAULT_STEP
