@@ -1,9 +1,11 @@
 """Substring dedup over a de Bruijn graph of words: long spans that an earlier document already has are removed.
 
-1. Anchors.  The smallest five-word hash among those of a window of ``k`` words stands for the window; equal windows have
-   equal anchors.  Anchors found in a single document are dropped, so most text never becomes an edge.
+1. Anchors.  The smallest seven-word hash among those of a window of ``k`` words stands for the window; equal windows have
+   equal anchors.  Anchors found in a single document are dropped, so most text never becomes an edge.  They
+   have 48 bits: one that coincides with another costs an edge, never a result.
 2. Edges.  The remaining windows are k-mer edges with their coordinates (document, position).  Per edge: the smallest
-   document that has it (owner) and its number of occurrences.  Edges are told apart by two independent 64-bit hashes.
+   document that has it (owner) and its number of occurrences.  Edges are told apart by two independent hashes, 96 bits
+   together.
 3. Compaction.  An occurrence joins its edge; consecutive occurrences in a document with one owner and one multiplicity
    are a nonbranching path and become one row (document, start, length, digest of its edges).
 4. Verification.  Each path row is checked against the words at its coordinates in the text itself: the
@@ -17,6 +19,7 @@ Rows that repeat an id and text get the same result; equal ids never count as an
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +27,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from auditlake.llm.words import Words, grams, signed, slices, sliding_min, words_of
-from auditlake.operators.shuffle import stage
+from auditlake.llm.words import Words, grams, signed, slices, sliding_min, squeezed, unsqueezed, words_of
 
 K = 13
-ANCHOR = 5
+ANCHOR = 7
 
 
 def _windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +43,7 @@ def _windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchors_at(words: Words, at: np.ndarray, k: int) -> np.ndarray:
     short = min(ANCHOR, k)
-    return sliding_min(grams(words.hash, short), k - short + 1)[at] if len(at) else np.zeros(0, np.uint64)
+    return sliding_min(grams(words.hash, short), k - short + 1)[at] >> np.uint64(16) if len(at) else np.zeros(0, np.uint64)
 
 
 def _anchors(k: int):
@@ -93,7 +95,7 @@ def _sorted_out(k: int, text: bool):
     """Texts without a repeated anchor and exact copies are finished; the others go on, with their repeated anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in unsqueezed(batches):
             words = words_of(batch.column("text"))
             at, owner = _windows(words, k)
             low = _anchors_at(words, at, k)
@@ -118,15 +120,20 @@ def _sorted_out(k: int, text: bool):
                     out = [part.column("doc_id"), part.column("hash")]
                     out += [part.column(c) if own else nothing(m, t) for c, t in (("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()))]
                     out += [part.column("kept")] if own and text else [nothing(m, pa.string())]
-                    out += [nothing(m, pa.string()), nothing(m, pa.list_(pa.int64()))] if own else [part.column("text").cast(pa.string()), part.column("anchors").cast(pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(out, names=["doc_id", "hash", "n_words", "n_removed", "kept_sha256", "kept", "text", "anchors"])
+                    out += [nothing(m, pa.binary()), nothing(m, pa.list_(pa.int64()))] if own else [part.column("z").cast(pa.binary()), part.column("anchors").cast(pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(out, names=["doc_id", "hash", "n_words", "n_removed", "kept_sha256", "kept", "z", "anchors"])
 
     return run
 
 
+def _check(words: Words, k: int) -> np.ndarray:
+    """A second, 32-bit hash of every window."""
+    return grams(words.hash, k, seed=4).astype(np.uint32).view(np.int32)
+
+
 def _edges(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in unsqueezed(batches):
             words = words_of(batch.column("text"))
             at, text = _windows(words, k)
             keep = np.isin(_anchors_at(words, at, k), batch.column("anchors").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
@@ -135,7 +142,7 @@ def _edges(k: int):
                 take = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(signed(grams(words.hash, k, seed=3)[at])), pa.array(signed(grams(words.hash, k, seed=4)[at])),
+                        pa.array(signed(grams(words.hash, k, seed=3)[at])), pa.array(_check(words, k)[at]),
                         batch.column("doc_id").take(take), batch.column("hash").take(take), pa.array((at - words.first[text]).astype(np.int32)),
                     ],
                     names=["edge", "check", "doc_id", "hash", "pos"],
@@ -148,15 +155,16 @@ def _cut(k: int, text: bool):
     """Removes verified paths of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in unsqueezed(batches):
             words = words_of(batch.column("text"))
-            total = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(grams(words.hash, k, seed=4))])
+            total = np.concatenate([np.zeros(1, np.int32), np.bitwise_xor.accumulate(_check(words, k))])
+            own = batch.column("hash").to_pylist()
             marks = np.zeros(len(words.hash) + 1, np.int64)
             for i, paths in enumerate(batch.column("paths").to_pylist()):
                 a, b = words.first[i], words.first[i + 1]
                 for path in paths or ():
                     start, n = a + path["start"], path["n"]
-                    if start + n + k - 1 <= b and int((total[start + n] ^ total[start]).view(np.int64)) == path["digest"]:
+                    if path["hash"] == own[i] and start + n + k - 1 <= b and int(total[start + n] ^ total[start]) == path["digest"]:
                         marks[start] += 1
                         marks[start + n + k - 1] -= 1
             removed = np.cumsum(marks)[:-1] > 0
@@ -165,6 +173,14 @@ def _cut(k: int, text: bool):
     return run
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Stored in the warehouse by buckets of ``key``, so a later join on it leaves these rows where they are."""
+    spark = df.sparkSession
+    name = f"spans_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def repeated_spans(docs: DataFrame, k: int = K, text: bool = False) -> DataFrame:
     """``doc_id, hash, n_words, n_removed, kept_sha256`` of each row of ``docs``; with ``text`` also ``kept``, what is left if words went.
 
@@ -179,21 +195,22 @@ def repeated_spans(docs: DataFrame, k: int = K, text: bool = False) -> DataFrame
     anchors = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_anchors(k), "anchor long, doc_id long")
     repeated = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
     hits = anchors.join(repeated, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    sorted_schema = "doc_id long, hash long, n_words long, n_removed long, kept_sha256 string, kept string, text string, anchors array<long>"
+    sorted_schema = "doc_id long, hash long, n_words long, n_removed long, kept_sha256 string, kept string, z binary, anchors array<long>"
+    small = docs.mapInArrow(squeezed(["doc_id", "hash"]), "doc_id long, hash long, z binary")
     route = hits.join(copies, "doc_id", "full")
-    routed = docs.join(route, "doc_id", "left").withColumn("copy", F.array_contains("copies", F.col("hash"))).drop("copies")
-    first = stage(routed.mapInArrow(_sorted_out(k, text), sorted_schema), "substrings")
+    routed = small.join(route, "doc_id", "left").withColumn("copy", F.array_contains("copies", F.col("hash"))).drop("copies")
+    first = bucketed(routed.mapInArrow(_sorted_out(k, text), sorted_schema), "doc_id")
 
-    rest = first.where("text is not null").select("doc_id", "hash", "text", "anchors")
-    edges = rest.mapInArrow(_edges(k), "edge long, check long, doc_id long, hash long, pos int")
+    rest = first.where("z is not null")
+    edges = rest.select("doc_id", "hash", "z", "anchors").mapInArrow(_edges(k), "edge long, check int, doc_id long, hash long, pos int")
     table = edges.groupBy("edge", "check").agg(F.min("doc_id").alias("owner"), F.count("*").alias("times")).where("times > 1")
-    later = edges.join(table, ["edge", "check"]).where("doc_id > owner")
+    later = edges.join(table, ["edge", "check"]).where("doc_id > owner").drop("edge")
     along = W.partitionBy("doc_id", "hash", "owner", "times").orderBy("pos")
     later = later.withColumn("path", F.col("pos") - F.dense_rank().over(along)).withColumn("again", F.coalesce(F.lag("pos").over(along) == F.col("pos"), F.lit(False)))
     paths = later.groupBy("doc_id", "hash", "owner", "times", "path").agg(
         F.min("pos").cast("long").alias("start"), (F.max("pos") - F.min("pos") + 1).cast("long").alias("n"), F.bit_xor(F.when(~F.col("again"), F.col("check"))).alias("digest")
     )
-    paths = paths.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("start", "n", "digest")).alias("paths"))
+    paths = paths.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "start", "n", "digest")).alias("paths"))
     shape = "doc_id long, hash long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if text else "")
-    last = rest.select("doc_id", "hash", "text").join(paths, ["doc_id", "hash"], "left").mapInArrow(_cut(k, text), shape)
-    return first.where("text is null").select(*last.columns).unionByName(last)
+    last = rest.select("doc_id", "hash", "z").join(paths, "doc_id", "left").mapInArrow(_cut(k, text), shape)
+    return first.where("z is null").select(*last.columns).unionByName(last)
