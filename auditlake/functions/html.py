@@ -280,6 +280,7 @@ def technologies(haystack: Column, html: Column) -> Column:
         return hit
 
     found = F.array_compact(F.array(*[F.when(any_of(ms), F.lit(name)) for name, ms in TECH_MARKERS]))
+    # fixed value: the pattern
     generator = trim_ws(
         F.regexp_extract(html, r"(?i)<meta[^>]+name=[\"']generator[\"'][^>]+content=[\"']([^\"']+)", 1)
     )

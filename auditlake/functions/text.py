@@ -15,24 +15,23 @@ _FOLDED = {
 _ACCENTED, _PLAIN = "".join(_FOLDED), "".join(_FOLDED.values())
 
 # Words that never become a keyword.
-STOPWORDS = sorted(
-    set(
-        (
-            # Spanish
-            "las los una unas unos del con por para que qué como cómo más mas sus este esta estos estas ese esa "
-            "esos esas aquí allí ser son está están estás hay fue muy sin sobre también tambien hasta desde entre "
-            "cuando donde dónde quien quién nos les nuestro nuestra nuestros nuestras tus mis sí no pero porque "
-            "todo toda todos todas otro otra otros otras ver puede pueden hacer tiene tienen años año día días "
-            # English
-            "the and for with that this you your are was have has not but all can our from how what when where "
-            "why who will more one two new get use about into out them their they its "
-            # page furniture
-            "inicio home menú menu buscar cuenta carrito login cookies aceptar política privacidad términos "
-            "condiciones contacto copyright reservados derechos página web sitio online click clic leer email "
-            "newsletter"
-        ).split()
-    )
-)
+STOPWORDS = tuple(dict.fromkeys((
+    # Spanish
+    "las", "los", "una", "unas", "unos", "del", "con", "por", "para", "que", "qué", "como", "cómo", "más", "mas", "sus",
+    "este", "esta", "estos", "estas", "ese", "esa", "esos", "esas", "aquí", "allí", "ser", "son", "está", "están", "estás",
+    "hay", "fue", "muy", "sin", "sobre", "también", "tambien", "hasta", "desde", "entre", "cuando", "donde", "dónde",
+    "quien", "quién", "nos", "les", "nuestro", "nuestra", "nuestros", "nuestras", "tus", "mis", "sí", "no", "pero",
+    "porque", "todo", "toda", "todos", "todas", "otro", "otra", "otros", "otras", "ver", "puede", "pueden", "hacer",
+    "tiene", "tienen", "años", "año", "día", "días",
+    # English
+    "the", "and", "for", "with", "that", "this", "you", "your", "are", "was", "have", "has", "not", "but", "all", "can",
+    "our", "from", "how", "what", "when", "where", "why", "who", "will", "more", "one", "two", "new", "get", "use", "about",
+    "into", "out", "them", "their", "they", "its",
+    # page furniture
+    "inicio", "home", "menú", "menu", "buscar", "cuenta", "carrito", "login", "cookies", "aceptar", "política",
+    "privacidad", "términos", "condiciones", "contacto", "copyright", "reservados", "derechos", "página", "web", "sitio",
+    "online", "click", "clic", "leer", "email", "newsletter",
+)))
 
 # Field weights.
 TITLE_WEIGHT, H1_WEIGHT, DESCRIPTION_WEIGHT, BODY_WEIGHT = 4, 3, 2, 1

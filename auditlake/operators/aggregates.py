@@ -183,6 +183,7 @@ def next_steps(opps: DataFrame, breakdown: DataFrame, budget: DataFrame, advice:
     )
     busiest = breakdown.where("rank = 1").select("site", F.initcap(F.replace("category", F.lit("_"), F.lit(" "))).alias("busiest"))
     joined = budget.select("site", "error_pages").join(worst, "site", "left").join(busiest, "site", "left")
+    # fixed values: the sentences
     steps = F.array_compact(
         F.array(
             F.when(F.col("code").isNotNull(), F.concat(F.lit("Priorizar: "), F.lower("title"), F.lit(" ("), F.col("affected_pages").cast("string"), F.lit(" páginas afectadas)."))),

@@ -78,7 +78,7 @@ _CANONICAL_OFF = (
 )
 _HTML_SEEN = "(size(redirect_chain) > 0 OR status = 200)"
 
-# Page rules in reporting order.
+# Page rules in reporting order.  Fixed values: categories, severities, codes, messages and limits.
 PAGE_RULES = [
     Rule("response_codes", "critical", sql("CASE WHEN error_type = '' THEN 'connection_error' ELSE error_type END"),
          sql("status IS NULL"),

@@ -65,6 +65,7 @@ def site_issues(inputs: DataFrame) -> DataFrame:
     to_https = F.col("probe_url").startswith("https://")
     days = F.col("days_left")
     text = lambda c: F.col(c).cast("string")
+    # fixed values: categories, severities, codes and messages
     findings = F.array_compact(
         F.array(
             _finding(no_robots, "sitemap_robots", "info", "robots_missing", F.lit("No se encontró robots.txt (se asume que todo está permitido).")),

@@ -29,6 +29,9 @@ def plain(df: DataFrame) -> DataFrame:
 def query(name: str, sql: str | None = None):
     """Registers a query; ``sql`` may name any subquery of ``duck.CTES``."""
 
+    if name in QUERIES:
+        raise ValueError(f"query {name} is registered twice")
+
     def register(fn):
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:

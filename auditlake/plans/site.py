@@ -51,7 +51,7 @@ FROM page_findings p LEFT JOIN tech_rows t ON t.page_id = p.page_id LEFT JOIN pa
 def audit_grid(spark, sf):
     """The page grid, worst severity first."""
     stored = I.stage(K.top_keywords(I.facts(spark, sf, keep_text=True)).drop("text"), "facts")
-    pages = I.audited(spark, sf, stored)
+    pages = I.stage(I.audited(spark, sf, stored), "audited")  # sorting samples its input first
     yes = lambda c: F.when(c, F.lit("Sí")).otherwise(F.lit("No"))
     return pages.orderBy(A.worst_severity(), "page_id").select(
         F.concat(F.when(u("is_orphan"), F.lit("🕸 ")).otherwise(F.lit("")), "url").alias("url"),
@@ -72,7 +72,7 @@ def grid_filters(spark, sf):
 SELECT page_id, site, url, status, CASE WHEN error <> '' THEN error WHEN status IS NULL THEN 'Sin respuesta' ELSE 'HTTP ' || status END AS label FROM page_findings
 WHERE NOT is_blocked AND (status IS NULL OR status >= 400) ORDER BY status NULLS LAST, page_id""")
 def error_pages(spark, sf):
-    return A.error_pages(I.audited(spark, sf))
+    return A.error_pages(I.audited_once(spark, sf))  # sorting samples its input first
 
 
 @query("page_detail", """

@@ -39,4 +39,8 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_every_query_is_registered_once():
-    assert set(ORACLE) <= set(QUERIES) and len(QUERIES) >= 115
+    from auditlake.plans.registry import query
+
+    assert set(ORACLE) <= set(QUERIES)
+    with pytest.raises(ValueError, match="twice"):
+        query("page_facts")
