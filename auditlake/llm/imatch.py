@@ -35,23 +35,27 @@ def _slot(h: Column) -> Column:
     return F.pmod(h, F.lit(SLOTS)).cast("int")
 
 
-def lexicon(docs: DataFrame, low: float = LOW_IDF, high: float = HIGH_IDF, text: str = "text") -> bytearray:
-    """One byte per slot: 1 where ``low <= ln(documents / frequency) <= high``.  At most ``SLOTS`` rows reach the driver."""
+def lexicon(docs: DataFrame, low: float = LOW_IDF, high: float = HIGH_IDF, text: str = "text") -> bytes:
+    """Seven slots a byte: a bit is set where ``low <= ln(documents / frequency) <= high``.  At most ``SLOTS`` rows reach the driver."""
     total = docs.count()
     slots = docs.select(F.explode(F.array_distinct(F.transform(_hashes(F.col(text)), _slot))).alias("slot"))
     most, least = total * math.exp(-low), total * math.exp(-high)
-    table = bytearray(SLOTS)
+    table = bytearray(b"\x7f" * (SLOTS // 7 + 1))
     outside = slots.groupBy("slot").count().where((F.col("count") > most) | (F.col("count") < least))
-    for i in range(SLOTS):
-        table[i] = 1
     for row in outside.toLocalIterator():
-        table[row["slot"]] = 0
-    return table
+        table[row["slot"] // 7] &= ~(1 << (row["slot"] % 7))
+    return bytes(table)
+
+
+def _held(table: bytes, slot: Column) -> Column:
+    """The slot's bit."""
+    byte = F.substring(F.lit(table), F.floor(slot / 7).cast("int") + 1, F.lit(1))
+    return F.ascii(byte.cast("string")).bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(7)]), F.pmod(slot, F.lit(7)) + 1)) != 0
 
 
 def fingerprinted(docs: DataFrame, table: bytes, text: str, name: str) -> DataFrame:
     """Adds ``name``: an array of ``len(RATES) * LEXICONS`` hashes, thinnest rate last."""
-    kept = F.filter(_hashes(F.col(text)), lambda h: F.substring(F.lit(bytes(table)), _slot(h) + 1, F.lit(1)) == F.lit(b"\x01"))
+    kept = F.filter(_hashes(F.col(text)), lambda h: _held(table, _slot(h)))
     out = docs.withColumn("_terms", F.sort_array(kept))
     for s in range(LEXICONS):
         held = "_terms"
@@ -107,7 +111,7 @@ def followed(docs: DataFrame, columns: list[str]) -> DataFrame:
 def compared(docs: DataFrame) -> DataFrame:
     """Fingerprints of each row, of its edited text and of the next row, with their likeness."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    table = bytes(lexicon(docs))
+    table = lexicon(docs)
     own = followed(fingerprinted(docs, table, "text", "own"), ["text", "own"])
     own = own.withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
