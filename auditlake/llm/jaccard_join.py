@@ -4,7 +4,8 @@
    are common in its batch.  Documents with equal sets are one class, led by the smallest id.
 2. Only shingles that come first in one global order (rare ones first, then by hash) can be needed: sets of similarity 0.8
    share ``SHARED`` shingles among the first ``n - ceil(0.8 n) + SHARED`` of each (all of them in a smaller set).  Shingles
-   held by a single class are dropped, then classes left with fewer than that.
+   held by a single class are dropped, then classes left with fewer than that.  How many are dropped bounds the overlap
+   of a set with any other, so near copies with too many changes of their own meet nobody.
 3. Classes that share a min-hash are compared with the smallest of them: the links found partition similar documents
    into groups.
 4. The token-group matrix holds each group's union of those shingles.  A query (a member of the smaller group) can be
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditlake.llm.components import components
-from auditlake.llm.words import grams, mix, signed, slices, words_of
+from auditlake.llm.words import grams, mix, signed, slices, squeezed, unsqueezed, words_of
 from auditlake.operators.shuffle import stage
 
 WORDS = 5
@@ -112,22 +113,24 @@ def _prefixes(common: np.ndarray, often: np.ndarray):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in unsqueezed(batches):
         sets = shingle_sets(batch.column("text"))
         ids = pa.array([_digest(s) for s in sets], pa.binary())
         yield pa.RecordBatch.from_arrays([ids, pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], names=["id", "tokens"])
 
 
-def _fits(a: Column, b: Column) -> Column:
-    """Sizes that allow the similarity."""
-    return (a * SIMILAR <= b * 100) & (b * SIMILAR <= a * 100)
+def _fits(a: Column, alone_a: Column, b: Column, alone_b: Column) -> Column:
+    """Sizes that allow the similarity, when so many shingles of each set are in no other set."""
+    most = F.least(a - alone_a, b - alone_b)
+    return most * 100 >= (a + b - most) * SIMILAR
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose exact sets reach the similarity."""
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("_left"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("_right"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    # both sides grow with the corpus: never broadcast, also where they happen to be small
+    both = pairs.select("a", "b").hint("merge").join(left, "a").hint("merge").join(right, "b")
     shared = F.size(F.array_intersect("_left", "_right"))
     return both.where(shared * 100 >= (F.size("_left") + F.size("_right") - shared) * SIMILAR).select("a", "b")
 
@@ -147,33 +150,41 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     rows = docs.mapInArrow(_prefixes(common, often), "token long, short long")
     repeated = rows.groupBy("token").count().where("count > 1").select("token")
     live = stage(rows.join(repeated, "token", "left_semi").distinct(), "tokens")
-    enough = F.least(F.lit(SHARED), F.ceil(F.col("n") * SIMILAR / 100))
+    several = live.groupBy("token").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo < hi").select("token")
+    live = stage(live.join(several, "token", "left_semi"), "tokens")
+    least = F.ceil(F.col("n") * SIMILAR / 100)
+    enough = F.least(F.lit(SHARED), least)
+    alone = F.greatest(F.least(F.col("n"), F.col("n") - least + SHARED) - F.col("count"), F.lit(0))
     held = live.groupBy("short").count().join(classes, "short").where(F.col("count") >= enough)
-    held = stage(held.select("short", "id", "doc", "n", "mins"), "held")
+    held = stage(held.select("short", "id", "doc", "n", alone.alias("alone"), "mins"), "held")
 
-    keyed = held.select("id", "doc", "n", F.posexplode("mins").alias("i", "low"))
-    leads = keyed.groupBy("i", "low").agg(F.min(F.struct("doc", F.col("id").alias("b"), F.col("n").alias("m"))).alias("lead"), F.count("*").alias("k"))
-    stars = keyed.join(leads.where("k > 1"), ["i", "low"]).where((F.col("id") != F.col("lead.b")) & _fits(F.col("n"), F.col("lead.m")))
+    keyed = held.select("id", "doc", "n", "alone", F.posexplode("mins").alias("i", "low"))
+    lead = F.min(F.struct("doc", F.col("id").alias("b"), F.col("n").alias("m"), "alone"))
+    leads = keyed.groupBy("i", "low").agg(lead.alias("lead"), F.count("*").alias("k"))
+    fits = _fits(F.col("n"), F.col("alone"), F.col("lead.m"), F.col("lead.alone"))
+    stars = keyed.join(leads.where("k > 1"), ["i", "low"]).where((F.col("id") != F.col("lead.b")) & fits)
     stars = stage(stars.select(F.col("id").alias("a"), F.col("lead.b").alias("b")).distinct(), "stars")
     wanted = held.select("doc").distinct()
-    sets = stage(docs.join(wanted, docs.doc_id == wanted.doc).select("text").mapInArrow(_sets, "id binary, tokens array<long>"), "sets")
+    small = docs.mapInArrow(squeezed(["doc_id"]), "doc_id long, z binary")
+    sets = stage(small.join(wanted.hint("merge"), small.doc_id == wanted.doc).select("z").mapInArrow(_sets, "id binary, tokens array<long>"), "sets")
 
     links = stage(_verified(stars, sets).distinct(), "links")
-    member = held.select("short", "id", "n").join(components(links), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
+    member = held.select("short", "id", "n", "alone").join(components(links), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
     extent = member.groupBy("group").agg(F.count("*").alias("members"))
     member = stage(member.join(extent, "group"), "members")
-    cells = stage(live.join(member, "short").select("token", "id", "n", "group", "members"), "cells")
+    cells = stage(live.join(member, "short").select("token", "id", "n", "alone", "group", "members"), "cells")
     spread = cells.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
     cells = stage(cells.join(spread, "token", "left_semi"), "matrix")
-    matrix = cells.groupBy("token", "group", "members").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = cells.groupBy("token", "group", "members").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("alone")).alias("most"))
     q, m = cells.alias("q"), matrix.alias("m")
     order = F.struct("q.members", "q.group") < F.struct("m.members", "m.group")
-    reach = (F.col("m.most") * 100 >= F.col("q.n") * SIMILAR) & (F.col("m.least") * SIMILAR <= F.col("q.n") * 100)
+    most = F.least(F.col("q.n") - F.col("q.alone"), F.col("m.most"))
+    reach = most * 100 >= (F.col("q.n") + F.col("m.least") - most) * SIMILAR
     hits = q.join(m, F.col("q.token") == F.col("m.token")).where(order & reach)
-    opened = hits.groupBy("q.id", "q.n", "m.group").count().where(F.col("count") >= enough)
+    opened = hits.groupBy("q.id", "q.n", "q.alone", "m.group").count().where(F.col("count") >= enough)
     opened = stage(opened.drop("count"), "opened")
-    inner = member.select("group", F.col("id").alias("b"), F.col("n").alias("k"))
-    pairs = opened.join(inner, "group").where(_fits(F.col("n"), F.col("k"))).select(F.col("id").alias("a"), "b").distinct()
+    inner = member.select("group", F.col("id").alias("b"), F.col("n").alias("k"), F.col("alone").alias("alone_b"))
+    pairs = opened.join(inner, "group").where(_fits(F.col("n"), F.col("alone"), F.col("k"), F.col("alone_b"))).select(F.col("id").alias("a"), "b").distinct()
     final = components(links.union(stage(_verified(pairs, sets).distinct(), "links")))
 
     labelled = classes.select("id", "doc").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
