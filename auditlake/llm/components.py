@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
 
-from auditlake.operators.shuffle import stage
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from auditlake.operators.shuffle import shared_folder, stage
+
+
+class Scratch:
+    """Intermediate tables of one operator in a folder of their own, deleted once its last stage is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        target = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(target)
+        return self.spark.read.parquet(target)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from auditlake.llm.components import components
+from auditlake.llm.components import Scratch, components
 from auditlake.llm.words import grams, mix, signed, slices, squeezed, unsqueezed, words_of
 from auditlake.operators.shuffle import stage
 
@@ -138,6 +138,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scratch = Scratch(docs.sparkSession)
     fields = "doc_id long, n_shingles long, id binary, short long, mins array<long>, tokens array<long>, counts array<long>"
     profile = stage(docs.mapInArrow(_profile, fields), "profile")
     listed = profile.where("tokens is not null").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
@@ -149,32 +150,32 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     classes = stage(filled.agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("short").alias("short"), F.first("mins").alias("mins")), "classes")
     rows = docs.mapInArrow(_prefixes(common, often), "token long, short long")
     repeated = rows.groupBy("token").count().where("count > 1").select("token")
-    live = stage(rows.join(repeated, "token", "left_semi").distinct(), "tokens")
+    live = scratch.stage(rows.join(repeated, "token", "left_semi").distinct(), "tokens")
     several = live.groupBy("token").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo < hi").select("token")
-    live = stage(live.join(several, "token", "left_semi"), "tokens")
+    live = scratch.stage(live.join(several, "token", "left_semi"), "tokens")
     least = F.ceil(F.col("n") * SIMILAR / 100)
     enough = F.least(F.lit(SHARED), least)
     alone = F.greatest(F.least(F.col("n"), F.col("n") - least + SHARED) - F.col("count"), F.lit(0))
     held = live.groupBy("short").count().join(classes, "short").where(F.col("count") >= enough)
-    held = stage(held.select("short", "id", "doc", "n", alone.alias("alone"), "mins"), "held")
+    held = scratch.stage(held.select("short", "id", "doc", "n", alone.alias("alone"), "mins"), "held")
 
     keyed = held.select("id", "doc", "n", "alone", F.posexplode("mins").alias("i", "low"))
     lead = F.min(F.struct("doc", F.col("id").alias("b"), F.col("n").alias("m"), "alone"))
     leads = keyed.groupBy("i", "low").agg(lead.alias("lead"), F.count("*").alias("k"))
     fits = _fits(F.col("n"), F.col("alone"), F.col("lead.m"), F.col("lead.alone"))
     stars = keyed.join(leads.where("k > 1"), ["i", "low"]).where((F.col("id") != F.col("lead.b")) & fits)
-    stars = stage(stars.select(F.col("id").alias("a"), F.col("lead.b").alias("b")).distinct(), "stars")
+    stars = scratch.stage(stars.select(F.col("id").alias("a"), F.col("lead.b").alias("b")).distinct(), "stars")
     wanted = held.select("doc").distinct()
     small = docs.mapInArrow(squeezed(["doc_id"]), "doc_id long, z binary")
-    sets = stage(small.join(wanted.hint("merge"), small.doc_id == wanted.doc).select("z").mapInArrow(_sets, "id binary, tokens array<long>"), "sets")
+    sets = scratch.stage(small.join(wanted.hint("merge"), small.doc_id == wanted.doc).select("z").mapInArrow(_sets, "id binary, tokens array<long>"), "sets")
 
-    links = stage(_verified(stars, sets).distinct(), "links")
+    links = scratch.stage(_verified(stars, sets).distinct(), "links")
     member = held.select("short", "id", "n", "alone").join(components(links), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
     extent = member.groupBy("group").agg(F.count("*").alias("members"))
-    member = stage(member.join(extent, "group"), "members")
-    cells = stage(live.join(member, "short").select("token", "id", "n", "alone", "group", "members"), "cells")
+    member = scratch.stage(member.join(extent, "group"), "members")
+    cells = scratch.stage(live.join(member, "short").select("token", "id", "n", "alone", "group", "members"), "cells")
     spread = cells.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
-    cells = stage(cells.join(spread, "token", "left_semi"), "matrix")
+    cells = scratch.stage(cells.join(spread, "token", "left_semi"), "matrix")
     matrix = cells.groupBy("token", "group", "members").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("alone")).alias("most"))
     q, m = cells.alias("q"), matrix.alias("m")
     order = F.struct("q.members", "q.group") < F.struct("m.members", "m.group")
@@ -182,11 +183,12 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     reach = most * 100 >= (F.col("q.n") + F.col("m.least") - most) * SIMILAR
     hits = q.join(m, F.col("q.token") == F.col("m.token")).where(order & reach)
     opened = hits.groupBy("q.id", "q.n", "q.alone", "m.group").count().where(F.col("count") >= enough)
-    opened = stage(opened.drop("count"), "opened")
+    opened = scratch.stage(opened.drop("count"), "opened")
     inner = member.select("group", F.col("id").alias("b"), F.col("n").alias("k"), F.col("alone").alias("alone_b"))
     pairs = opened.join(inner, "group").where(_fits(F.col("n"), F.col("alone"), F.col("k"), F.col("alone_b"))).select(F.col("id").alias("a"), "b").distinct()
-    final = components(links.union(stage(_verified(pairs, sets).distinct(), "links")))
+    final = components(links.union(scratch.stage(_verified(pairs, sets).distinct(), "links")))
 
+    scratch.drop()
     labelled = classes.select("id", "doc").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = labelled.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = labelled.join(least, "component").select("id", "component_id")
