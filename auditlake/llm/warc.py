@@ -28,6 +28,7 @@ from auditlake.operators.shuffle import shared_folder, stage
 
 CHUNK = 1 << 20
 FILE_BYTES = 1 << 30  # uncompressed bytes after which a task begins another archive
+LEVEL = 3  # of gzip: two thirds of the time of the usual 6 for archives 3 % larger
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _TABLE = (
@@ -90,7 +91,7 @@ def _write(folder: str, file_bytes: int):
                             out.close()
                         files.append((f"{root}/{uuid.uuid4().hex}.warc.gz", 0))
                         out, held = store.open_output_stream(files[-1][0], compression=None), 0
-                    member = zlib.compressobj(6, zlib.DEFLATED, 31)
+                    member = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                     files[-1] = (files[-1][0], files[-1][1] + 1)
                     out.write(member.compress(_head(page_id, url, sha1, size, refers_to)))
                 out.write(member.compress(data))
