@@ -91,3 +91,13 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
     for r in rules:
         verdict = verdict & F.col(f"ok_{r.name}")
     return out.withColumn("kept", verdict)
+
+
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows that are kept, with their own columns.
+
+    The row number in the condition keeps the filter above the projection: pushed below, it would spell out every measure
+    anew at each of its mentions.
+    """
+    out = judged(docs, rules, text).withColumn("_row", F.monotonically_increasing_id())
+    return out.where(F.col("kept") & (F.col("_row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -17,7 +17,7 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base and the threshold table."""
-    return quality_rules.judged(docs).where("kept").select(*docs.columns)
+    return quality_rules.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
