@@ -11,8 +11,10 @@ repeated rows are separate documents; other columns are not read.
 
 from __future__ import annotations
 
+import array
 import bisect
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -27,7 +29,9 @@ from auditlake.llm.words import slices
 from auditlake.operators.shuffle import stage
 
 WINDOW, OPEN, MERGED, END = 2048, 32, 64, 1
-CACHED = 400_000  # pieces of text whose ids a task remembers
+CACHED = 1_000_000  # words whose ids a task remembers, and half as many pieces of words
+#: A space between white space: there the pieces of a text need not end before the space.
+_WITHIN_SPACE = re.compile(r"\s \s")
 _FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -35,8 +39,9 @@ _FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def _encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to little-endian 32-bit ids, as the tokenizers library gives them.
 
-    For a byte-level file without normalizer, ids of the pieces between which no merge reaches are remembered; the library
-    encodes each unseen piece.  Texts that name an added token, and other kinds of files, go to the library whole.
+    For a byte-level file without normalizer a piece always ends before a space, unless that space lies within white space.
+    So ids are remembered by word, the text between spaces, and by the pieces of words; the library encodes unseen pieces.
+    Texts that name an added token, and other kinds of files, go to the library whole.
     """
     import public_tokenizers
     import regex
@@ -49,23 +54,34 @@ def _encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     plain = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
     added = [t["content"] for t in spec.get("added_tokens") or []]
     find = regex.compile(public_tokenizers.PATTERN).findall
-    known: dict[str, bytes] = {}
-    packed = lambda e: np.array(e.ids, "<u4").tobytes()
+    words: dict[str, bytes] = {}  # without the space before them
+    pieces: dict[str, bytes] = {}
+    packed = lambda e: array.array("I", e.ids).tobytes()
+
+    def learn(parts: list[list[str]]) -> None:
+        fresh = list(set().union(*parts).difference(pieces))
+        if len(pieces) + len(fresh) > CACHED // 2:
+            pieces.clear()
+            fresh = list(set().union(*parts))
+        if fresh:
+            pieces.update(zip(fresh, map(packed, tokenizer.encode_batch_fast(fresh, add_special_tokens=False))))
 
     def encode(texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            if not plain or any(a in text for a in added):
+        if len(words) > CACHED:
+            words.clear()
+        split = {i: t.split(" ") for i, t in enumerate(texts) if plain and not _WITHIN_SPACE.search(t) and not any(a in t for a in added)}
+        fresh = list(set().union(*(x[1:] for x in split.values())).difference(words)) if split else []
+        first = [find(x[0]) for x in split.values()]
+        rest = [find(" " + w) for w in fresh]
+        learn(first + rest)
+        words.update(zip(fresh, (b"".join([pieces[p] for p in parts]) for parts in rest)))
+        heads = dict(zip(split, first))
+        out = []
+        for i, text in enumerate(texts):
+            if i in split:
+                out.append(b"".join([*[pieces[p] for p in heads[i]], *map(words.__getitem__, split[i][1:])]))
+            else:
                 out.append(packed(tokenizer.encode(text, add_special_tokens=False)))
-                continue
-            parts = find(text)
-            fresh = list(set(parts).difference(known))
-            if len(known) + len(fresh) > CACHED:
-                known.clear()
-                fresh = list(set(parts))
-            if fresh:
-                known.update(zip(fresh, map(packed, tokenizer.encode_batch_fast(fresh, add_special_tokens=False))))
-            out.append(b"".join(map(known.__getitem__, parts)))
         return out
 
     return encode
