@@ -74,7 +74,7 @@ class Model:
         self.presence = np.zeros((len(vocabulary), len(landmarks)), np.float32)
         for j, grams in enumerate(landmarks):
             self.presence[self.column[grams], j] = 1
-        self.norm = np.sqrt([len(g) for g in landmarks]).astype(np.float32)
+        self.norm = np.sqrt([len(g) for g in landmarks])
         self.weights = np.zeros((len(landmarks), len(langs)))
 
     def kernel(self, grams: list[np.ndarray]) -> np.ndarray:
@@ -83,8 +83,8 @@ class Model:
         for i, g in enumerate(grams):
             at = self.column[g]
             rows[i, at[at >= 0]] = 1
-        own = np.sqrt([len(g) for g in grams]).astype(np.float32)
-        return (rows @ self.presence) / own[:, None] / self.norm
+        own = np.sqrt([len(g) for g in grams])
+        return (rows @ self.presence) / (own[:, None] * self.norm)  # counts are exact in single precision
 
     def __reduce__(self):
         grams = np.flatnonzero(self.column >= 0).astype(np.int32)
@@ -120,7 +120,7 @@ def _sums(model: Model):
             rows = [r for r in rows if r[0] is not None]
             for i in range(0, len(rows), BLOCK):
                 part = rows[i : i + BLOCK]
-                c = model.kernel([g for g, _ in part]).astype(np.float64)
+                c = model.kernel([g for g, _ in part])
                 target = np.array([[1.0 if lang == own else -1.0 for own in model.langs] for _, lang in part])
                 inner += c.T @ c
                 outer += c.T @ target
@@ -141,9 +141,16 @@ def fit(labelled: DataFrame, sampled: int = SAMPLED, landmarks: int = LANDMARKS,
     langs = sorted(counts)
     share = lambda each: F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1_000_000, -(-each * 1_000_000 // (len(langs) * counts[lang]))))])
     chosen = lambda each: rows.where(F.col("_key") < F.element_at(share(each), F.col("lang"))).select("lang", "text")
-    found = chosen(2 * landmarks).where(F.length("text") >= 100).mapInArrow(_gram_rows, "lang string, grams array<int>").limit(4 * landmarks).collect()
-    if not found:
-        found = chosen(2 * landmarks).mapInArrow(_gram_rows, "lang string, grams array<int>").limit(4 * landmarks).collect()
+    found, missing, each, least = [], set(langs), 2 * landmarks, 100
+    while missing:  # languages of which the share held no text of some length: a larger share, then shorter texts
+        more = chosen(each).where(F.col("lang").isin(sorted(missing)) & (F.length("text") >= least))
+        found += more.mapInArrow(_gram_rows, "lang string, grams array<int>").limit(4 * landmarks).collect()
+        missing -= {r["lang"] for r in found}
+        if each > len(langs) * max(counts.values()):
+            if not least:
+                break
+            least = 0
+        each *= 8
     if not found:
         return None
     found.sort(key=lambda r: (r["lang"], len(r["grams"]), r["grams"][:8]))
@@ -157,7 +164,7 @@ def fit(labelled: DataFrame, sampled: int = SAMPLED, landmarks: int = LANDMARKS,
     m, k = model.weights.shape
     inner = np.sum([p["inner"] for p in parts], axis=0).reshape(m, m)
     outer = np.sum([p["outer"] for p in parts], axis=0).reshape(m, k)
-    own = model.kernel(picked).astype(np.float64)
+    own = model.kernel(picked)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # landmarks to Nystroem features
