@@ -84,7 +84,7 @@ def weak_label() -> Column:
     """1 for a published key format or an assignment to a key word, 0 for card numbers, addresses and paths, else null."""
     value, before = F.col("value"), F.col("before")
     positive = value.rlike(r"^(AKIA|ASIA)[A-Z0-9]{16}$") | value.rlike(r"^gh[pousr]_[A-Za-z0-9]{36}$") | (before.rlike(KEY_WORD + r"\s*[=:]\s*[\"']?$") & ~value.rlike(r"^[0-9/_-]+$"))
-    negative = value.rlike(r"^[0-9/_-]+$") | before.rlike(r"://\S*$") | F.col("after").rlike(r"^@[a-z0-9]")
+    negative = value.rlike(r"^[0-9/_-]+$") | value.rlike(r"^//") | before.rlike(r"://\S*$") | F.col("after").rlike(r"^@[a-z0-9]")
     return F.when(negative, 0.0).when(positive, 1.0)
 
 
