@@ -22,7 +22,7 @@ from auditlake.llm.words import slices
 
 NONE = np.int32(2**31 - 1)
 SHORT = 64  # bytes; longer pieces are merged one by one
-CACHED = 400_000  # pieces whose ids a task remembers
+CACHED = 1_000_000  # pieces whose ids a task remembers
 
 
 class Vocabulary:
