@@ -4,8 +4,9 @@
    are common in its batch.  Documents with equal sets are one class, led by the smallest id.
 2. Only shingles that come first in one global order (rare ones first, then by hash) can be needed: sets of similarity 0.8
    share ``SHARED`` shingles among the first ``n - ceil(0.8 n) + SHARED`` of each (all of them in a smaller set).  Shingles
-   held by a single class are dropped, then classes left with fewer than that.  How many are dropped bounds the overlap
-   of a set with any other, so near copies with too many changes of their own meet nobody.
+   held by a single class are dropped, then classes left with fewer than that.  Of two sets, the one whose beginning ends
+   first in that order can't hold its dropped shingles in common with the other (they would be in the other's beginning
+   too), which bounds their overlap; the other's dropped shingles bound nothing.
 3. Classes that share a min-hash are compared with the smallest of them: the links found partition similar documents
    into groups.
 4. The token-group matrix holds each group's union of those shingles.  A query (a member of the smaller group) can be
@@ -96,17 +97,33 @@ def first_tokens(tokens: np.ndarray, common: np.ndarray, often: np.ndarray) -> n
 
 
 def _prefixes(common: np.ndarray, often: np.ndarray):
+    rank = np.empty(len(common), np.int64)
+    rank[np.lexsort((common, often))] = np.arange(len(common))
+
+    def end_of(first: np.ndarray, n: int) -> int:
+        """Place in the global order up to which the whole set is known: below 0 for rare shingles (the hash without its last bit)."""
+        if len(first) == n:
+            return 2**63 - 1
+        last = first[-1]
+        at = int(np.searchsorted(common, last))
+        return int(rank[at]) if at < len(common) and common[at] == last else (int(last) >> 1) - 2**63
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             owned: dict[int, np.ndarray] = {}
+            ends: list[int | None] = []
             for s in shingle_sets(batch.column("text")):
                 if len(s) and (key := _short(_digest(s))) not in owned:
                     owned[key] = first_tokens(s, common, often)
+                    ends += [end_of(owned[key], len(s))] + [None] * (len(owned[key]) - 1)
             if owned:
                 sizes = [len(x) for x in owned.values()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.concatenate(list(owned.values())))), pa.array(np.repeat(np.array(list(owned), np.int64), sizes))],
-                    names=["token", "short"],
+                    [
+                        pa.array(signed(np.concatenate(list(owned.values())))), pa.array(np.repeat(np.array(list(owned), np.int64), sizes)),
+                        pa.array(ends, pa.int64()),
+                    ],
+                    names=["token", "short", "end"],
                 )
 
     return run
@@ -119,10 +136,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], names=["id", "tokens"])
 
 
-def _fits(a: Column, alone_a: Column, b: Column, alone_b: Column) -> Column:
-    """Sizes that allow the similarity, when so many shingles of each set are in no other set."""
-    most = F.least(a - alone_a, b - alone_b)
-    return most * 100 >= (a + b - most) * SIMILAR
+def _before(a: Column, b: Column) -> Column:
+    """Place ``a`` is not after ``b``; equal places of rare shingles may hide a last bit and decide nothing."""
+    return (a < b) | ((a == b) & (a >= 0))
+
+
+def _most(n: Column, rest: Column, end: Column, size: Column, other: Column, first: Column, last: Column) -> Column:
+    """Most shingles that a set can share with another whose beginning ends between ``first`` and ``last``.
+
+    ``rest`` and ``other`` are the sizes without the shingles that no other beginning holds.
+    """
+    return F.least(n, size, F.greatest(rest, other), F.when(_before(end, first), rest), F.when(_before(last, end), other))
+
+
+def _fits(a: str, b: str) -> Column:
+    """Sizes and beginnings of two sets that allow the similarity."""
+    n, k = F.col(f"{a}.n"), F.col(f"{b}.n")
+    most = _most(n, F.col(f"{a}.rest"), F.col(f"{a}.end"), k, F.col(f"{b}.rest"), F.col(f"{b}.end"), F.col(f"{b}.end"))
+    return most * 100 >= (n + k - most) * SIMILAR
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -148,44 +179,47 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
 
     filled = profile.where("n_shingles > 0 and doc_id is not null").groupBy("id")
     classes = stage(filled.agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("short").alias("short"), F.first("mins").alias("mins")), "classes")
-    rows = docs.mapInArrow(_prefixes(common, often), "token long, short long")
-    repeated = rows.groupBy("token").count().where("count > 1").select("token")
-    live = scratch.stage(rows.join(repeated, "token", "left_semi").distinct(), "tokens")
+    rows = docs.mapInArrow(_prefixes(common, often), "token long, short long, end long")
+    repeated = rows.groupBy("token").count().where("count > 1").select("token", F.lit(True).alias("met"))
+    # the first row of each set also says where its beginning ends
+    live = scratch.stage(rows.join(repeated, "token", "left").where("met or end is not null").distinct(), "tokens")
+    ends = live.where("end is not null").groupBy("short").agg(F.min("end").alias("end"))
+    live = live.where("met").select("token", "short")
     several = live.groupBy("token").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo < hi").select("token")
     live = scratch.stage(live.join(several, "token", "left_semi"), "tokens")
     least = F.ceil(F.col("n") * SIMILAR / 100)
     enough = F.least(F.lit(SHARED), least)
     alone = F.greatest(F.least(F.col("n"), F.col("n") - least + SHARED) - F.col("count"), F.lit(0))
-    held = live.groupBy("short").count().join(classes, "short").where(F.col("count") >= enough)
-    held = scratch.stage(held.select("short", "id", "doc", "n", alone.alias("alone"), "mins"), "held")
-
-    keyed = held.select("id", "doc", "n", "alone", F.posexplode("mins").alias("i", "low"))
-    lead = F.min(F.struct("doc", F.col("id").alias("b"), F.col("n").alias("m"), "alone"))
-    leads = keyed.groupBy("i", "low").agg(lead.alias("lead"), F.count("*").alias("k"))
-    fits = _fits(F.col("n"), F.col("alone"), F.col("lead.m"), F.col("lead.alone"))
-    stars = keyed.join(leads.where("k > 1"), ["i", "low"]).where((F.col("id") != F.col("lead.b")) & fits)
-    stars = scratch.stage(stars.select(F.col("id").alias("a"), F.col("lead.b").alias("b")).distinct(), "stars")
+    held = live.groupBy("short").count().join(classes, "short").where(F.col("count") >= enough).join(ends, "short")
+    held = scratch.stage(held.select("short", "id", "doc", "n", (F.col("n") - alone).alias("rest"), "end", "mins"), "held")
+
+    keyed = held.select(F.struct("id", "n", "rest", "end").alias("own"), "doc", F.posexplode("mins").alias("i", "low"))
+    leads = keyed.groupBy("i", "low").agg(F.min(F.struct("doc", "own")).alias("first"), F.count("*").alias("k"))
+    leads = leads.where("k > 1").select("i", "low", F.col("first.own").alias("lead"))
+    stars = keyed.join(leads, ["i", "low"]).where((F.col("own.id") != F.col("lead.id")) & _fits("own", "lead"))
+    stars = scratch.stage(stars.select(F.col("own.id").alias("a"), F.col("lead.id").alias("b")).distinct(), "stars")
     wanted = held.select("doc").distinct()
     small = docs.mapInArrow(squeezed(["doc_id"]), "doc_id long, z binary")
     sets = scratch.stage(small.join(wanted.hint("merge"), small.doc_id == wanted.doc).select("z").mapInArrow(_sets, "id binary, tokens array<long>"), "sets")
 
     links = scratch.stage(_verified(stars, sets).distinct(), "links")
-    member = held.select("short", "id", "n", "alone").join(components(links), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
+    member = held.select("short", "id", "n", "rest", "end").join(components(links), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
     extent = member.groupBy("group").agg(F.count("*").alias("members"))
     member = scratch.stage(member.join(extent, "group"), "members")
-    cells = scratch.stage(live.join(member, "short").select("token", "id", "n", "alone", "group", "members"), "cells")
+    cells = scratch.stage(live.join(member, "short").select("token", "id", "n", "rest", "end", "group", "members"), "cells")
     spread = cells.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
     cells = scratch.stage(cells.join(spread, "token", "left_semi"), "matrix")
-    matrix = cells.groupBy("token", "group", "members").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("alone")).alias("most"))
+    spans = [F.min("n").alias("least"), F.max("n").alias("size"), F.max("rest").alias("rest"), F.min("end").alias("first"), F.max("end").alias("last")]
+    matrix = cells.groupBy("token", "group", "members").agg(*spans)
     q, m = cells.alias("q"), matrix.alias("m")
     order = F.struct("q.members", "q.group") < F.struct("m.members", "m.group")
-    most = F.least(F.col("q.n") - F.col("q.alone"), F.col("m.most"))
+    most = _most(*(F.col(c) for c in ("q.n", "q.rest", "q.end", "m.size", "m.rest", "m.first", "m.last")))
     reach = most * 100 >= (F.col("q.n") + F.col("m.least") - most) * SIMILAR
     hits = q.join(m, F.col("q.token") == F.col("m.token")).where(order & reach)
-    opened = hits.groupBy("q.id", "q.n", "q.alone", "m.group").count().where(F.col("count") >= enough)
-    opened = scratch.stage(opened.drop("count"), "opened")
-    inner = member.select("group", F.col("id").alias("b"), F.col("n").alias("k"), F.col("alone").alias("alone_b"))
-    pairs = opened.join(inner, "group").where(_fits(F.col("n"), F.col("alone"), F.col("k"), F.col("alone_b"))).select(F.col("id").alias("a"), "b").distinct()
+    opened = hits.groupBy("q.id", "q.n", "q.rest", "q.end", "m.group").count().where(F.col("count") >= enough)
+    opened = scratch.stage(opened.select(F.struct("id", "n", "rest", "end").alias("query"), "group"), "opened")
+    inner = member.select("group", F.struct("id", "n", "rest", "end").alias("inner"))
+    pairs = opened.join(inner, "group").where(_fits("query", "inner")).select(F.col("query.id").alias("a"), F.col("inner.id").alias("b")).distinct()
     final = components(links.union(scratch.stage(_verified(pairs, sets).distinct(), "links")))
 
     scratch.drop()

@@ -124,3 +124,30 @@ def test_span_corner_cases(spark):
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substring_dedup.repeated_spans(table).collect())
     assert got == [("3", 0, 0), ("7", 20, 0), ("7", 20, 0), ("8", 21, 20), ("9", 20, 20), ("None", 20, 0)]
     assert substring_dedup.repeated_spans(table.where("false")).collect() == []
+
+
+def extended(seed):
+    """Texts beside versions with passages added, cut off or replaced, their similarity about 0.75 to 0.95."""
+    rnd = random.Random(seed)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    rows = [(0, " ".join(f"a{i}" for i in range(104))), (1, " ".join(f"a{i}" for i in range(104)) + " " + " ".join(f"b{i}" for i in range(25)))]  # 100 of 125 shingles
+    for i in range(60):
+        w = [word() for _ in range(rnd.randint(60, 300))]
+        versions = [w]
+        for _ in range(rnd.choice([1, 1, 4])):
+            k, kind = len(w) * rnd.randint(5, 27) // 100, rnd.choice("abcde")
+            at = rnd.randint(0, len(w) - k)
+            new = [word() for _ in range(k)]
+            versions.append({"a": w + new, "b": w[:at] + new + w[at:], "c": w[k:], "d": w[:at] + w[at + k :], "e": w[: at + k // 3] + new[: k // 3] + w[at + k // 3 * 2 :]}[kind])
+        rnd.shuffle(versions)
+        rows += [(1000 * rnd.randrange(1, 9) + 10 * i + j, " ".join(v)) for j, v in enumerate(versions)]
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_extended_and_shortened_copies_are_linked(spark, seed):
+    rows = extended(seed)
+    want = brute_classes(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want[1] == (125, 0) and 40 < len({c for _, c in want.values()}) < len(want) - 20
+    assert {d: g for d, g in got.items() if g != want[d]} == {}
