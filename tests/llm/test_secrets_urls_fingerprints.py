@@ -88,6 +88,15 @@ def test_mined_rules_match_brute_force(spark):
     assert {r["page_id"]: r["verdict"] for r in url_filter.judged(pages, labelled).collect()} == {1: "block", 2: "allow", 3: "allow"}
 
 
+def test_combinations_of_one_bad_host_leave_room_for_other_rules(spark):
+    host = "http://" + ".".join(f"t{i}" for i in range(13))  # 8,191 combinations, all of confidence 1
+    rows = [(f"{host}/x{i}", True) for i in range(200)] + [(f"http://ok.com/casino/y{i}", i % 10 > 0) for i in range(100)] + [(f"http://ok.com/z{i}", False) for i in range(300)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    assert [(items, round(c, 9)) for items, c, _ in url_filter.mined(labelled)] == [((t,), 1.0) for t in sorted(f"t{i}" for i in range(13))] + [(("casino",), 0.9)]
+    pages = spark.createDataFrame([(1, "http://other.io/casino"), (2, "http://ok.com/a"), (3, "http://t5.io/")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judged(pages, labelled).collect()} == {1: "block", 2: "allow", 3: "block"}
+
+
 def test_fingerprints_of_edited_and_following_texts(spark):
     rnd = random.Random(2)
     text = lambda: " ".join(f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(30, 200)))
