@@ -106,6 +106,25 @@ def test_stages_match_brute_force(spark):
         assert [i for r in own for i in np.frombuffer(bytes(r["ids"]), "<u4").tolist()] == [*library.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_extended_and_shortened_copies_go_before_passages_are_cut(spark):
+    rnd = random.Random(5)
+    prose = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    docs = {}
+    for i in range(50):
+        w = prose(rnd.randint(80, 250))
+        k = len(w) * rnd.randint(10, 25) // 100
+        at = rnd.randint(0, len(w) - k)
+        other = [w + prose(k), w[:at] + prose(k) + w[at:], w[k:], w[:at] + w[at + k :]][i % 4]
+        docs[i * 10 + i % 3], docs[i * 10 + (i + 1) % 3] = " ".join(w), " ".join(other)
+    table = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs.items()], COLUMNS)
+    functions = dict(corpus_pipeline.STAGES)
+    apart = without_near_copies(docs)
+    assert 55 < len(apart) < 90
+    table = corpus_pipeline.stage(functions["jaccard_join"](spark, table, ""), "jaccard_join")
+    assert {r["doc_id"]: r["text"] for r in table.collect()} == apart
+    assert {r["doc_id"]: r["text"] for r in functions["substring_dedup"](spark, table, "").collect()} == without_passages(apart)
+
+
 def test_eleven_queries_are_registered():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
