@@ -75,8 +75,9 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(digests + [None], pa.binary()), pa.array([_short(d) for d in digests] + [None], pa.int64()),
                 pa.array(mins + [None], pa.list_(pa.int64())),
                 pa.array([None] * n + [signed(tokens[often])], pa.list_(pa.int64())), pa.array([None] * n + [count[often]], pa.list_(pa.int64())),
+                pa.array(batch.column("hash").to_pylist() + [None], pa.int64()),
             ],
-            names=["doc_id", "n_shingles", "id", "short", "mins", "tokens", "counts"],
+            names=["doc_id", "n_shingles", "id", "short", "mins", "tokens", "counts", "hash"],
         )
 
 
@@ -166,12 +167,12 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(shared * 100 >= (F.size("_left") + F.size("_right") - shared) * SIMILAR).select("a", "b")
 
 
-def similarity_classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text)."""
+def similarity_classes(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text); ``hashed`` adds the text's ``hash``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession)
-    fields = "doc_id long, n_shingles long, id binary, short long, mins array<long>, tokens array<long>, counts array<long>"
-    profile = stage(docs.mapInArrow(_profile, fields), "profile")
+    fields = "doc_id long, n_shingles long, id binary, short long, mins array<long>, tokens array<long>, counts array<long>, hash long"
+    profile = stage(docs.withColumn("hash", F.xxhash64("text")).mapInArrow(_profile, fields), "profile")
     listed = profile.where("tokens is not null").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
     listed = listed.groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.counts").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
     listed = listed.sort_values("token", key=lambda t: t.astype("int64").to_numpy().view(np.uint64))
@@ -226,6 +227,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     labelled = classes.select("id", "doc").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = labelled.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = labelled.join(least, "component").select("id", "component_id")
-    own = profile.where("n_shingles is not null").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("id")).alias("id"))
+    own = profile.where("n_shingles is not null").select("doc_id", "n_shingles", "hash", F.when(F.col("n_shingles") > 0, F.col("id")).alias("id"))
     joined = own.join(named, "id", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    return joined.select("doc_id", "n_shingles", component, *(["hash"] if hashed else []))

@@ -22,9 +22,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each similarity class; a row that repeats id and text stays once."""
-    classes = jaccard_join.similarity_classes(docs)
-    later = classes.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    classes = jaccard_join.similarity_classes(docs, hashed=True)
+    later = classes.where("doc_id != component_id").select("doc_id", "hash").distinct()
+    keyed = docs.withColumn("hash", F.xxhash64("text"))
+    return keyed.join(later, ["doc_id", "hash"], "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,6 +125,14 @@ def test_extended_and_shortened_copies_go_before_passages_are_cut(spark):
     assert {r["doc_id"]: r["text"] for r in functions["substring_dedup"](spark, table, "").collect()} == without_passages(apart)
 
 
+def test_a_near_copy_takes_no_other_text_of_its_id_along(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = [(3, text), (5, text + " more"), (5, "another text that nobody else has at all"), (None, text)]
+    table = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], COLUMNS)
+    out = dict(corpus_pipeline.STAGES)["jaccard_join"](spark, table, "")
+    assert out.columns == table.columns and {(r["doc_id"], r["text"]) for r in out.collect()} == {docs[0], docs[2], docs[3]}
+
+
 def test_eleven_queries_are_registered():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
