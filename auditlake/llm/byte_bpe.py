@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from auditlake.llm.words import slices
@@ -23,6 +24,7 @@ from auditlake.llm.words import slices
 NONE = np.int32(2**31 - 1)
 SHORT = 64  # bytes; longer pieces are merged one by one
 CACHED = 1_000_000  # pieces whose ids a task remembers
+DECODED = 1 << 18  # ids decoded at once
 
 
 class Vocabulary:
@@ -32,9 +34,13 @@ class Vocabulary:
         with open(path, "rb") as file:
             lines = [line.split() for line in file if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
-        self.data = [b""] * (max(self.ranks.values()) + 1)
+        tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
-            self.data[rank] = token
+            tokens[rank] = token
+        #: Bytes of all ids behind one another; id ``i`` has ``size[i]`` of them from ``at[i]`` on.
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.at = np.cumsum(self.size) - self.size
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.pairs = {
             (left << 32) | right: rank
@@ -52,6 +58,18 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.values[at], NONE)
 
+    def bytes_of(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all ids, and where those of each id end."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size) or not self.size[ids].all()):
+            raise KeyError("an id without vocabulary entry")
+        size, out = self.size[ids], []
+        ends = np.cumsum(size)
+        for k in range(0, len(ids), DECODED):
+            part = slice(k, k + DECODED)
+            before = ends[k] - size[k]
+            out.append(self.data[np.arange(before, ends[part][-1]) + np.repeat(self.at[ids[part]] - (ends[part] - size[part]), size[part])].tobytes())
+        return b"".join(out), ends
+
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
@@ -197,12 +215,19 @@ def _encode(path: str, pattern: str):
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = vocabulary(path).data
+        v = vocabulary(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                text = [b"".join(map(data.__getitem__, ids or ())) for ids in (x.as_py() for x in part.column("ids"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(text, pa.binary())], names=["doc_id", "ids", "data"])
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            row = 0
+            while row < batch.num_rows:
+                done = ends[row - 1] if row else 0
+                stop = max(row + 1, int(np.searchsorted(ends, done + DECODED, "right")))
+                part = batch.slice(row, stop - row)
+                data, upto = v.bytes_of(part.column("ids").flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+                at = np.append(0, upto)[np.append(0, ends[row:stop] - done)]
+                text = pa.Array.from_buffers(pa.large_binary(), stop - row, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), text.cast(pa.binary())], names=["doc_id", "ids", "data"])
+                row = stop
 
     return run
 
