@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm import byte_bpe, packing, warc
 
-TEXTS = [None, "", " ", "hello  world", "it's\n\n\tfine…", "é" * 300, "naïve 中文 🙂🙂", "a" * 5000, "x1 y22 <|endoftext|> z", "ab " * 9000, "hello  world"]
+TEXTS = [None, "", " ", "hello  world", "it's\n\n\tfine…", "é" * 300, "naïve 中文 🙂🙂", "a" * 5000, "x1 y22 <|endoftext|> z", "ab " * 9000, "hello  world", "\x1c x \x85\x85 y\u180e \u3000 z\r\n\r\n ª²Ⅷ१ 𝟙𞤀"]
 
 
 def test_bpe_matches_the_library(spark):
