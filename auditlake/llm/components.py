@@ -23,6 +23,8 @@ class Scratch:
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        # the shuffle files of finished steps go when the driver collects the plans that named them
+        self.spark._jvm.java.lang.System.gc()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -3,11 +3,13 @@
 1. Anchors.  The smallest seven-word hash among those of a window of ``k`` words stands for the window; equal windows have
    equal anchors.  Anchors found in a single document are dropped, so most text never becomes an edge.  They
    have 48 bits: one that coincides with another costs an edge, never a result.
-2. Edges.  The remaining windows are k-mer edges with their coordinates (document, position).  Per edge: the smallest
-   document that has it (owner) and its number of occurrences.  Edges are told apart by two independent hashes, 96 bits
-   together.
-3. Compaction.  An occurrence joins its edge; consecutive occurrences in a document with one owner and one multiplicity
-   are a nonbranching path and become one row (document, start, length, digest of its edges).
+2. Edges.  The remaining windows are k-mer edges from the node of their first k - 1 words to that of their last, with their
+   coordinates (document, position).  Per edge: the smallest document that has it (owner) and its number of occurrences.
+   Edges are told apart by their own hash and that of the node they leave, 128 bits together.
+3. Compaction.  Repeated edges joined on their ends give each node its in- and out-degree; a node with one edge in and one
+   out does not branch.  An occurrence joins its edge; consecutive occurrences in a document that meet at such nodes and
+   have one owner are a nonbranching path and become one row (document, start, length, digest of its edges).  Node hashes
+   that coincide cost a longer list of paths, never a result.
 4. Verification.  Each path row is checked against the words at its coordinates in the text itself: the
    combined hashes of its edges must be the digest that the edge table gave.  Verified rows of later documents are removed.
 
@@ -27,7 +29,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from auditlake.llm.components import Scratch
 from auditlake.llm.words import Words, grams, signed, slices, sliding_min, squeezed, unsqueezed, words_of
+from auditlake.operators.shuffle import stage
 
 K = 13
 ANCHOR = 7
@@ -126,9 +130,9 @@ def _sorted_out(k: int, text: bool):
     return run
 
 
-def _check(words: Words, k: int) -> np.ndarray:
-    """A second, 32-bit hash of every window."""
-    return grams(words.hash, k, seed=4).astype(np.uint32).view(np.int32)
+def _nodes(words: Words, k: int) -> np.ndarray:
+    """Hash of the first ``k - 1`` words of every window: the node that its edge leaves; the next one is where it leads."""
+    return signed(grams(words.hash, k - 1, seed=5))
 
 
 def _edges(k: int):
@@ -139,25 +143,50 @@ def _edges(k: int):
             keep = np.isin(_anchors_at(words, at, k), batch.column("anchors").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
             at, text = at[keep], text[keep]
             if len(at):
-                take = pa.array(text)
+                take, node = pa.array(text), _nodes(words, k)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(signed(grams(words.hash, k, seed=3)[at])), pa.array(_check(words, k)[at]),
+                        pa.array(signed(grams(words.hash, k, seed=3)[at])), pa.array(node[at]), pa.array(node[at + 1]),
                         batch.column("doc_id").take(take), batch.column("hash").take(take), pa.array((at - words.first[text]).astype(np.int32)),
                     ],
-                    names=["edge", "check", "doc_id", "hash", "pos"],
+                    names=["edge", "tail", "head", "doc_id", "hash", "pos"],
                 )
 
     return run
 
 
+def through_nodes(edges: DataFrame) -> DataFrame:
+    """``node`` for every node of ``edges`` (tail, head; one row an edge) with one edge in and one edge out."""
+    leaving = edges.groupBy(F.col("tail").alias("node")).count().where("count = 1").select("node")
+    entering = edges.groupBy(F.col("head").alias("node")).count().where("count = 1").select("node")
+    return leaving.join(entering, "node")
+
+
+def compacted(edges: DataFrame) -> DataFrame:
+    """``doc_id, hash, start, n, digest`` of the nonbranching paths in which a document follows an earlier one."""
+    repeated = edges.groupBy("edge", "tail").agg(F.min("doc_id").alias("owner"), F.count("*").alias("times"), F.min("head").alias("head"))
+    repeated = stage(repeated.where("times > 1").drop("times"), "edges-repeated")
+    marked = repeated.join(through_nodes(repeated).withColumn("through", F.lit(True)), F.col("tail") == F.col("node"), "left")
+    marked = marked.select("edge", "tail", "owner", F.col("through").isNull().alias("opens"))
+    later = edges.select("edge", "tail", "doc_id", "hash", "pos").join(marked, ["edge", "tail"]).where("doc_id > owner").drop("edge")
+    along = W.partitionBy("doc_id", "hash").orderBy("pos")
+    step = F.col("pos") - F.lag("pos").over(along)
+    later = later.withColumn("step", step).withColumn("other", F.lag("owner").over(along) != F.col("owner"))
+    begins = F.col("step").isNull() | (F.col("step") > 1) | ((F.col("step") == 1) & (F.col("opens") | F.col("other")))
+    later = later.withColumn("path", F.sum(begins.cast("long")).over(along.rowsBetween(W.unboundedPreceding, 0)))
+    once = F.when(F.coalesce(F.col("step"), F.lit(1)) > 0, F.col("tail"))  # a repeated row has every position again
+    return later.groupBy("doc_id", "hash", "path").agg(
+        F.min("pos").cast("long").alias("start"), (F.max("pos") - F.min("pos") + 1).cast("long").alias("n"), F.bit_xor(once).alias("digest")
+    )
+
+
 def _cut(k: int, text: bool):
     """Removes verified paths of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in unsqueezed(batches):
             words = words_of(batch.column("text"))
-            total = np.concatenate([np.zeros(1, np.int32), np.bitwise_xor.accumulate(_check(words, k))])
+            total = np.concatenate([np.zeros(1, np.int64), np.bitwise_xor.accumulate(_nodes(words, k))])
             own = batch.column("hash").to_pylist()
             marks = np.zeros(len(words.hash) + 1, np.int64)
             for i, paths in enumerate(batch.column("paths").to_pylist()):
@@ -173,12 +202,13 @@ def _cut(k: int, text: bool):
     return run
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """Stored in the warehouse by buckets of ``key``, so a later join on it leaves these rows where they are."""
+def bucketed(df: DataFrame, key: str, scratch: Scratch) -> tuple[DataFrame, str]:
+    """Stored by buckets of ``key``, so a later join on it leaves these rows where they are; also the table's name."""
     spark = df.sparkSession
     name = f"spans_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).format("parquet")
+    writer.option("path", f"{scratch.folder}/{name}").saveAsTable(name)
+    return spark.table(name), name
 
 
 def repeated_spans(docs: DataFrame, k: int = K, text: bool = False) -> DataFrame:
@@ -192,25 +222,23 @@ def repeated_spans(docs: DataFrame, k: int = K, text: bool = False) -> DataFrame
     lead = digest.groupBy("md5").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
     copies = digest.join(lead, "md5").where("doc_id > lead").groupBy("doc_id").agg(F.collect_set("hash").alias("copies"))
 
-    anchors = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_anchors(k), "anchor long, doc_id long")
+    scratch, early = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    anchors = early.stage(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_anchors(k), "anchor long, doc_id long"), "anchors")
     repeated = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
     hits = anchors.join(repeated, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
     sorted_schema = "doc_id long, hash long, n_words long, n_removed long, kept_sha256 string, kept string, z binary, anchors array<long>"
     small = docs.mapInArrow(squeezed(["doc_id", "hash"]), "doc_id long, hash long, z binary")
     route = hits.join(copies, "doc_id", "full")
     routed = small.join(route, "doc_id", "left").withColumn("copy", F.array_contains("copies", F.col("hash"))).drop("copies")
-    first = bucketed(routed.mapInArrow(_sorted_out(k, text), sorted_schema), "doc_id")
+    first, table = bucketed(routed.mapInArrow(_sorted_out(k, text), sorted_schema), "doc_id", scratch)
+    early.drop()
 
     rest = first.where("z is not null")
-    edges = rest.select("doc_id", "hash", "z", "anchors").mapInArrow(_edges(k), "edge long, check int, doc_id long, hash long, pos int")
-    table = edges.groupBy("edge", "check").agg(F.min("doc_id").alias("owner"), F.count("*").alias("times")).where("times > 1")
-    later = edges.join(table, ["edge", "check"]).where("doc_id > owner").drop("edge")
-    along = W.partitionBy("doc_id", "hash", "owner", "times").orderBy("pos")
-    later = later.withColumn("path", F.col("pos") - F.dense_rank().over(along)).withColumn("again", F.coalesce(F.lag("pos").over(along) == F.col("pos"), F.lit(False)))
-    paths = later.groupBy("doc_id", "hash", "owner", "times", "path").agg(
-        F.min("pos").cast("long").alias("start"), (F.max("pos") - F.min("pos") + 1).cast("long").alias("n"), F.bit_xor(F.when(~F.col("again"), F.col("check"))).alias("digest")
-    )
-    paths = paths.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "start", "n", "digest")).alias("paths"))
+    edges = rest.select("doc_id", "hash", "z", "anchors").mapInArrow(_edges(k), "edge long, tail long, head long, doc_id long, hash long, pos int")
+    paths = compacted(edges).groupBy("doc_id").agg(F.collect_list(F.struct("hash", "start", "n", "digest")).alias("paths"))
     shape = "doc_id long, hash long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if text else "")
     last = rest.select("doc_id", "hash", "z").join(paths, "doc_id", "left").mapInArrow(_cut(k, text), shape)
-    return first.where("z is null").select(*last.columns).unionByName(last)
+    out = stage(first.where("z is null").select(*last.columns).unionByName(last), "spans")
+    docs.sparkSession.sql(f"DROP TABLE {table}")
+    scratch.drop()
+    return out

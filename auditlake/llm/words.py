@@ -1,7 +1,7 @@
 """Words of many texts at once: boundaries and 64-bit hashes over the bytes of an Arrow batch.
 
 A word is a maximal run of anything but the six ASCII white-space bytes, which never occur inside a UTF-8 sequence.
-Numpy works on slices of a few megabytes, so memory depends on the longest single text only.
+Numpy works on slices of a megabyte, so memory depends on the longest single text only.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -60,7 +60,7 @@ def squeezed(columns: list[str]):
 def unsqueezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Small slices of batches with ``z``, the text restored as ``text``."""
     codec = pa.Codec("zstd")
-    for batch in slices(batches, "z", SLICE_BYTES // 3):
+    for batch in slices(batches, "z", SLICE_BYTES // 2):
         z = batch.column("z").to_pylist()
         texts = [t if t is None else codec.decompress(t[8:], int.from_bytes(t[:8], "little"), asbytes=True).decode() for t in z]
         yield batch.append_column("text", pa.array(texts, pa.string()))

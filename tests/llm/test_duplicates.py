@@ -151,3 +151,56 @@ def test_extended_and_shortened_copies_are_linked(spark, seed):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert want[1] == (125, 0) and 40 < len({c for _, c in want.values()}) < len(want) - 20
     assert {d: g for d, g in got.items() if g != want[d]} == {}
+
+
+def test_paths_are_the_nonbranching_ones(spark):
+    """Edges, nodes and degrees of two repeated passages that part at a word, against a plain graph."""
+    words = lambda s: s.split()
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "x a b c d q r s"), (4, "y a b c d q r s"), (5, "a b c d e f")]
+    k, found = 3, {}
+    for d, t in rows:
+        w = words(t)
+        for i in range(len(w) - k + 1):
+            found.setdefault(tuple(w[i : i + k]), []).append((d, i))
+    ids = {e: n for n, e in enumerate(found)}
+    node = {}
+    number = lambda x: node.setdefault(x, len(node))
+    table = [(ids[e], number(e[:-1]), number(e[1:]), d, 0, i) for e, places in found.items() for d, i in places]
+    edges = spark.createDataFrame(table, "edge long, tail long, head long, doc_id long, hash long, pos int")
+    got = sorted((r["doc_id"], r["start"], r["n"]) for r in substring_dedup.compacted(edges).collect())
+    repeated = [e for e, places in found.items() if len(places) > 1]
+    through = {n for n in {e[:-1] for e in repeated} if sum(e[:-1] == n for e in repeated) == 1 == sum(e[1:] == n for e in repeated)}
+    assert {r["node"] for r in substring_dedup.through_nodes(spark.createDataFrame([(number(e[:-1]), number(e[1:])) for e in repeated], "tail long, head long")).collect()} == {node[n] for n in through}
+    want = []
+    for d, t in rows:
+        w, path, last = words(t), None, None
+        for i in range(len(w) - k + 1):
+            e = tuple(w[i : i + k])
+            owner = min(found[e])[0]
+            if owner < d:
+                if path and last == (i - 1, owner) and e[:-1] in through:
+                    path[2] += 1
+                else:
+                    want.append(path := [d, i, 1])
+                last = (i, owner)
+            else:
+                path = None
+    assert got == sorted(map(tuple, want))
+    assert len(want) > len({d for d, *_ in want})
+
+
+def test_no_table_is_left(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    substring_dedup.repeated_spans(spark.createDataFrame(corpus(4), "doc_id long, text string")).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_spans_and_classes_of_a_text_of_20_mb(spark):
+    long = " ".join(f"w{i % 70_000}x{i}" for i in range(1_600_000))
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, passage + " own end"), (2, long + " " + passage), (3, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.repeated_spans(table).collect()}
+    assert len(long) > 20_000_000 and got == {1: (62, 0), 2: (1_600_060, 60), 3: (0, 0)}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similarity_classes(table).collect()}
+    assert got == {1: (58, 1), 2: (1_600_056, 2), 3: (0, 3)}
