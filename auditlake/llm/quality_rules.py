@@ -99,5 +99,6 @@ def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
     The row number in the condition keeps the filter above the projection: pushed below, it would spell out every measure
     anew at each of its mentions.
     """
-    out = judged(docs, rules, text).withColumn("_row", F.monotonically_increasing_id())
-    return out.where(F.col("kept") & (F.col("_row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{text}`").alias("text"))
+    out = judged(carried, rules).withColumn("_row", F.monotonically_increasing_id())
+    return out.where(F.col("kept") & (F.col("_row") >= 0)).select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])

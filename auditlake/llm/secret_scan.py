@@ -15,6 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from auditlake.llm.names import free
 from auditlake.operators.shuffle import stage
 
 #: A run of key characters holding a digit, not part of a longer run.
@@ -119,20 +120,16 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A row is named by a hash of its text, so repeated texts share one list of secrets, at most those of one text.
     """
+    name, spans_, pieces_, end_ = (free(docs, n) for n in ("_text", "_spans", "_pieces", "_end"))
     key = F.md5(text)
     secrets = findings(docs.select(F.col(text).alias("text"), key.alias("_text")).where("text is not null")).where("is_secret")
-    spans = secrets.groupBy("_text").agg(F.array_distinct(F.array_sort(F.collect_set(F.struct("start", "length")))).alias("_spans"))
-    joined = docs.withColumn("_text", key).join(spans, "_text", "left")
-    last = F.get("_spans", F.size("_spans") - 1)
-    pieces = F.transform(
-        "_spans",
-        lambda s, i: F.concat(
-            F.substring(F.col(text), F.when(i == 0, 1).otherwise(F.get("_spans", F.greatest(i - 1, F.lit(0)))["start"] + F.get("_spans", F.greatest(i - 1, F.lit(0)))["length"] + 1).cast("int"),
-                        (s["start"] - F.when(i == 0, 0).otherwise(F.get("_spans", F.greatest(i - 1, F.lit(0)))["start"] + F.get("_spans", F.greatest(i - 1, F.lit(0)))["length"])).cast("int")),
-            F.lit(REPLACEMENT),
-        ),
-    )
-    tail = F.expr(f"substring(`{text}`, cast(_end + 1 as int))")
-    joined = joined.withColumn("_pieces", pieces).withColumn("_end", last["start"] + last["length"])
-    cleaned = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.concat(F.array_join("_pieces", ""), tail))
+    spans = secrets.groupBy(F.col("_text").alias(name)).agg(F.array_distinct(F.array_sort(F.collect_set(F.struct("start", "length")))).alias(spans_))
+    joined = docs.withColumn(name, key).join(spans, name, "left")
+    before = lambda i: F.get(spans_, F.greatest(i - 1, F.lit(0)))
+    done = lambda i: F.when(i == 0, 0).otherwise(before(i)["start"] + before(i)["length"])
+    pieces = F.transform(spans_, lambda s, i: F.concat(F.substring(F.col(text), (done(i) + 1).cast("int"), (s["start"] - done(i)).cast("int")), F.lit(REPLACEMENT)))
+    last = F.get(spans_, F.size(spans_) - 1)
+    tail = F.expr(f"substring(`{text}`, cast(`{end_}` + 1 as int))")
+    joined = joined.withColumn(pieces_, pieces).withColumn(end_, last["start"] + last["length"])
+    cleaned = F.when(F.col(spans_).isNull(), F.col(text)).otherwise(F.concat(F.array_join(pieces_, ""), tail))
     return joined.withColumn(text, cleaned).select(*[F.col(f"`{c}`") for c in docs.columns])

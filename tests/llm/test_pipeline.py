@@ -133,9 +133,40 @@ def test_a_near_copy_takes_no_other_text_of_its_id_along(spark):
     assert out.columns == table.columns and {(r["doc_id"], r["text"]) for r in out.collect()} == {docs[0], docs[2], docs[3]}
 
 
-def test_eleven_queries_are_registered():
+CLASHES = ("hash", "kept", "_text", "_hash", "_left", "_spans", "_row", "n_words", "component_id", "start")
+
+
+def test_extra_columns_with_clashing_names_stay(spark):
+    source = [(d, t) for d, t in rows()] + [(None, rows()[0][1]), (None, None)]
+    table = spark.createDataFrame([(d, t, "en", "s", 0, *[f"{c} of {d}" for c in CLASHES]) for d, t in source], COLUMNS + "".join(f", `{c}` string" for c in CLASHES))
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.stage(function(spark, table, ""), name)
+        assert out.columns == table.columns and 0 < out.count() <= table.count()
+        assert all(r[c] == f"{c} of {r['doc_id']}" for r in out.collect() for c in CLASHES)
+        table = out
+    assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, table, "").collect()} == {r["doc_id"] for r in table.collect()}
+
+
+def test_stages_of_an_empty_table(spark):
+    table = spark.createDataFrame([], COLUMNS)
+    for _, function in corpus_pipeline.STAGES:
+        assert function(spark, table, "").collect() == []
+
+
+def test_stages_with_a_text_of_20_mb(spark):
+    rnd = random.Random(3)
+    long = " ".join(f"{rnd.choice(['the', 'of', 'and'])} w{rnd.randrange(10**7)}" for _ in range(1_500_000))
+    table = spark.createDataFrame([(1, long, "en", "s", 0), (2, "the short end of it", "en", "s", 0)], COLUMNS)
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        table = corpus_pipeline.stage(function(spark, table, ""), name)
+    assert [(r["doc_id"], len(r["text"])) for r in table.collect()] == [(1, len(long))]
+    tokens = corpus_pipeline.STAGES[-1][1](spark, table, "")
+    assert tokens.groupBy("doc_id").agg({"length": "sum"}).first()[1] == tokens.first()["doc_tokens"]
+
+
+def test_every_query_is_registered():
     names = list(__spark_entry__.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
