@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auditlake.llm import jaccard_join, packing, quality_rules, secret_scan, substring_dedup
+from auditlake.llm.names import free
 from auditlake.operators.shuffle import stage
 
 #: The forest of the secret scan and the packing order can't be written as SQL; tests compare the stages with brute force.
@@ -21,25 +22,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each similarity class; a row that repeats id and text stays once."""
-    classes = jaccard_join.similarity_classes(docs, hashed=True)
-    later = classes.where("doc_id != component_id").select("doc_id", "hash").distinct()
-    keyed = docs.withColumn("hash", F.xxhash64("text"))
-    return keyed.join(later, ["doc_id", "hash"], "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """The document with the smallest id of each similarity class; a row that repeats id and text stays once.
+
+    Rows without id belong to no class and stay, one of each text.
+    """
+    key = free(docs, "_hash")
+    classes = jaccard_join.similarity_classes(docs.select("doc_id", "text"), hashed=True)
+    later = classes.where("doc_id != component_id").select("doc_id", F.col("hash").alias(key)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    return keyed.join(later, ["doc_id", key], "left_anti").dropDuplicates(["doc_id", "text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the spans that an earlier document has; a text of which nothing is left goes."""
-    spans = substring_dedup.repeated_spans(docs, text=True).where("n_removed > 0").dropDuplicates(["doc_id", "hash"])
-    keyed = docs.withColumn("hash", F.xxhash64("text"))
-    out = keyed.join(spans.select("doc_id", "hash", "kept"), ["doc_id", "hash"], "left").where("kept is null or kept != ''")
-    out = out.withColumn("text", F.coalesce("kept", "text"))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    key, left = free(docs, "_hash"), free(docs, "_left")
+    spans = substring_dedup.repeated_spans(docs.select("doc_id", "text"), text=True).where("n_removed > 0").dropDuplicates(["doc_id", "hash"])
+    spans = spans.select("doc_id", F.col("hash").alias(key), F.col("kept").alias(left))
+    out = docs.withColumn(key, F.xxhash64("text")).join(spans, ["doc_id", key], "left").where(F.col(left).isNull() | (F.col(left) != ""))
+    out = out.withColumn("text", F.coalesce(left, "text"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every secret replaced; no document goes."""
-    return secret_scan.redacted(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return secret_scan.redacted(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
