@@ -7,19 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from auditlake.functions import domains
 from auditlake.functions.binding import let
 
-# Registry suffixes that take two labels, beside those of the rule below.
-TWO_LABEL_SUFFIXES = (
-    "co.uk org.uk ac.uk gov.uk com.au net.au org.au edu.au co.nz com.br net.br org.br gov.br com.ar com.mx "
-    "org.mx com.co com.pe com.ve com.ec com.uy com.bo com.py com.gt com.do com.pa gob.cl gob.mx gob.ar co.jp "
-    "ne.jp or.jp ac.jp co.kr or.kr com.cn net.cn org.cn com.tw com.hk com.sg com.my co.id co.th co.in net.in "
-    "org.in co.za org.za com.tr com.ua com.pl co.il com.sa com.eg com.ng com.es nom.es org.es gob.es"
-).split()
-
-# A country's second level for companies, networks, schools, government and the like.
-SECOND_LEVEL = r"^(ac|co|com|edu|go|gob|gouv|gov|govt|mil|ne|net|nom|or|org|sch)\.[a-z][a-z]$"
-
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
 
 
@@ -64,16 +54,9 @@ def origin(url: Column) -> Column:
     return F.concat(scheme(url), F.lit("://"), authority(url))
 
 
-def registrable_domain(url: Column) -> Column:
-    """Suffix plus one label; hosts without a dot and IPv4 addresses stand for themselves."""
-    bare = F.regexp_replace(host(url), r"^.*@|:[0-9]*$", "")
-    last_two = F.regexp_extract(bare, r"([^.]+\.[^.]+)$", 1)
-    last_three = F.regexp_extract(bare, r"([^.]+\.[^.]+\.[^.]+)$", 1)
-    return (
-        F.when(bare.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$") | (last_two == ""), bare)
-        .when((last_two.isin(TWO_LABEL_SUFFIXES) | last_two.rlike(SECOND_LEVEL)) & (last_three != ""), last_three)
-        .otherwise(last_two)
-    )
+def registrable_domain(url: Column, suffixes: domains.Suffixes = domains.COMMON) -> Column:
+    """Public suffix plus one label, by a table that the caller may replace."""
+    return domains.registrable_domain(authority(url), suffixes)
 
 
 def site_key(url: Column, include_subdomains: bool = False) -> Column:

@@ -26,55 +26,79 @@ def in_category(category: str) -> Column:
     return F.exists("issues", lambda i: i.category == category)
 
 
-def health_score(pages: DataFrame) -> DataFrame:
-    """0-100 per site: weighted penalties per page with a response, heavier for priority pages."""
-    crawled = F.col("status").isNotNull()
+def page_states(pages: DataFrame) -> DataFrame:
+    """Sums over a site's audited pages; states of disjoint sets of pages add up."""
+    crawled, blocked = F.col("status").isNotNull(), has_code("blocked_by_robots")
     factor = F.when(F.col("is_priority"), F.lit(round(PRIORITY_MULTIPLIER * 10))).otherwise(F.lit(10))  # tenths, so that the sum is exact
-    per_site = pages.groupBy("site").agg(
-        F.coalesce(F.sum(F.when(crawled, penalty() * factor)), F.lit(0)).alias("tenths"), F.count_if(crawled).alias("crawled")
-    )
-    raw = F.bround(F.lit(100.0) - F.col("tenths") * F.lit(6.0) / (F.col("crawled") * F.lit(10.0)), 0)
-    score = F.when(F.col("crawled") == 0, F.lit(100.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)))
-    return per_site.select("site", "crawled", score.cast("long").alias("score"))
-
-
-def category_breakdown(issues: DataFrame) -> DataFrame:
-    """Findings per site and category by severity, with the category's place in the site's ranking."""
-    counts = issues.groupBy("site", "category").agg(
-        *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITY_WEIGHT], F.count("*").alias("total")
-    )
-    position = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category"))
-    rank = W.partitionBy("site").orderBy(F.desc("total"), position)
-    return counts.withColumn("rank", F.row_number().over(rank))
-
-
-def crawl_budget(pages: DataFrame) -> DataFrame:
-    blocked = has_code("blocked_by_robots")
     failed = F.col("status").isNull() | (F.col("status") >= 400)
     return pages.groupBy("site").agg(
+        F.coalesce(F.sum(F.when(crawled, penalty() * factor)), F.lit(0)).cast("long").alias("tenths"),
+        F.count_if(crawled).alias("crawled"),
         F.count("*").alias("total_pages"),
         F.count_if(blocked).alias("blocked_by_robots"),
         F.count_if(~blocked & failed).alias("error_pages"),
         F.count_if(~blocked & ~failed).alias("ok_pages"),
         F.count_if(has_code("duplicate_content")).alias("duplicate_pages"),
         F.count_if("is_orphan").alias("orphan_pages"),
+        F.count_if(F.col("status") == 200).alias("answered_200"),
+        F.sum("fetch_ms").alias("fetch_ms"),
     )
 
 
-def first_findings(pages: DataFrame) -> DataFrame:
-    """The first finding of each code on each page.  A page's findings are in one row, so this needs no shuffle."""
-    codes = F.transform("issues", lambda i: i.code)
-    rows = unpack(pages.select("page_id", "site", "url", "issues", codes.alias("codes")), "issues", "i", "issue_seq")
-    return rows.where(F.array_position("codes", F.col("i.code")) == F.col("issue_seq") + 1).select("page_id", "site", "url", "issue_seq", "i.*")
+def merged_page_states(states: DataFrame) -> DataFrame:
+    return states.groupBy("site").agg(*[F.sum(c).alias(c) for c in states.columns if c != "site"])
 
 
-def opportunities(findings: DataFrame) -> DataFrame:
-    """One row per site and code: pages affected, severity as first seen, and its rank by weight times reach.
+def code_states(pages: DataFrame) -> DataFrame:
+    """Per site, code, category and severity: findings, pages whose first finding of the code it is, and the first of all.
 
-    ``findings`` has one row per page and code (see ``first_findings``); only partial counts are shuffled.
+    A page's findings are in one row, so only partial counts are shuffled.
     """
-    first = F.min(F.struct("page_id", "issue_seq", "category", "severity"))
-    per_code = findings.groupBy("site", "code").agg(first.alias("first"), F.count("*").alias("affected_pages"))
+    codes = F.transform("issues", lambda i: i.code)
+    rows = unpack(pages.select("page_id", "site", "issues", codes.alias("codes")), "issues", "i", "issue_seq")
+    opens = F.array_position("codes", F.col("i.code")) == F.col("issue_seq") + 1
+    return rows.groupBy("site", F.col("i.code").alias("code"), F.col("i.category").alias("category"), F.col("i.severity").alias("severity")).agg(
+        F.count("*").alias("findings"), F.count_if(opens).alias("pages"), F.min(F.when(opens, F.struct("page_id", "issue_seq"))).alias("first")
+    )
+
+
+def merged_code_states(states: DataFrame) -> DataFrame:
+    sums = [F.sum("findings").alias("findings"), F.sum("pages").alias("pages"), F.min("first").alias("first")]
+    return states.groupBy("site", "code", "category", "severity").agg(*sums)
+
+
+def health_score(states: DataFrame) -> DataFrame:
+    """0-100 per site from ``page_states``: weighted penalties per page with a response, heavier for priority pages."""
+    raw = F.bround(F.lit(100.0) - F.col("tenths") * F.lit(6.0) / (F.col("crawled") * F.lit(10.0)), 0)
+    score = F.when(F.col("crawled") == 0, F.lit(100.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)))
+    return states.select("site", "crawled", score.cast("long").alias("score"))
+
+
+def category_breakdown(states: DataFrame) -> DataFrame:
+    """From ``code_states``: findings per site and category by severity, with the category's place in the site's ranking."""
+    counts = states.groupBy("site", "category").agg(
+        *[F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("findings"))), F.lit(0)).alias(s) for s in SEVERITY_WEIGHT], F.sum("findings").alias("total")
+    )
+    position = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category"))
+    rank = W.partitionBy("site").orderBy(F.desc("total"), position)
+    return counts.withColumn("rank", F.row_number().over(rank))
+
+
+def crawl_budget(states: DataFrame) -> DataFrame:
+    """From ``page_states``."""
+    return states.select("site", "total_pages", "blocked_by_robots", "error_pages", "ok_pages", "duplicate_pages", "orphan_pages")
+
+
+def ok_share(states: DataFrame) -> DataFrame:
+    """From ``page_states``: share of pages that answered without error in whole percent (half to even), and seconds spent fetching."""
+    share = F.when(F.col("total_pages") > 0, F.bround(F.lit(100.0) * F.col("ok_pages") / F.col("total_pages"), 0)).otherwise(F.lit(0.0))
+    return states.select("site", "total_pages", "ok_pages", share.cast("long").alias("ok_percent"), (F.col("fetch_ms") / 1000).alias("fetch_seconds"))
+
+
+def opportunities(states: DataFrame) -> DataFrame:
+    """From ``code_states``, one row per site and code: pages affected, severity as first seen, and its rank by weight times reach."""
+    first = F.min(F.when(F.col("first").isNotNull(), F.struct("first.page_id", "first.issue_seq", "category", "severity")))
+    per_code = states.groupBy("site", "code").agg(first.alias("first"), F.sum("pages").alias("affected_pages"))
     scored = per_code.select(
         "site", "code", "first.category", "first.severity", "affected_pages",
         (weight(F.col("first.severity")) * F.col("affected_pages")).alias("score"), "first",
@@ -155,9 +179,9 @@ def url_consistency(pages: DataFrame) -> DataFrame:
     )
 
 
-def category_share(issues: DataFrame) -> DataFrame:
-    """Share of each category in its site's findings, in whole percent (half to even)."""
-    totals = issues.groupBy("site", "category").agg(F.count("*").alias("total"))
+def category_share(states: DataFrame) -> DataFrame:
+    """From ``code_states``: share of each category in its site's findings, in whole percent (half to even)."""
+    totals = states.groupBy("site", "category").agg(F.sum("findings").alias("total"))
     share = F.bround(F.lit(100.0) * F.col("total") / F.sum("total").over(W.partitionBy("site")), 0).cast("long")
     return totals.withColumn("percent", share)
 

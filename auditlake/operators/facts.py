@@ -71,15 +71,18 @@ FETCH_COLUMNS = [
 ]
 
 
-def page_facts(fetches: DataFrame, keep_text: bool = False) -> DataFrame:
-    """Every per-page fact the rules, rankings and graphs need; pages that are not HTML get empty facts."""
+def page_facts(fetches: DataFrame, keep_text: bool = False, carry: list[str] = []) -> DataFrame:
+    """Every per-page fact the rules, rankings and graphs need; pages that are not HTML get empty facts.
+
+    ``carry`` names further columns of ``fetches`` that are passed on.
+    """
     application = fetches.sparkSession.sparkContext.applicationId
     usable = is_html(F.col("status"), F.col("content_type"), F.col("html"))
     docs = fetches.withColumn("html", F.when(usable, F.col("html")).otherwise(F.lit(""))).withColumn(
         "doc", H.markup(F.col("html"))
     )
     parse = _parse_columns(application)
-    tags = docs.select(*FETCH_COLUMNS, "html", *[c.alias(n) for n, c in parse.items()])
+    tags = docs.select(*FETCH_COLUMNS, *carry, "html", *[c.alias(n) for n, c in parse.items()])
     header_blob = F.array_join(
         F.transform(F.map_entries("headers"), lambda e: F.concat(e.key, F.lit(": "), e.value)), " "
     )
@@ -87,11 +90,35 @@ def page_facts(fetches: DataFrame, keep_text: bool = False) -> DataFrame:
         {"haystack": F.lower(F.concat("html", F.lit(" "), header_blob)), "word_count": H.word_count(F.col("text"))}
     )
     return tags.select(
-        *FETCH_COLUMNS, "title", "h1", "h2", "word_count", *(["text"] if keep_text else []),
+        *FETCH_COLUMNS, *carry, "title", "h1", "h2", "word_count", *(["text"] if keep_text else []),
         *[c.alias(n) for n, c in _fact_columns(application).items()],
     )
 
 
+BLOCKED_ERROR = "Bloqueado por robots.txt"  # fixed value
+
+
+def without_blocked(facts: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Facts with those of denied pages emptied: a denied page has its address and depth, no answer, facts or links.
+
+    ``verdicts``: page_id, is_blocked; a page without one is allowed.  Adds ``is_blocked``.
+    """
+    denied = F.col("is_blocked")
+    nothing = {"string": F.lit(""), "boolean": F.lit(False), "double": F.lit(0.0), "int": F.lit(0), "bigint": F.lit(0)}
+    kept = {"page_id", "site", "url", "depth"}
+    special = {"status": F.lit(None), "error": F.lit(BLOCKED_ERROR)}
+    out = facts.join(verdicts.select("page_id", "is_blocked"), "page_id", "left").withColumn("is_blocked", F.coalesce(denied, F.lit(False)))
+    blank = {}
+    for field in facts.schema:
+        if field.name not in kept:
+            kind = field.dataType.simpleString()
+            empty = special.get(field.name, nothing.get(kind))
+            if empty is None:
+                empty = F.create_map().cast(kind) if kind.startswith("map") else F.array()
+            blank[field.name] = F.when(denied, empty.cast(kind)).otherwise(F.col(field.name))
+    return out.withColumns(blank)
+
+
 def is_indexable() -> Column:
     robots = F.lower(F.concat("meta_robots", F.lit(" "), "x_robots_tag"))
     canonical_ok = (F.col("canonical") == "") | (F.col("canonical") == F.col("final_url")) | (F.col("canonical") == F.col("url"))

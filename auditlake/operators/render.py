@@ -1,73 +1,44 @@
-"""Raw against rendered and mobile captures."""
+"""Raw against rendered captures of a page."""
 
 from __future__ import annotations
 
-import difflib
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from auditlake.functions import html as H
-
-SIMILARITY = 0.85  # fixed value
-
-# The Python functions below travel inside the job, so executors need not have the package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def _similar(x: str, y: str) -> bool:
-    matcher = difflib.SequenceMatcher(None, x, y)
-    # the two quick ratios are upper bounds
-    return min(matcher.real_quick_ratio(), matcher.quick_ratio()) >= SIMILARITY and matcher.ratio() >= SIMILARITY
-
-
-@F.pandas_udf(T.BooleanType())
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_similar(x, y) for x, y in zip(a, b)], dtype=bool)
-
-
-def texts_match(a: Column, b: Column) -> Column:
-    """Sequence-match ratio of at least 0.85.
-
-    The ratio is at most twice the shorter length over both lengths, so pairs of very different length are
-    decided without it, and equal texts always match; only the rest reaches Python, in Arrow batches.
-    """
-    shorter, both = F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)
-    settled = F.when(a == b, F.lit(True)).when(shorter * 2.0 < both * SIMILARITY, F.lit(False))
-    open_a, open_b = F.when(settled.isNull(), a).otherwise(F.lit("")), F.when(settled.isNull(), b).otherwise(F.lit(""))
-    return F.coalesce(settled, _similarity(open_a, open_b))
+from auditlake.operators.shuffle import salted_join
 
 
 def compare_captures(pages: DataFrame, captures: DataFrame) -> DataFrame:
-    """Joins raw facts with the desktop and mobile captures of a page (one each) and compares them.
+    """``page_id, render`` of every captured page: does what a browser shows agree with the raw facts.
 
-    ``captures``: page_id, desktop_html, mobile_html, error, mobile_error.
+    ``captures``: page_id, desktop_html, mobile_match, error, mobile_error.  Whether the mobile view agrees is decided where
+    both views are taken; a failed mobile view is no finding, a failed capture is one by itself.
     """
-    desktop = H.markup(F.col("desktop_html"))
-    seen = captures.withColumn("doc", desktop).select(
-        "page_id", "error", "mobile_error",
-        H.title(F.col("doc")).alias("r_title"),
-        H.meta_content(H.open_tags(F.col("doc"), "meta"), "description").alias("r_description"),
-        H.heading_texts(F.col("doc"), "h1").alias("r_h1"),
-        H.visible_text(F.col("doc")).alias("d_text"),
-        H.visible_text(H.markup(F.col("mobile_html"))).alias("m_text"),
+    doc = F.col("doc")
+    seen = captures.withColumn("doc", H.markup(F.col("desktop_html"))).select(
+        "page_id", F.col("error").alias("render_error"), "mobile_match", "mobile_error", H.title(doc).alias("r_title"),
+        H.meta_content(H.open_tags(doc, "meta"), "description").alias("r_description"), H.heading_texts(doc, "h1").alias("r_h1"),
     )
-    both = pages.join(seen.withColumnRenamed("error", "render_error"), "page_id")
     failed = F.col("render_error") != ""
-    match = F.col("mobile_error").isNotNull() & (F.col("mobile_error") != "")
-    compared = both.withColumn("_mobile", texts_match(F.col("d_text"), F.col("m_text")))
-    return compared.withColumn(
-        "render",
+    return pages.select("page_id", "title", "meta_description", "h1").join(seen, "page_id").select(
+        "page_id",
         F.struct(
             F.col("render_error").alias("error"),
             (failed | (F.col("title") == F.col("r_title"))).alias("title_match"),
             (failed | (F.col("meta_description") == F.col("r_description"))).alias("description_match"),
             (failed | (F.col("h1") == F.col("r_h1"))).alias("h1_match"),
-            (failed | match | F.col("_mobile")).alias("mobile_match"),
-        ),
-    ).drop("r_title", "r_description", "r_h1", "d_text", "m_text", "mobile_error", "render_error", "_mobile")
+            (failed | (F.coalesce("mobile_error", F.lit("")) != "") | F.coalesce("mobile_match", F.lit(True))).alias("mobile_match"),
+        ).alias("render"),
+    )
+
+
+def shells_without_browser(pages: DataFrame, failures: DataFrame) -> DataFrame:
+    """``page_id, render_unavailable``: start pages that answer but link to nothing internal, where no browser could be started.
+
+    ``pages``: page_id, site, status, depth, n_internal.  ``failures``: site and the browser's ``message``.
+    """
+    shells = pages.where("status = 200 AND depth = 0 AND n_internal = 0").select("page_id", "site")
+    return salted_join(shells, failures.select("site", F.col("message").alias("render_unavailable")), ["site"], F.col("page_id"), "inner").drop("site")
 
 
 def link_union(raw: DataFrame, rendered: DataFrame, last_wins: bool = False) -> DataFrame:

@@ -194,7 +194,9 @@ DEFAULT_INPUTS = {
 @lru_cache(maxsize=2)
 def _issues(application: str) -> Column:
     every = F.array_compact(F.array(*[r.issue() for r in PAGE_RULES]))
-    return F.when(F.col("is_blocked"), F.array(BLOCKED.issue())).otherwise(every)
+    # a denied page has no facts; all else that can be said of it is that no link led to it
+    denied = F.array_compact(F.array(BLOCKED.issue(), next(r for r in PAGE_RULES if r.code == "orphan_page").issue()))
+    return F.when(F.col("is_blocked"), denied).otherwise(every)
 
 
 def collect_page_issues(pages: DataFrame, extra_rules: list[Rule] | None = None) -> DataFrame:

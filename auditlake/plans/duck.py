@@ -218,7 +218,29 @@ FROM (
   WHERE href <> '' AND NOT regexp_matches(href, '^(javascript:|mailto:|tel:|#)'))
 WHERE {scheme('target')} IN ('http', 'https')
 """
-CTES["admitted"] = "SELECT * FROM links WHERE is_internal"
+# what a crawl that obeys robots files has seen
+_NEVER = "page_id IN (SELECT page_id FROM page_verdicts WHERE NOT is_allowed)"
+CTES["crawl_rows"] = f"""
+SELECT * REPLACE (CASE WHEN {_NEVER} THEN NULL ELSE status END AS status, CASE WHEN {_NEVER} THEN '' ELSE final_url END AS final_url) FROM fetch_rows
+"""
+CTES["crawl"] = f"""
+SELECT * REPLACE (NULL::bigint AS status, '' AS final_url, '' AS content_type, '' AS x_robots_tag, 'Bloqueado por robots.txt' AS error, 0::double AS fetch_ms, 'none' AS hop_kind, '' AS title, '' AS meta_description, '' AS meta_robots,
+  '' AS meta_keywords, '' AS canonical, []::varchar[] AS h1, []::varchar[] AS h2, '' AS text, 0 AS word_count, 0 AS images_without_alt, 0 AS empty_anchors, '' AS meta_refresh, false AS js_redirect, '' AS error_type, 0 AS n_hops,
+  0 AS n_temporary, '' AS content_hash, false AS is_soft_404, false AS is_indexable, url AS address) FROM facts WHERE {_NEVER}
+UNION ALL SELECT * FROM facts WHERE NOT {_NEVER}
+"""
+CTES["crawl_links"] = f"SELECT * FROM links WHERE NOT {_NEVER}"
+CTES["admitted"] = "SELECT * FROM crawl_links WHERE is_internal"
+CTES["render_rows"] = rf"""
+SELECT c.page_id, c.error, c.failed OR c.title = r.title AS title_match, c.failed OR c.description = r.meta_description AS description_match, c.failed OR c.h1 = r.h1 AS h1_match, c.failed OR c.mobile_error <> '' OR c.mobile_match AS mobile_match
+FROM (SELECT d.page_id, d.error, d.error <> '' AS failed, d.mobile_error, d.mobile_match, {nodes(r"regexp_extract(d.doc, '(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>', 1)", '')} AS title, {meta('description')} AS description,
+        [{nodes('e', '')} FOR e IN {elements('d.doc', 'h1')}] AS h1
+      FROM (SELECT *, regexp_replace(desktop_html, '(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>', chr(1), 'g') AS doc FROM captures) d) c
+JOIN crawl r ON r.page_id = c.page_id
+"""
+CTES["shells"] = """
+SELECT c.page_id FROM crawl c JOIN site_signals s ON s.site = c.site AND s.browser_unavailable WHERE c.status = 200 AND c.depth = 0 AND c.page_id NOT IN (SELECT page_id FROM admitted)
+"""
 CTES["inlink_pairs"] = "SELECT DISTINCT target, source FROM admitted"
 _TECH = ", ".join(
     f"CASE WHEN regexp_matches(hay, '(?i){'|'.join(re.escape(m) for m in ms)}') THEN '{n}' END".replace("gtag\\('config'", "gtag\\(''config''")
@@ -310,7 +332,7 @@ CTES["members"] = "SELECT DISTINCT site, split_part(loc, '#', 1) AS loc FROM lis
 CTES["in_sitemap_rows"] = """
 SELECT f.page_id, f.site IN (SELECT site FROM members) AS site_has_sitemap,
   EXISTS (SELECT 1 FROM members m WHERE m.site = f.site AND m.loc = f.url) OR EXISTS (SELECT 1 FROM members m WHERE m.site = f.site AND m.loc = CASE WHEN f.final_url = '' THEN f.url ELSE f.final_url END) AS in_sitemap
-FROM fetch_rows f
+FROM crawl_rows f
 """
 CTES["orphans"] = f"""
 SELECT site, url, arg_min(visit_no, (visit_no, loc_pos)) AS visit_no, arg_min(loc_pos, (visit_no, loc_pos)) AS loc_pos
@@ -319,21 +341,21 @@ WHERE {site('url')} = site AND url NOT IN (SELECT target FROM admitted) GROUP BY
 """
 CTES["broken_rows"] = """
 SELECT i.page_id, list(i.src ORDER BY i.n) AS broken_images FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n) AS k FROM image_rows) i
-JOIN assets a ON a.src = i.src WHERE a.status IS NULL OR a.status >= 400 GROUP BY i.page_id
+JOIN assets a ON a.src = i.src WHERE i.page_id NOT IN (SELECT page_id FROM page_verdicts WHERE NOT is_allowed) AND (a.status IS NULL OR a.status >= 400) GROUP BY i.page_id
 """
 
 # ------------------------------------------------------------------- findings
 
 CTES["audited_pages"] = """
 SELECT f.*, s.in_sitemap, s.site_has_sitemap, NOT v.is_allowed AS is_blocked, coalesce(b.broken_images, []::varchar[]) AS broken_images, o.url IS NOT NULL AS is_orphan,
-  p.url IS NOT NULL AS is_priority_url, p.url IS NOT NULL OR p2.url IS NOT NULL AS is_priority,
+  p.url IS NOT NULL AS is_priority_url, r.error AS render_error, r.title_match, r.description_match, r.h1_match, r.mobile_match, f.page_id IN (SELECT page_id FROM shells) AS is_shell, p.url IS NOT NULL OR p2.url IS NOT NULL AS is_priority,
   CASE WHEN f.status = 200 AND f.content_hash <> '' THEN c.n ELSE 1 END AS same_content, CASE WHEN f.status = 200 AND f.title <> '' THEN t.n ELSE 1 END AS same_title,
   CASE WHEN f.status = 200 AND f.meta_description <> '' THEN m.n ELSE 1 END AS same_meta
-FROM facts f JOIN in_sitemap_rows s ON s.page_id = f.page_id JOIN page_verdicts v ON v.page_id = f.page_id LEFT JOIN broken_rows b ON b.page_id = f.page_id
-LEFT JOIN orphans o ON o.site = f.site AND o.url = f.url LEFT JOIN priority_list p ON p.url = f.url LEFT JOIN priority_list p2 ON p2.url = f.final_url
-LEFT JOIN (SELECT site, content_hash, count(*) AS n FROM facts WHERE status = 200 GROUP BY ALL) c ON c.site = f.site AND c.content_hash = f.content_hash
-LEFT JOIN (SELECT site, title, count(*) AS n FROM facts WHERE status = 200 GROUP BY ALL) t ON t.site = f.site AND t.title = f.title
-LEFT JOIN (SELECT site, meta_description, count(*) AS n FROM facts WHERE status = 200 GROUP BY ALL) m ON m.site = f.site AND m.meta_description = f.meta_description
+FROM crawl f JOIN in_sitemap_rows s ON s.page_id = f.page_id JOIN page_verdicts v ON v.page_id = f.page_id LEFT JOIN broken_rows b ON b.page_id = f.page_id
+LEFT JOIN orphans o ON o.site = f.site AND o.url = f.url LEFT JOIN priority_list p ON p.url = f.url LEFT JOIN priority_list p2 ON p2.url = f.final_url LEFT JOIN render_rows r ON r.page_id = f.page_id
+LEFT JOIN (SELECT site, content_hash, count(*) AS n FROM crawl WHERE status = 200 GROUP BY ALL) c ON c.site = f.site AND c.content_hash = f.content_hash
+LEFT JOIN (SELECT site, title, count(*) AS n FROM crawl WHERE status = 200 GROUP BY ALL) t ON t.site = f.site AND t.title = f.title
+LEFT JOIN (SELECT site, meta_description, count(*) AS n FROM crawl WHERE status = 200 GROUP BY ALL) m ON m.site = f.site AND m.meta_description = f.meta_description
 """
 
 
@@ -384,6 +406,13 @@ _RULES = [
     ("redirects", "critical", "redirect_loop", "hop_kind = 'loop'", "'Se detectó un bucle de redirects (la misma URL aparece más de una vez en la cadena).'"),
     ("redirects", "warning", "meta_refresh_redirect", "(n_hops > 0 OR status = 200) AND meta_refresh <> ''", "'La página usa un redirect por meta-refresh hacia ' || meta_refresh || ' en vez de un 301 HTTP.'"),
     ("redirects", "warning", "js_redirect", "(n_hops > 0 OR status = 200) AND js_redirect", "'La página parece redirigir mediante JavaScript en vez de un 301 HTTP.'"),
+    ("rendering", "warning", "render_failed", "render_error <> ''", "'No se pudo renderizar la página: ' || render_error"),
+    ("rendering", "warning", "render_title_mismatch", "render_error = '' AND NOT title_match", "'El title en el HTML crudo no coincide con el title renderizado (JS lo modifica).'"),
+    ("rendering", "warning", "render_description_mismatch", "render_error = '' AND NOT description_match", "'La meta description en el HTML crudo no coincide con la renderizada.'"),
+    ("rendering", "warning", "render_h1_mismatch", "render_error = '' AND NOT h1_match", "'El H1 en el HTML crudo no coincide con el renderizado.'"),
+    ("rendering", "warning", "mobile_desktop_mismatch", "render_error = '' AND NOT mobile_match", "'El contenido visible difiere significativamente entre mobile y desktop.'"),
+    ("rendering", "critical", "spa_render_unavailable", "is_shell",
+     "'El sitio necesita JavaScript para mostrar sus enlaces, pero no se pudo iniciar el navegador de renderizado: Executable doesn''t exist.'"),
     ("directives", "critical", "priority_url_not_indexable", "is_priority AND NOT is_indexable",
      "'Esta URL fue marcada como importante pero no es indexable (noindex, canonical hacia otra URL, o no responde 200).'"),
     ("links", "warning", "orphan_page", "is_orphan", "'Página encontrada en el sitemap pero sin ningún enlace interno hacia ella.'"),
@@ -395,6 +424,7 @@ _RULES = [
 CTES["found"] = (
     "\nUNION ALL ".join(_rule(i, *r) for i, r in enumerate(_RULES))
     + "\nUNION ALL SELECT page_id, site, url, 0, 'sitemap_robots', 'info', 'blocked_by_robots', 'Esta URL fue descubierta pero no se rastreó por estar bloqueada en robots.txt.' FROM audited_pages WHERE is_blocked"
+    + "\nUNION ALL SELECT page_id, site, url, 1, 'links', 'warning', 'orphan_page', 'Página encontrada en el sitemap pero sin ningún enlace interno hacia ella.' FROM audited_pages WHERE is_blocked AND is_orphan"
 )
 CTES["findings"] = "SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rule_no) - 1 AS issue_seq, CASE severity WHEN 'critical' THEN 10 WHEN 'warning' THEN 3 ELSE 1 END AS weight FROM found"
 CTES["page_findings"] = """

@@ -13,26 +13,23 @@ from auditlake.sources.tables import table
 u = F.col
 
 
-@query("inlinks", "SELECT f.page_id, e.source AS inlink FROM facts f JOIN inlink_pairs e ON e.target = f.address")
+@query("inlinks", "SELECT f.page_id, e.source AS inlink FROM crawl f JOIN inlink_pairs e ON e.target = f.address")
 def inlinks(spark, sf):
-    pages = I.stage(I.facts(spark, sf), "facts")
-    return L.page_inlinks(pages, L.inlink_edges(I.discovered(pages))).select("page_id", u("source").alias("inlink"))
+    return L.page_inlinks(I.crawled(spark, sf), I.crawl(spark, sf).edges).select("page_id", u("source").alias("inlink"))
 
 
-@query("link_degree", "SELECT f.page_id, coalesce(c.n, 0) AS inlinks, least(13.0, 5.0 + coalesce(c.n, 0)::double * 1.1::double)::double AS radius FROM facts f LEFT JOIN (SELECT target, count(*) AS n FROM inlink_pairs GROUP BY 1) c ON c.target = f.address")
+@query("link_degree", "SELECT f.page_id, coalesce(c.n, 0) AS inlinks, least(13.0, 5.0 + coalesce(c.n, 0)::double * 1.1::double)::double AS radius FROM crawl f LEFT JOIN (SELECT target, count(*) AS n FROM inlink_pairs GROUP BY 1) c ON c.target = f.address")
 def link_degree(spark, sf):
-    pages = I.stage(I.facts(spark, sf), "facts")
-    counted = L.inlink_counts(pages, L.inlink_edges(I.discovered(pages)))
+    counted = L.inlink_counts(I.crawled(spark, sf), I.crawl(spark, sf).edges)
     return counted.select("page_id", "inlinks", L.node_radius(u("inlinks")).alias("radius"))
 
 
 @query("tree_parents", """
-SELECT f.page_id, f.url, f.depth, CASE WHEN f.depth > 0 THEN coalesce(b.level_up, CASE WHEN b.first_known THEN b.first END) END AS parent_url FROM facts f LEFT JOIN (
+SELECT f.page_id, f.url, f.depth, CASE WHEN f.depth > 0 THEN coalesce(b.level_up, CASE WHEN b.first_known THEN b.first END) END AS parent_url FROM crawl f LEFT JOIN (
   SELECT f.page_id, min(CASE WHEN p.depth = f.depth - 1 THEN e.source END) AS level_up, min(e.source) AS first, arg_min(p.depth IS NOT NULL, e.source) AS first_known
-  FROM facts f JOIN inlink_pairs e ON e.target = f.address LEFT JOIN (SELECT url, arg_max(depth, page_id) AS depth FROM facts GROUP BY url) p ON p.url = e.source GROUP BY f.page_id) b ON b.page_id = f.page_id""")
+  FROM crawl f JOIN inlink_pairs e ON e.target = f.address LEFT JOIN (SELECT url, arg_max(depth, page_id) AS depth FROM crawl GROUP BY url) p ON p.url = e.source GROUP BY f.page_id) b ON b.page_id = f.page_id""")
 def tree_parents(spark, sf):
-    pages = I.stage(I.facts(spark, sf), "facts")
-    return L.tree_parents(pages, L.inlink_edges(I.discovered(pages)))
+    return L.tree_parents(I.crawled(spark, sf), I.crawl(spark, sf).edges)
 
 
 def _edges(spark, sf):
@@ -76,7 +73,7 @@ def bfs_resume(spark, sf):
 @query("orphan_pages", "SELECT site, url FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY visit_no, loc_pos) AS n FROM orphans) WHERE n <= 10")
 def orphan_pages(spark, sf):
     """Listed but never linked, first ten of each site (the budget left after the crawl)."""
-    admitted = I.discovered(I.facts(spark, sf)).select(U.site_key(u("target")).alias("site"), u("target").alias("url"))
+    admitted = I.discovered(I.crawled(spark, sf)).select(U.site_key(u("target")).alias("site"), u("target").alias("url"))
     return L.orphan_candidates(I.listed(spark, sf), admitted, budget=10).select("site", "url")
 
 
@@ -103,7 +100,7 @@ def redirect_chains(spark, sf):
 
 D.CTES["tree_rows"] = f"""
 SELECT root_domain, [{D.host('address')}] || [s FOR s IN string_split({D.path('address')}, '/') IF s <> ''] AS steps, page_id, pos, address FROM (
-  SELECT page_id, -1 AS pos, address, {D.domain('url')} AS root_domain FROM facts UNION ALL SELECT page_id, link_pos, target, {D.domain('source')} FROM links WHERE is_internal)
+  SELECT page_id, -1 AS pos, address, {D.domain('url')} AS root_domain FROM crawl UNION ALL SELECT page_id, link_pos, target, {D.domain('source')} FROM crawl_links WHERE is_internal)
 WHERE {D.domain('address')} = root_domain AND {D.host('address')} <> ''
 """
 D.CTES["tree_all"] = """
@@ -115,7 +112,7 @@ FROM (SELECT *, unnest(range(1, len(steps) + 1)) AS k FROM tree_rows) GROUP BY A
 
 @query("site_tree", "SELECT root_domain, node_path, parent_path, depth, label, url, has_page FROM tree_all")
 def site_tree(spark, sf):
-    pages = I.stage(I.facts(spark, sf), "facts")
+    pages = I.crawled(spark, sf)
     return L.tree_nodes(L.tree_addresses(pages, page_facts.page_links(pages))).drop("node")
 
 
@@ -123,5 +120,5 @@ def site_tree(spark, sf):
 SELECT a.root_domain, a.node_path, a.depth, count(b.node_path) AS descendants FROM (SELECT root_domain, node_path, depth FROM tree_all UNION SELECT DISTINCT root_domain, root_domain, 0 FROM tree_all) a
 LEFT JOIN tree_all b ON b.root_domain = a.root_domain AND (a.depth = 0 OR starts_with(b.node_path, a.node_path || '/')) AND b.depth > a.depth GROUP BY ALL""")
 def tree_descendants(spark, sf):
-    pages = I.stage(I.facts(spark, sf), "facts")
+    pages = I.crawled(spark, sf)
     return L.tree_descendants(I.stage(L.tree_nodes(L.tree_addresses(pages, page_facts.page_links(pages))), "tree"))

@@ -117,7 +117,9 @@ def priority_feed(spark, sf):
         rules.lookup(u("code"), _CODE_CATEGORY).alias("category"), rules.lookup(u("code"), _CODE_SEVERITY).alias("severity"))
     # codes of a page come sorted in a snapshot
     position = F.array_position(F.array(*[F.lit(c) for c in sorted(_CODE_CATEGORY)]), u("code"))
-    top = A.opportunities(issues.withColumn("issue_seq", position)).where(F.col("rank") <= PER_SITE)
+    states = issues.withColumn("issue_seq", position).groupBy("site", "code", "category", "severity").agg(
+        F.count("*").alias("findings"), F.count("*").alias("pages"), F.min(F.struct("page_id", "issue_seq")).alias("first"))
+    top = A.opportunities(states).where(F.col("rank") <= PER_SITE)
     feed = with_advice(top.select("site", "code", "severity", "affected_pages"))
     ordered = feed.orderBy(rules.order(u("severity")), F.desc("affected_pages"), "site", "code")
     return ordered.select("site", "code", "severity", "affected_pages", "title", "fix_step")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import cached_property, lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auditlake.functions import urls as U
-from auditlake.operators import broken_assets, duplicates, facts as page_facts, links, robots, rules, sitemaps
-from auditlake.operators.shuffle import salted_join, stage
+from auditlake.operators import aggregates as A, broken_assets, duplicates, facts as page_facts, links, render, robots, rules, sitemaps
+from auditlake.operators.audit_store import AuditStore
+from auditlake.operators.shuffle import salted_join, shared_folder, stage
 from auditlake.sources import tables
 
 AGENT = "SiteAuditBot/0.1 (+https://example.invalid/bot)"
@@ -54,39 +58,115 @@ def site_signals(spark: SparkSession, sf: str, pages: DataFrame, sitemap: DataFr
     return joined.select("page_id", (~allowed).alias("is_blocked"), "site_has_sitemap")
 
 
-def audited(spark: SparkSession, sf: str, pages: DataFrame | None = None) -> DataFrame:
-    """The whole audit: page facts, every joined signal, and the findings of each page.
+def captures(spark: SparkSession, sf: str) -> DataFrame:
+    """Captures as a browser farm delivers them."""
+    return tables.table(spark, sf, "captures")
+
+
+def crawl_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Fetched addresses without the HTML; a denied page has no answer."""
+    rows = tables.table(spark, sf, "fetch_rows").drop("html")
+    verdicts = robots.robots_allowed(rows.select("page_id", "site", "url"), tables.table(spark, sf, "robots_docs"), AGENT)
+    return page_facts.without_blocked(rows, verdicts.select("page_id", (~F.col("is_allowed")).alias("is_blocked"))).drop("is_blocked")
+
+
+def audit(spark: SparkSession, sf: str, pages: DataFrame) -> DataFrame:
+    """The whole audit of ``pages``, a stored fact table: every joined signal, and the findings of each page.
 
-    Facts are written once without the HTML, because the graph, the sitemap and the duplicate counts all read them.
     Every signal is worked out on narrow rows and keyed by page, so the wide facts are shuffled once, by page id.
-    ``pages`` is a fact table that is already stored.
     """
-    pages = stage(facts(spark, sf), "facts") if pages is None else pages
     sitemap = stage(listed(spark, sf), "listed")
-    targets = discovered(pages).select(U.site_key(F.col("target")).alias("site"), F.col("target").alias("url"))
+    seen = site_signals(spark, sf, pages, sitemap)
+    pages = stage(page_facts.without_blocked(pages, seen), "crawled")
+    edges = page_facts.page_links(pages)
+    targets = links.discovered_links(edges, include_subdomains=True).select(U.site_key(F.col("target")).alias("site"), F.col("target").alias("url"))
     lost = links.orphan_candidates(sitemap, targets).select("site", "url")
+    inner = F.size(F.filter("outlinks", lambda link: U.is_same_site(F.col("final_url"), link.target, True)))
+    failures = tables.table(spark, sf, "site_signals").where("browser_unavailable").select("site", F.lit("Executable doesn't exist").alias("message"))
     true = F.lit(True)
     signals = [
-        site_signals(spark, sf, pages, sitemap),
+        seen.select("page_id", "site_has_sitemap"),
         sitemaps.members(pages, sitemap).withColumn("in_sitemap", true),
         pages.select("page_id", "site", "url").join(lost, ["site", "url"], "left_semi").select("page_id", true.alias("is_orphan")),
         broken_assets.broken_images(pages, tables.table(spark, sf, "assets")),
         priority_flags(pages, tables.table(spark, sf, "priority_list")),
         duplicates.duplicate_counts(pages),
+        render.compare_captures(pages, captures(spark, sf)),
+        render.shells_without_browser(pages.select("page_id", "site", "status", "depth", inner.alias("n_internal")), failures),
     ]
     out = pages.drop("outlinks", "image_srcs")
     for signal in signals:
         out = out.join(signal, "page_id", "left")
-    flags = ["is_blocked", "site_has_sitemap", "in_sitemap", "is_orphan", "is_priority_url", "is_priority"]
+    flags = ["site_has_sitemap", "in_sitemap", "is_orphan", "is_priority_url", "is_priority"]
     filled = {c: F.coalesce(c, F.lit(False)) for c in flags}
     filled |= {c: F.coalesce(c, F.lit(1)).cast("long") for _, c in duplicates.KEYS}
     filled["broken_images"] = F.coalesce("broken_images", F.array().cast("array<string>"))
+    filled["render_unavailable"] = F.coalesce("render_unavailable", F.lit(""))
     return rules.collect_page_issues(out.withColumns(filled))
 
 
-def audited_once(spark: SparkSession, sf: str) -> DataFrame:
-    """The audit as a table, for queries that read it more than once."""
-    return stage(audited(spark, sf), "audited")
+class _Crawl:
+    """The crawl of one folder of tables, kept in an audit store: parsed once, audited once, read by every query."""
+
+    def __init__(self, spark: SparkSession, sf: str):
+        self.spark, self.sf = spark, sf
+        self.store = AuditStore(spark, f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}", buckets=1)
+        self.parsed = self.store.parse(tables.fetches(spark, sf))
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        """Facts of the pages that may be fetched; of denied ones the address only."""
+        pages = self.store.parsed(self.parsed).drop("print", "parsed_in")
+        verdicts = robots.robots_allowed(pages.select("page_id", "site", "url"), tables.table(self.spark, self.sf, "robots_docs"), AGENT)
+        return stage(page_facts.without_blocked(pages, verdicts.select("page_id", (~F.col("is_allowed")).alias("is_blocked"))), "crawled")
+
+    @cached_property
+    def audited(self) -> AuditStore:
+        self.store.finish(self.parsed, lambda pages: audit(self.spark, self.sf, pages))
+        return self.store
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """Distinct (target, source) pairs of the links that enter the crawl."""
+        return stage(links.inlink_edges(discovered(self.facts)), "edges")
+
+
+@lru_cache(maxsize=4)
+def _crawl(application: str, sf: str, stamp: tuple) -> _Crawl:
+    return _Crawl(SparkSession.active(), sf)
+
+
+def _stamp(spark: SparkSession, sf: str) -> tuple:
+    """Size and time of every input file, so that changed tables are crawled anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def crawl(spark: SparkSession, sf: str) -> _Crawl:
+    return _crawl(spark.sparkContext.applicationId, sf, _stamp(spark, sf))
+
+
+def crawled(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored facts of the crawl, denied pages emptied."""
+    return crawl(spark, sf).facts
+
+
+def audited(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored audit of the crawl."""
+    return crawl(spark, sf).audited.audited()
+
+
+def page_states(spark: SparkSession, sf: str) -> DataFrame:
+    return A.merged_page_states(crawl(spark, sf).audited.page_states())
+
+
+def code_states(spark: SparkSession, sf: str) -> DataFrame:
+    return A.merged_code_states(crawl(spark, sf).audited.code_states())
 
 
 def text_of(array: str, glue: str = "|"):

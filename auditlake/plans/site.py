@@ -33,7 +33,7 @@ def issue_export(spark, sf):
 SELECT p.url AS "URL", p.status AS "Status Code", p.is_indexable AS "Indexable", p.title AS "Title", length(p.title) AS "Title Length", p.meta_description AS "Meta Description",
   length(p.meta_description) AS "Meta Description Length", array_to_string(p.h1, ' | ') AS "H1", p.canonical AS "Canonical", p.meta_robots AS "Meta Robots", p.word_count AS "Word Count", p.depth AS "Depth",
   p.n_hops AS "Redirect Chain Length", p.final_url AS "Final URL", coalesce(array_to_string(t.tech, ', '), '') AS "Tech", p.is_soft_404 AS "Soft 404",
-  p.fetch_ms - 0.05 AS "Fetch Time (ms)", p.n_issues AS "Issue Count", p.display AS "Issues" FROM page_findings p LEFT JOIN tech_rows t ON t.page_id = p.page_id""")
+  greatest(p.fetch_ms - 0.05, 0)::double AS "Fetch Time (ms)", p.n_issues AS "Issue Count", p.display AS "Issues" FROM page_findings p LEFT JOIN tech_rows t ON t.page_id = p.page_id AND NOT p.is_blocked""")
 def page_export(spark, sf):
     return sinks.page_export(I.audited(spark, sf))
 
@@ -47,11 +47,12 @@ def snapshot_rows(spark, sf):
 SELECT CASE WHEN p.is_orphan THEN '🕸 ' ELSE '' END || p.url AS url, coalesce(p.status::string, '—') AS status, CASE WHEN p.is_indexable THEN 'Sí' ELSE 'No' END AS indexable, p.title, length(p.title) AS title_len,
   p.meta_description, length(p.meta_description) AS meta_len, array_to_string(p.h1, ' | ') AS h1, p.word_count, p.canonical, p.depth, CASE WHEN p.in_sitemap THEN 'Sí' ELSE 'No' END AS in_sitemap,
   coalesce(array_to_string(k.keywords, ', '), '') AS keywords, coalesce(array_to_string(t.tech, ', '), '') AS tech, p.n_issues AS issue_count, CASE p.worst WHEN 0 THEN 'Crítico' WHEN 1 THEN 'Advertencia' WHEN 2 THEN 'Info' ELSE 'Sin issues' END AS max_severity
-FROM page_findings p LEFT JOIN tech_rows t ON t.page_id = p.page_id LEFT JOIN page_top k ON k.page_id = p.page_id""")
+FROM page_findings p LEFT JOIN tech_rows t ON t.page_id = p.page_id AND NOT p.is_blocked LEFT JOIN page_top k ON k.page_id = p.page_id AND NOT p.is_blocked""")
 def audit_grid(spark, sf):
     """The page grid, worst severity first."""
-    stored = I.stage(K.top_keywords(I.facts(spark, sf, keep_text=True)).drop("text"), "facts")
-    pages = I.stage(I.audited(spark, sf, stored), "audited")  # sorting samples its input first
+    words = K.top_keywords(I.facts(spark, sf, keep_text=True)).select("page_id", u("keywords").alias("words"))
+    found = F.when(~u("is_blocked"), u("words"))
+    pages = I.stage(I.audited(spark, sf).join(words, "page_id", "left").withColumn("keywords", F.coalesce(found, F.array().cast("array<string>"))), "grid")  # sorting samples its input first
     yes = lambda c: F.when(c, F.lit("Sí")).otherwise(F.lit("No"))
     return pages.orderBy(A.worst_severity(), "page_id").select(
         F.concat(F.when(u("is_orphan"), F.lit("🕸 ")).otherwise(F.lit("")), "url").alias("url"),
@@ -72,26 +73,25 @@ def grid_filters(spark, sf):
 SELECT page_id, site, url, status, CASE WHEN error <> '' THEN error WHEN status IS NULL THEN 'Sin respuesta' ELSE 'HTTP ' || status END AS label FROM page_findings
 WHERE NOT is_blocked AND (status IS NULL OR status >= 400) ORDER BY status NULLS LAST, page_id""")
 def error_pages(spark, sf):
-    return A.error_pages(I.audited_once(spark, sf))  # sorting samples its input first
+    return A.error_pages(I.audited(spark, sf))
 
 
 @query("page_detail", """
-SELECT page_id, 'issue' AS relation, severity AS k, code AS v FROM findings UNION ALL SELECT page_id, 'outlink', target, anchor_text FROM links
-UNION ALL SELECT f.page_id, 'inlink', e.source, '' FROM facts f JOIN inlink_pairs e ON e.target = f.address
-UNION ALL SELECT page_id, 'header', unnest(['content-type', 'server']), unnest([content_type, server]) FROM facts WHERE status IS NOT NULL UNION ALL SELECT page_id, 'header', 'x-robots-tag', x_robots_tag FROM facts WHERE status IS NOT NULL AND x_robots_tag <> ''
-UNION ALL SELECT page_id, 'hop', url, '301' FROM facts WHERE hop_kind IN ('single', 'long') UNION ALL SELECT page_id, 'hop', url, '302' FROM facts WHERE hop_kind = 'temporary'
-UNION ALL SELECT page_id, 'hop', url || '~1', '308' FROM facts WHERE hop_kind = 'long' UNION ALL SELECT page_id, 'hop', url || '~2', '307' FROM facts WHERE hop_kind = 'long'
-UNION ALL SELECT page_id, 'hop', unnest([url, url || '~1', url]), '301' FROM facts WHERE hop_kind = 'loop'""")
+SELECT page_id, 'issue' AS relation, severity AS k, code AS v FROM findings UNION ALL SELECT page_id, 'outlink', target, anchor_text FROM crawl_links
+UNION ALL SELECT f.page_id, 'inlink', e.source, '' FROM crawl f JOIN inlink_pairs e ON e.target = f.address
+UNION ALL SELECT page_id, 'header', unnest(['content-type', 'server']), unnest([content_type, server]) FROM crawl WHERE status IS NOT NULL UNION ALL SELECT page_id, 'header', 'x-robots-tag', x_robots_tag FROM crawl WHERE status IS NOT NULL AND x_robots_tag <> ''
+UNION ALL SELECT page_id, 'hop', url, '301' FROM crawl WHERE hop_kind IN ('single', 'long') UNION ALL SELECT page_id, 'hop', url, '302' FROM crawl WHERE hop_kind = 'temporary'
+UNION ALL SELECT page_id, 'hop', url || '~1', '308' FROM crawl WHERE hop_kind = 'long' UNION ALL SELECT page_id, 'hop', url || '~2', '307' FROM crawl WHERE hop_kind = 'long'
+UNION ALL SELECT page_id, 'hop', unnest([url, url || '~1', url]), '301' FROM crawl WHERE hop_kind = 'loop'""")
 def page_detail(spark, sf):
     """Everything shown for one page, as (relation, key, value) rows for all pages."""
-    pages = I.stage(I.facts(spark, sf), "facts")
-    audited = I.audited(spark, sf, pages)
+    pages, audited = I.crawled(spark, sf), I.audited(spark, sf)
     row = lambda df, kind, k, v: df.select("page_id", F.lit(kind).alias("relation"), k.alias("k"), v.alias("v"))
     edges = page_facts.page_links(pages)
     found = rules.issue_rows(audited)
     hops = unpack(pages.select("page_id", "redirect_chain"), "redirect_chain", "h")
     heads = unpack(pages.select("page_id", F.map_entries("headers").alias("e")), "e", "h")
-    inlinks = L.page_inlinks(pages, L.inlink_edges(I.discovered(pages)))
+    inlinks = L.page_inlinks(pages, I.crawl(spark, sf).edges)
     return (
         row(found, "issue", u("severity"), u("code"))
         .unionByName(row(edges, "outlink", u("target"), u("anchor_text")))
@@ -103,7 +103,7 @@ def page_detail(spark, sf):
 
 @query("priority_flag", "SELECT page_id, is_priority_url, is_priority FROM audited_pages")
 def priority_flag(spark, sf):
-    pages = table(spark, sf, "fetch_rows").select("page_id", "url", "final_url")
+    pages = I.crawl_rows(spark, sf).select("page_id", "url", "final_url")
     flagged = pages.select("page_id").join(I.priority_flags(pages, table(spark, sf, "priority_list")), "page_id", "left")
     no = F.lit(False)
     return flagged.select("page_id", F.coalesce("is_priority_url", no).alias("is_priority_url"), F.coalesce("is_priority", no).alias("is_priority"))
@@ -111,7 +111,7 @@ def priority_flag(spark, sf):
 
 @query("broken_images", "SELECT page_id, array_to_string(broken_images, ' ') AS broken_images FROM broken_rows")
 def broken_images(spark, sf):
-    found = broken_assets.broken_images(I.stage(I.facts(spark, sf), "facts"), table(spark, sf, "assets"))
+    found = broken_assets.broken_images(I.crawled(spark, sf), table(spark, sf, "assets"))
     return found.select("page_id", F.array_join("broken_images", " ").alias("broken_images"))
 
 
@@ -120,10 +120,10 @@ def broken_images(spark, sf):
 
 def _groups(name: str, key: str):
     @query(name, f"""
-SELECT f.page_id, f.site, f.{key} AS shared, g.group_size FROM facts f JOIN (
-  SELECT site, {key}, count(*) AS group_size FROM facts WHERE status = 200 AND {key} <> '' GROUP BY ALL HAVING count(*) > 1) g ON g.site = f.site AND g.{key} = f.{key} WHERE f.status = 200""")
+SELECT f.page_id, f.site, f.{key} AS shared, g.group_size FROM crawl f JOIN (
+  SELECT site, {key}, count(*) AS group_size FROM crawl WHERE status = 200 AND {key} <> '' GROUP BY ALL HAVING count(*) > 1) g ON g.site = f.site AND g.{key} = f.{key} WHERE f.status = 200""")
     def run(spark, sf):
-        pages = I.stage(I.facts(spark, sf), "facts")
+        pages = I.crawled(spark, sf)
         return duplicates.duplicate_groups(pages, key).select("page_id", "site", u(key).alias("shared"), "group_size")
 
 
@@ -143,7 +143,7 @@ _groups("duplicate_meta", "meta_description")
 
 @query("duplicate_issues", "SELECT page_id, same_content - 1 AS other_content, same_title - 1 AS other_title, same_meta - 1 AS other_meta FROM audited_pages")
 def duplicate_issues(spark, sf):
-    pages = I.stage(I.facts(spark, sf), "facts")
+    pages = I.crawled(spark, sf)
     counted = duplicates.with_duplicate_counts(pages)
     return counted.select("page_id", *[(u(f"same_{k}") - 1).alias(f"other_{k}") for k in ("content", "title", "meta")])
 
@@ -155,7 +155,7 @@ def duplicate_issues(spark, sf):
 SELECT site, crawled, CASE WHEN crawled = 0 THEN 100 ELSE greatest(0, least(100, round_even(100.0::double - tenths * 6.0::double / (crawled * 10.0::double), 0))) END::bigint AS score FROM (
   SELECT site, count(status) AS crawled, coalesce(sum(CASE WHEN status IS NOT NULL THEN penalty * CASE WHEN is_priority THEN 16 ELSE 10 END END), 0)::bigint AS tenths FROM page_findings GROUP BY site)""")
 def health_score(spark, sf):
-    return A.health_score(I.audited(spark, sf))
+    return A.health_score(I.page_states(spark, sf))
 
 
 @query("score_bands", """
@@ -163,38 +163,45 @@ SELECT CASE WHEN score < 50 THEN 'critical' WHEN score < 80 THEN 'warning' ELSE
   SELECT site, CASE WHEN count(status) = 0 THEN 100 ELSE greatest(0, least(100, round_even(100.0::double - coalesce(sum(CASE WHEN status IS NOT NULL THEN penalty * CASE WHEN is_priority THEN 16 ELSE 10 END END), 0)::bigint * 6.0::double / (count(status) * 10.0::double), 0))) END AS score
   FROM page_findings GROUP BY site) GROUP BY band""")
 def score_bands(spark, sf):
-    return A.health_score(I.audited(spark, sf)).groupBy(X.score_band(u("score")).alias("band")).agg(F.count("*").alias("sites"))
+    return A.health_score(I.page_states(spark, sf)).groupBy(X.score_band(u("score")).alias("band")).agg(F.count("*").alias("sites"))
 
 
 @query("category_breakdown", "SELECT site, category, critical, warning, info, total, rank FROM breakdown")
 def category_breakdown(spark, sf):
-    return A.category_breakdown(rules.issue_rows(I.audited(spark, sf)))
+    return A.category_breakdown(I.code_states(spark, sf))
+
+
+@query("audit_totals", """
+SELECT site, count(*) AS total_pages, count_if(NOT is_blocked AND status < 400)::bigint AS ok_pages, round_even(100.0::double * count_if(NOT is_blocked AND status < 400) / count(*), 0)::bigint AS ok_percent, (sum(fetch_ms) / 1000)::double AS fetch_seconds FROM page_findings GROUP BY site""")
+def audit_totals(spark, sf):
+    """Share of pages that answered well, and the time spent fetching."""
+    return A.ok_share(I.page_states(spark, sf))
 
 
 @query("category_share", "SELECT site, category, total, round_even(100.0::double * total / sum(total) OVER (PARTITION BY site), 0)::bigint AS percent FROM breakdown")
 def category_share(spark, sf):
-    return A.category_share(rules.issue_rows(I.audited(spark, sf)))
+    return A.category_share(I.code_states(spark, sf))
 
 
 @query("crawl_budget", "SELECT site, total_pages, blocked_by_robots, error_pages, ok_pages, duplicate_pages, orphan_pages FROM budget")
 def crawl_budget(spark, sf):
-    return A.crawl_budget(I.audited(spark, sf))
+    return A.crawl_budget(I.page_states(spark, sf))
 
 
 @query("opportunities", "SELECT site, code, category, severity, affected_pages, score::bigint AS score, rank FROM opps")
 def opportunities(spark, sf):
-    return A.opportunities(A.first_findings(I.audited(spark, sf)))
+    return A.opportunities(I.code_states(spark, sf))
 
 
 @query("top_opportunities", "SELECT site, code, affected_pages, rank FROM opps WHERE rank <= 8")
 def top_opportunities(spark, sf):
-    return A.opportunities(A.first_findings(I.audited(spark, sf))).where("rank <= 8").select("site", "code", "affected_pages", "rank")
+    return A.opportunities(I.code_states(spark, sf)).where("rank <= 8").select("site", "code", "affected_pages", "rank")
 
 
 @query("opportunity_advice", f"""
 SELECT o.site, o.code, o.affected_pages, o.rank, coalesce(a.title, '') AS title, coalesce(a.why, '') AS why, coalesce(a.fix_step, 'Revisa este hallazgo y decide si aplica una corrección.') AS fix_step, coalesce(a.fix_plan, 'Revisa este hallazgo y decide si aplica una corrección.') AS fix_plan FROM opps o LEFT JOIN advice a ON a.code = o.code""")
 def opportunity_advice(spark, sf):
-    opps = A.opportunities(A.first_findings(I.audited(spark, sf))).select("site", "code", "affected_pages", "rank")
+    opps = A.opportunities(I.code_states(spark, sf)).select("site", "code", "affected_pages", "rank")
     return with_advice(opps)
 
 
@@ -210,10 +217,10 @@ def sidebar_counts(spark, sf):
 
 
 @query("tech_distribution", """
-SELECT 'tech' AS kind, t AS value, count(*) AS pages FROM (SELECT unnest(tech) AS t FROM tech_rows) GROUP BY t UNION ALL SELECT 'status', coalesce(status::string, ''), count(*) FROM facts GROUP BY status
-UNION ALL SELECT 'depth', depth::string, count(*) FROM facts GROUP BY depth""")
+SELECT 'tech' AS kind, t AS value, count(*) AS pages FROM (SELECT unnest(tech) AS t FROM tech_rows WHERE page_id IN (SELECT page_id FROM page_verdicts WHERE is_allowed)) GROUP BY t UNION ALL SELECT 'status', coalesce(status::string, ''), count(*) FROM crawl GROUP BY status
+UNION ALL SELECT 'depth', depth::string, count(*) FROM crawl GROUP BY depth""")
 def tech_distribution(spark, sf):
-    pages = I.facts(spark, sf)
+    pages = I.crawled(spark, sf)
     values = F.concat(
         F.transform("tech", lambda t: F.struct(F.lit("tech").alias("kind"), t.alias("value"))),
         F.array(F.struct(F.lit("status").alias("kind"), F.coalesce(u("status").cast("string"), F.lit("")).alias("value")),
@@ -237,7 +244,7 @@ def truncated_lists(spark, sf):
 SELECT site, category, code, severity, row_no, url, affected, greatest(affected - 40, 0) AS overflow FROM (
   SELECT *, row_number() OVER (PARTITION BY site, category, code ORDER BY page_id, issue_seq) AS row_no, count(*) OVER (PARTITION BY site, category, code) AS affected FROM findings) WHERE row_no <= 40""")
 def area_report(spark, sf):
-    return sinks.area_report(I.stage(rules.issue_rows(I.audited(spark, sf)), "issues"))
+    return sinks.area_report(rules.issue_rows(I.audited(spark, sf)))
 
 
 @query("next_steps", """
@@ -248,9 +255,8 @@ SELECT site, row_number() OVER (PARTITION BY site ORDER BY n) AS step_no, step F
   UNION ALL SELECT site, 3, 'Resolver las ' || error_pages || ' páginas con error para recuperar presupuesto de rastreo.' FROM budget WHERE error_pages > 0
   UNION ALL SELECT site, 4, 'Reevaluar el sitio después de aplicar las correcciones para medir el impacto.' FROM budget UNION ALL SELECT site, 5, 'Programar auditorías periódicas para detectar regresiones a tiempo.' FROM budget)""")
 def next_steps(spark, sf):
-    pages = I.audited_once(spark, sf)
-    found = rules.issue_rows(pages)
-    return A.next_steps(A.opportunities(A.first_findings(pages)), A.category_breakdown(found), A.crawl_budget(pages), advice_table(spark))
+    codes, pages = I.code_states(spark, sf), I.page_states(spark, sf)
+    return A.next_steps(A.opportunities(codes), A.category_breakdown(codes), A.crawl_budget(pages), advice_table(spark))
 
 
 # ---------------------------------------------------------- robots and sitemaps
@@ -291,7 +297,7 @@ def sitemap_expand(spark, sf):
 
 @query("sitemap_membership", "SELECT page_id, in_sitemap, site_has_sitemap FROM in_sitemap_rows")
 def sitemap_membership(spark, sf):
-    pages = table(spark, sf, "fetch_rows").select("page_id", "site", "url", "final_url")
+    pages = I.crawl_rows(spark, sf).select("page_id", "site", "url", "final_url")
     listed = I.stage(I.listed(spark, sf), "listed")
     inside = sitemaps.members(pages, listed).withColumn("in_sitemap", F.lit(True))
     both = I.site_signals(spark, sf, pages, listed).join(inside, "page_id", "left")
@@ -301,16 +307,16 @@ def sitemap_membership(spark, sf):
 
 @query("sitemap_broken", """
 SELECT l.site, l.loc, coalesce(f.status, 200)::bigint AS status FROM listed l LEFT JOIN (
-  SELECT site, CASE WHEN final_url = '' THEN url ELSE final_url END AS loc, arg_max(status, page_id) AS status FROM fetch_rows WHERE status IS NOT NULL GROUP BY ALL) f ON f.site = l.site AND f.loc = l.loc WHERE coalesce(f.status, 200) >= 400""")
+  SELECT site, CASE WHEN final_url = '' THEN url ELSE final_url END AS loc, arg_max(status, page_id) AS status FROM crawl_rows WHERE status IS NOT NULL GROUP BY ALL) f ON f.site = l.site AND f.loc = l.loc WHERE coalesce(f.status, 200) >= 400""")
 def sitemap_broken(spark, sf):
-    pages = table(spark, sf, "fetch_rows").select("page_id", "site", "url", "final_url", "status")
+    pages = I.crawl_rows(spark, sf).select("page_id", "site", "url", "final_url", "status")
     return sitemaps.listed_status(pages, I.listed(spark, sf)).where("status >= 400").select("site", "loc", "status")
 
 
 @query("missing_from_sitemap", """
-SELECT DISTINCT site, CASE WHEN final_url = '' THEN url ELSE final_url END AS loc FROM fetch_rows WHERE status IS NOT NULL EXCEPT SELECT site, loc FROM listed""")
+SELECT DISTINCT site, CASE WHEN final_url = '' THEN url ELSE final_url END AS loc FROM crawl_rows WHERE status IS NOT NULL EXCEPT SELECT site, loc FROM listed""")
 def missing_from_sitemap(spark, sf):
-    pages = table(spark, sf, "fetch_rows").select("page_id", "site", "url", "final_url", "status")
+    pages = I.crawl_rows(spark, sf).select("page_id", "site", "url", "final_url", "status")
     return sitemaps.missing_from_sitemap(pages, I.listed(spark, sf))
 
 
@@ -321,21 +327,21 @@ _ADDR = "CASE WHEN final_url = '' THEN url ELSE final_url END"
 D.CTES["consistency"] = f"""
 SELECT site, count(*) AS addresses, count(DISTINCT {D.host('u')} LIKE 'www.%') > 1 AS mixed_www, count(DISTINCT {D.scheme('u')}) > 1 AS mixed_scheme,
   count_if({D.path('u')} NOT IN ('', '/') AND {D.path('u')} LIKE '%/')::bigint AS with_slash, count_if({D.path('u')} NOT IN ('', '/') AND {D.path('u')} NOT LIKE '%/')::bigint AS without_slash
-FROM (SELECT site, {_ADDR} AS u FROM fetch_rows WHERE status IS NOT NULL) GROUP BY site
+FROM (SELECT site, {_ADDR} AS u FROM crawl_rows WHERE status IS NOT NULL) GROUP BY site
 """
 
 
 @query("url_consistency", "SELECT site, addresses, mixed_www, mixed_scheme, with_slash, without_slash, with_slash > 0 AND without_slash > 0 AS mixed_trailing_slash FROM consistency")
 def url_consistency(spark, sf):
-    return A.url_consistency(table(spark, sf, "fetch_rows"))
+    return A.url_consistency(I.crawl_rows(spark, sf))
 
 
 _DAYS = "CASE WHEN valid THEN floor((epoch(try_strptime(regexp_replace(replace(not_after, ' GMT', ''), ' +', ' ', 'g'), '%b %d %H:%M:%S %Y')) - 1706745600) / 86400) END"
 D.CTES["site_facts"] = f"""
 SELECT s.site, r.text IS NOT NULL AS robots_found, coalesce((SELECT arg_min(allow, rule_no) FROM bot_rules b WHERE b.site = s.site AND b.bot_no = 99 AND (b.path = '*' OR starts_with('/', b.path))), true) AS start_allowed,
   r.text LIKE '%Sitemap:%' AS declared, (SELECT count(*) FROM listed l WHERE l.site = s.site) AS n_listed, (SELECT count(*) FROM listed l WHERE l.site = s.site AND l.loc LIKE '%fuera.example.info%') AS off_domain,
-  (SELECT count(*) FROM listed l JOIN (SELECT site, {_ADDR} AS loc, arg_max(status, page_id) AS status FROM fetch_rows WHERE status IS NOT NULL GROUP BY ALL) f ON f.site = l.site AND f.loc = l.loc WHERE l.site = s.site AND f.status >= 400) AS n_broken,
-  (SELECT count(*) FROM (SELECT DISTINCT site, {_ADDR} AS loc FROM fetch_rows WHERE status IS NOT NULL EXCEPT SELECT site, loc FROM listed) m WHERE m.site = s.site) AS n_missing,
+  (SELECT count(*) FROM listed l JOIN (SELECT site, {_ADDR} AS loc, arg_max(status, page_id) AS status FROM crawl_rows WHERE status IS NOT NULL GROUP BY ALL) f ON f.site = l.site AND f.loc = l.loc WHERE l.site = s.site AND f.status >= 400) AS n_broken,
+  (SELECT count(*) FROM (SELECT DISTINCT site, {_ADDR} AS loc FROM crawl_rows WHERE status IS NOT NULL EXCEPT SELECT site, loc FROM listed) m WHERE m.site = s.site) AS n_missing,
   c.mixed_www, c.mixed_scheme, c.with_slash > 0 AND c.without_slash > 0 AS mixed_slash, k.valid, k.error AS tls_error, {_DAYS} AS days_left, p.final_url AS probe_url, p.hop_statuses, p.error AS probe_error, g.browser_fallback, g.browser_unavailable
 FROM site_list s LEFT JOIN robots_docs r ON r.site = s.site LEFT JOIN consistency c ON c.site = s.site JOIN certificates k ON k.site = s.site JOIN http_probes p ON p.site = s.site JOIN site_signals g ON g.site = s.site
 """
@@ -366,7 +372,7 @@ D.CTES["site_found"] = "\nUNION ALL ".join(
 
 
 def _site_issues(spark, sf, listed):
-    pages = table(spark, sf, "fetch_rows").drop("html")
+    pages = I.crawl_rows(spark, sf)
     inputs = site_rules.site_inputs(
         table(spark, sf, "site_list"), pages, table(spark, sf, "robots_docs"), listed, table(spark, sf, "certificates"),
         table(spark, sf, "http_probes"), table(spark, sf, "site_signals"), F.lit(AS_OF).cast("timestamp"))
@@ -386,25 +392,25 @@ def site_infrastructure(spark, sf):
     return site_rules.site_infrastructure(table(spark, sf, "site_list"), _site_issues(spark, sf, listed), listed)
 
 
-D.CTES["typed_pages"] = "SELECT f.page_id, f.site, f.status, f.meta_description <> '' AS described, f.page_id IN (SELECT page_id FROM ld_items WHERE item LIKE '%@type%') AS structured FROM facts f"
+D.CTES["typed_pages"] = "SELECT f.page_id, f.site, f.status, f.meta_description <> '' AS described, f.page_id IN (SELECT page_id FROM ld_items WHERE item LIKE '%@type%') AS structured FROM crawl f"
 
 
 @query("ai_readiness", """
 SELECT c.site, b.robots_found, b.blocked_bots, c.pages_ok, c.structured_pages, c.described_pages, round_even(least(100.0::double, 40.0::double * (1.0::double - b.blocked_bots / 11.0::double) + CASE WHEN g.llms_txt THEN 20.0::double ELSE 0.0::double END
   + 20.0::double * CASE WHEN c.pages_ok > 0 THEN c.structured_pages::double / c.pages_ok ELSE 0.0::double END + 10.0::double * CASE WHEN c.pages_ok > 0 THEN c.described_pages::double / c.pages_ok ELSE 0.0::double END + CASE WHEN g.encyclopedia THEN 10.0::double ELSE 0.0::double END), 0)::bigint AS readiness
-FROM (SELECT site, count_if(status = 200)::bigint AS pages_ok, count_if(status = 200 AND structured)::bigint AS structured_pages, count_if(status = 200 AND described)::bigint AS described_pages FROM typed_pages GROUP BY site) c
+FROM (SELECT site, count(*) FILTER (WHERE status = 200) AS pages_ok, count(*) FILTER (WHERE status = 200 AND structured) AS structured_pages, count(*) FILTER (WHERE status = 200 AND described) AS described_pages FROM typed_pages GROUP BY site) c
 JOIN (SELECT site, count_if(NOT allowed)::bigint AS blocked_bots, bool_or(robots_found) AS robots_found FROM site_bot_access GROUP BY site) b ON b.site = c.site JOIN site_signals g ON g.site = c.site""")
 def ai_readiness(spark, sf):
     access = robots.bot_access(table(spark, sf, "site_list"), table(spark, sf, "robots_docs"))
-    return site_rules.ai_readiness(I.facts(spark, sf), access, table(spark, sf, "site_signals"))
+    return site_rules.ai_readiness(I.crawled(spark, sf), access, table(spark, sf, "site_signals"))
 
 
 @query("structured_types", r"""
 SELECT site, string_agg(t, ',' ORDER BY t) AS types FROM (SELECT DISTINCT f.site, unnest(regexp_extract_all(replace(i.item::string, '["FAQPage","HowTo"]', '"FAQPage","@type":"HowTo"'), '"@type":"([A-Za-z]+)"', 1)) AS t
-  FROM facts f JOIN ld_items i ON i.page_id = f.page_id WHERE f.status = 200) GROUP BY site""")
+  FROM crawl f JOIN ld_items i ON i.page_id = f.page_id WHERE f.status = 200) GROUP BY site""")
 def structured_types(spark, sf):
     """Distinct types reduce map-side; a site uses a vocabulary-sized set of them."""
-    pages = I.facts(spark, sf).where("status = 200").select("site", "json_ld_types")
+    pages = I.crawled(spark, sf).where("status = 200").select("site", "json_ld_types")
     kinds = unpack(pages, "json_ld_types", "t").select("site", "t").distinct()
     return kinds.groupBy("site").agg(F.array_join(F.sort_array(F.collect_set("t")), ",").alias("types"))
 
@@ -412,28 +418,9 @@ def structured_types(spark, sf):
 # ---------------------------------------------------------------------- render
 
 
-def _captures(spark, sf):
-    """Desktop capture with another title on some pages; mobile capture cut short on others; some fail."""
-    rows = table(spark, sf, "fetch_rows").where("status = 200")
-    pid = u("page_id")
-    desktop = F.when(pid % 12 == 0, F.regexp_replace("html", "<title>", "<title>Nuevo ")).otherwise(u("html"))
-    mobile = F.when(pid % 15 == 0, F.substring("html", 1, 900)).otherwise(F.replace("html", F.lit("<footer>"), F.lit("<footer>movil ")))
-    return rows.select("page_id", desktop.alias("desktop_html"), mobile.alias("mobile_html"),
-                       F.when(pid % 20 == 3, F.lit("net::ERR_ABORTED")).otherwise(F.lit("")).alias("error"), F.lit("").alias("mobile_error"))
-
-
-@query("render_compare")
+@query("render_compare", "SELECT page_id, title_match, description_match, h1_match, mobile_match FROM render_rows")
 def render_compare(spark, sf):
-    compared = render.compare_captures(I.facts(spark, sf), _captures(spark, sf))
-    found = rules.collect_page_issues(compared)
-    codes = F.array_join(F.transform(F.filter("issues", lambda i: i.category == "rendering"), lambda i: i.code), ",")
-    return found.select("page_id", "render.title_match", "render.description_match", "render.h1_match", "render.mobile_match", codes.alias("codes"))
-
-
-@query("render_similarity")
-def render_similarity(spark, sf):
-    captures = _captures(spark, sf).select("page_id", H.visible_text(H.markup(u("desktop_html"))).alias("a"), H.visible_text(H.markup(u("mobile_html"))).alias("b"))
-    return captures.select("page_id", render.texts_match(u("a"), u("b")).alias("is_similar"))
+    return render.compare_captures(I.crawled(spark, sf), I.captures(spark, sf)).select("page_id", "render.title_match", "render.description_match", "render.h1_match", "render.mobile_match")
 
 
 @query("link_union", """

