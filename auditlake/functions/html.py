@@ -1,7 +1,7 @@
 """Facts from raw HTML as column expressions.
 
-Extraction is by regular expression over the whole document.  Badly nested markup is therefore approximate
-(an unclosed ``<a>`` runs to the next ``</a>``), but every document is handled in the JVM without a parser call.
+Extraction is by regular expression over the whole document, in the JVM without a parser call.  The patterns expect every
+element to be ended; ``tags.repaired`` sees to that where a page leaves end tags out or crosses them.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from auditlake.functions import html as H, text as X, urls as U
 from auditlake.functions.binding import unpack
+from auditlake.functions.tags import repaired
 
 
 
@@ -79,7 +80,7 @@ def page_facts(fetches: DataFrame, keep_text: bool = False, carry: list[str] = [
     application = fetches.sparkSession.sparkContext.applicationId
     usable = is_html(F.col("status"), F.col("content_type"), F.col("html"))
     docs = fetches.withColumn("html", F.when(usable, F.col("html")).otherwise(F.lit(""))).withColumn(
-        "doc", H.markup(F.col("html"))
+        "doc", repaired(H.markup(F.col("html")))
     )
     parse = _parse_columns(application)
     tags = docs.select(*FETCH_COLUMNS, *carry, "html", *[c.alias(n) for n, c in parse.items()])
@@ -140,6 +141,6 @@ def page_links(facts: DataFrame) -> DataFrame:
 def parsed_anchors(fetches: DataFrame) -> DataFrame:
     """href of every ``<a>`` element with the base it resolves against."""
     usable = is_html(F.col("status"), F.col("content_type"), F.col("html"))
-    doc = H.markup(F.when(usable, F.col("html")).otherwise(F.lit("")))
+    doc = repaired(H.markup(F.when(usable, F.col("html")).otherwise(F.lit(""))))
     hrefs = F.transform(H.elements(F.col("doc"), "a"), lambda a: H.attr(H.start_tag(a), "href"))
     return fetches.withColumn("doc", doc).select("page_id", U.base_parts(F.col("final_url")).alias("base"), hrefs.alias("hrefs"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from auditlake.functions import html as H
+from auditlake.functions.tags import repaired
 from auditlake.operators.shuffle import salted_join
 
 
@@ -15,7 +16,7 @@ def compare_captures(pages: DataFrame, captures: DataFrame) -> DataFrame:
     both views are taken; a failed mobile view is no finding, a failed capture is one by itself.
     """
     doc = F.col("doc")
-    seen = captures.withColumn("doc", H.markup(F.col("desktop_html"))).select(
+    seen = captures.withColumn("doc", repaired(H.markup(F.col("desktop_html")))).select(
         "page_id", F.col("error").alias("render_error"), "mobile_match", "mobile_error", H.title(doc).alias("r_title"),
         H.meta_content(H.open_tags(doc, "meta"), "description").alias("r_description"), H.heading_texts(doc, "h1").alias("r_h1"),
     )
