@@ -67,17 +67,17 @@ def brand_stats(analyses: DataFrame, brands: list[Brand], grouping_sets: list[li
     """Statistics per brand for each grouping of answers, in one aggregate.
 
     Failed answers stay in the denominators.  Every answer yields one short row per brand, combined map-side.
-    ``framing`` (the tone label of the answer, NULL when not classified) is optional.
+    ``framing`` (tone label by brand name, of the brands that were classified in the answer) is optional.
     """
     dims = sorted({c for s in grouping_sets for c in s})
-    framing = F.col("framing") if "framing" in analyses.columns else F.lit(None).cast("string")
+    tones = F.col("framing") if "framing" in analyses.columns else F.lit(None).cast("map<string,string>")
     all_brands = F.array(*[F.struct(F.lit(i).alias("brand_no"), F.lit(b.name).alias("brand"), F.lit(b.is_target).alias("is_target")) for i, b in enumerate(brands)])
     rows = analyses.select(
-        *dims, "web_search", framing.alias("framing"), F.size("mentions").alias("n_mentions"), "mentions", F.explode(all_brands).alias("b")
+        *dims, "web_search", tones.alias("tones"), F.size("mentions").alias("n_mentions"), "mentions", F.explode(all_brands).alias("b")
     )
     mine = F.get(F.filter("mentions", lambda m: m.brand == F.col("b.brand")), F.lit(0))
     rows = rows.select(
-        *dims, "web_search", "framing", "n_mentions", F.col("b.brand_no").alias("brand_no"), F.col("b.brand").alias("brand"),
+        *dims, "web_search", F.try_element_at("tones", F.col("b.brand")).alias("framing"), "n_mentions", F.col("b.brand_no").alias("brand_no"), F.col("b.brand").alias("brand"),
         F.col("b.is_target").alias("is_target"), mine.alias("m"),
     ).withColumn("hit", F.col("m").isNotNull())
     keys = ["brand_no", "brand", "is_target"]
@@ -105,6 +105,13 @@ def brand_stats(analyses: DataFrame, brands: list[Brand], grouping_sets: list[li
     )
 
 
+def tones_by_brand(replies: DataFrame) -> DataFrame:
+    """``resp_id, framing``: tone labels of an answer by brand.  ``replies``: resp_id, brand, reply, one row a brand asked about."""
+    entry = F.struct("brand", X.framing_label(F.col("reply")).alias("framing"))
+    unique = replies.where("brand IS NOT NULL").groupBy("resp_id", "brand").agg(F.max("reply").alias("reply"))
+    return unique.groupBy("resp_id").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("framing"))
+
+
 def domain_terms(url: Column) -> Column:
     """Brand name, bare domain: distinct, three characters or more."""
     domain = F.lower(U.registrable_domain(url))

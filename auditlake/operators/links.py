@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-import re
-
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from auditlake.functions import urls as U
 from auditlake.operators.shuffle import cut_lineage, heavy_keys, salted_join
@@ -15,10 +14,10 @@ MAX_HOPS = 10  # fixed value: redirects followed before giving up
 
 
 def _compiles(pattern: str) -> bool:
-    """A pattern that is no regular expression excludes nothing."""
+    """A pattern that is no regular expression excludes nothing.  The dialect that runs it decides: that of the JVM."""
     try:
-        re.compile(pattern)
-    except re.error:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError:
         return False
     return True
 
@@ -147,11 +146,17 @@ def bfs(
     return out
 
 
-def orphan_candidates(listed: DataFrame, reached: DataFrame, budget: int | None = None) -> DataFrame:
-    """Listed addresses of the site that no link led to, first listed first; at most ``budget`` per site."""
+def orphan_candidates(listed: DataFrame, reached: DataFrame, seeds: DataFrame | None = None, budget: int | None = None, **limits) -> DataFrame:
+    """Listed addresses of the site that no link led to, first listed first.
+
+    A start address (``seeds``: site, url) was visited without a link.  ``limits`` are those of ``url_allowed``; ``budget`` is
+    what a site's page limit leaves.
+    """
     own = listed.select("site", "visit_no", "loc_pos", U.strip_fragment(F.col("loc")).alias("url")).where(
-        U.site_key(F.col("url")) == F.col("site")
+        (U.site_key(F.col("url")) == F.col("site")) & url_allowed(F.col("url"), **limits)
     )
+    if seeds is not None:
+        reached = reached.select("site", "url").unionByName(seeds.select("site", "url"))
     first = own.groupBy("site", "url").agg(F.min(F.struct("visit_no", "loc_pos")).alias("place"))
     lost = first.join(reached.select("site", "url").distinct(), ["site", "url"], "left_anti")
     if budget is None:

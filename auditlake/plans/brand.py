@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import text as X
 from auditlake.operators import brand as B
-from auditlake.plans import duck as D
+from auditlake.plans import duck as D, inputs as I
 from auditlake.plans.registry import query
 from auditlake.sources import sinks
 from auditlake.sources.tables import table
@@ -30,8 +30,8 @@ WHERE hit GROUP BY ALL
 """
 D.CTES["mention_rows"] = "SELECT h.resp_id, h.brand_no, h.brand, row_number() OVER (PARTITION BY h.resp_id ORDER BY off, brand_no) AS position, cited AS is_domain_citation FROM brand_hits h"
 D.CTES["tones"] = f"""
-SELECT resp_id, CASE WHEN contains({D.fold('reply')}, 'positivo') THEN 'positivo' WHEN contains({D.fold('reply')}, 'neutro') THEN 'neutro' WHEN contains({D.fold('reply')}, 'negativo') THEN 'negativo'
-  WHEN contains({D.fold('reply')}, 'con_reservas') THEN 'con_reservas' ELSE 'neutro' END AS framing FROM framing_replies
+SELECT resp_id, brand_no, CASE WHEN contains({D.fold('reply')}, 'positivo') THEN 'positivo' WHEN contains({D.fold('reply')}, 'neutro') THEN 'neutro' WHEN contains({D.fold('reply')}, 'negativo') THEN 'negativo'
+  WHEN contains({D.fold('reply')}, 'con_reservas') THEN 'con_reservas' ELSE 'neutro' END AS framing FROM brand_replies
 """
 
 
@@ -43,7 +43,7 @@ SELECT {group} b.brand_no::bigint AS brand_no, b.brand, b.is_target, count(*) AS
   CASE WHEN sum(n.n) > 0 THEN count(m.brand) / sum(n.n)::bigint ELSE 0.0 END::double AS share_of_voice,
   CASE WHEN count_if(r.web_search) > 0 THEN coalesce(count_if(r.web_search AND m.is_domain_citation), 0) / count_if(r.web_search) END::double AS domain_citation_rate, {tones}
 FROM responses r CROSS JOIN brand_list b LEFT JOIN mention_rows m ON m.resp_id = r.resp_id AND m.brand = b.brand LEFT JOIN (SELECT resp_id, count(*) AS n FROM mention_rows GROUP BY resp_id) n ON n.resp_id = r.resp_id
-LEFT JOIN tones t ON t.resp_id = r.resp_id AND m.brand IS NOT NULL GROUP BY {group} b.brand_no, b.brand, b.is_target"""
+LEFT JOIN tones t ON t.resp_id = r.resp_id AND t.brand_no = b.brand_no AND m.brand IS NOT NULL GROUP BY {group} b.brand_no, b.brand, b.is_target"""
 
 
 _STAT_COLUMNS = ["brand_no", "brand", "is_target", "responses", "mention_rate", "avg_position", "share_of_voice", "domain_citation_rate"] + [f"framing_{f}" for f in X.FRAMINGS]
@@ -54,8 +54,9 @@ def _responses(spark, sf):
 
 
 def _analyses(spark, sf):
-    """Answers with mentions and the tone label of the classified ones."""
-    tones = table(spark, sf, "framing_replies").select("resp_id", X.framing_label(u("reply")).alias("framing"))
+    """Answers with mentions and the tone of each brand that was asked about."""
+    name = F.get(F.array(*[F.lit(b.name) for b in BRANDS]), u("brand_no").cast("int"))
+    tones = B.tones_by_brand(table(spark, sf, "brand_replies").withColumn("brand", name))
     return B.with_mentions(_responses(spark, sf), BRANDS).drop("text").join(tones, "resp_id", "left")
 
 
@@ -105,9 +106,11 @@ def brand_rank(spark, sf):
 @query("brand_run_rows", """
 SELECT r.resp_id, r.provider, r.intent, r.query, r.repetition, r.web_search, length(r.text) AS n_chars, r.error, coalesce((SELECT string_agg(m.brand || ':' || m.position, ',' ORDER BY m.position) FROM mention_rows m WHERE m.resp_id = r.resp_id), '') AS mentions FROM responses r""")
 def brand_run_rows(spark, sf):
-    """Rows as stored for a run: raw answer next to the derived mentions."""
+    """A run saved as a version and read back: raw answers next to the derived mentions."""
     shown = F.array_join(F.transform("mentions", lambda m: F.concat(m.brand, F.lit(":"), m.position.cast("string"))), ",")
-    return B.with_mentions(_responses(spark, sf), BRANDS).select(
+    runs = I.versioned(spark, "brand-runs")
+    sinks.save_brand_run(B.with_mentions(_responses(spark, sf), BRANDS), runs, "Thing", 1706745600)
+    return runs.read().select(
         "resp_id", "provider", "intent", "query", "repetition", "web_search", F.length("text").alias("n_chars"), "error", shown.alias("mentions"))
 
 

@@ -337,7 +337,7 @@ FROM crawl_rows f
 CTES["orphans"] = f"""
 SELECT site, url, arg_min(visit_no, (visit_no, loc_pos)) AS visit_no, arg_min(loc_pos, (visit_no, loc_pos)) AS loc_pos
 FROM (SELECT site, visit_no, loc_pos, split_part(loc, '#', 1) AS url FROM listed)
-WHERE {site('url')} = site AND url NOT IN (SELECT target FROM admitted) GROUP BY site, url
+WHERE {site('url')} = site AND url NOT IN (SELECT target FROM admitted) AND url <> 'https://' || site || '/' GROUP BY site, url
 """
 CTES["broken_rows"] = """
 SELECT i.page_id, list(i.src ORDER BY i.n) AS broken_images FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n) AS k FROM image_rows) i

@@ -70,11 +70,11 @@ def bfs_resume(spark, sf):
     return L.bfs(edges, pending, max_depth=8, visited=first.where("depth < 2")).select("node", "depth")
 
 
-@query("orphan_pages", "SELECT site, url FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY visit_no, loc_pos) AS n FROM orphans) WHERE n <= 10")
+@query("orphan_pages", "SELECT site, url FROM orphans WHERE length(url) <= 60 AND NOT contains(url, '?')")
 def orphan_pages(spark, sf):
-    """Listed but never linked, first ten of each site (the budget left after the crawl)."""
+    """Listed but never linked and no start address, within the crawl's limits on addresses."""
     admitted = I.discovered(I.crawled(spark, sf)).select(U.site_key(u("target")).alias("site"), u("target").alias("url"))
-    return L.orphan_candidates(I.listed(spark, sf), admitted, budget=10).select("site", "url")
+    return L.orphan_candidates(I.listed(spark, sf), admitted, I.seeds(spark, sf), max_length=60, exclude_patterns=("[?]",)).select("site", "url")
 
 
 @query("redirect_hops", f"SELECT from_url, status::bigint AS status, {D.resolve('location', 'from_url')} AS to_url FROM redirect_log WHERE status IN (301, 302, 303, 307, 308)")

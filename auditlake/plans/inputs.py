@@ -12,6 +12,7 @@ from auditlake.operators import aggregates as A, broken_assets, duplicates, fact
 from auditlake.operators.audit_store import AuditStore
 from auditlake.operators.shuffle import salted_join, shared_folder, stage
 from auditlake.sources import tables
+from auditlake.sources.versions import VersionedTable
 
 AGENT = "SiteAuditBot/0.1 (+https://example.invalid/bot)"
 
@@ -58,6 +59,11 @@ def site_signals(spark: SparkSession, sf: str, pages: DataFrame, sitemap: DataFr
     return joined.select("page_id", (~allowed).alias("is_blocked"), "site_has_sitemap")
 
 
+def seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each site's crawl starts."""
+    return tables.table(spark, sf, "site_list").select("site", F.concat(F.lit("https://"), "site", F.lit("/")).alias("url"))
+
+
 def captures(spark: SparkSession, sf: str) -> DataFrame:
     """Captures as a browser farm delivers them."""
     return tables.table(spark, sf, "captures")
@@ -80,7 +86,7 @@ def audit(spark: SparkSession, sf: str, pages: DataFrame) -> DataFrame:
     pages = stage(page_facts.without_blocked(pages, seen), "crawled")
     edges = page_facts.page_links(pages)
     targets = links.discovered_links(edges, include_subdomains=True).select(U.site_key(F.col("target")).alias("site"), F.col("target").alias("url"))
-    lost = links.orphan_candidates(sitemap, targets).select("site", "url")
+    lost = links.orphan_candidates(sitemap, targets, seeds(spark, sf)).select("site", "url")
     inner = F.size(F.filter("outlinks", lambda link: U.is_same_site(F.col("final_url"), link.target, True)))
     failures = tables.table(spark, sf, "site_signals").where("browser_unavailable").select("site", F.lit("Executable doesn't exist").alias("message"))
     true = F.lit(True)
@@ -151,6 +157,11 @@ def crawl(spark: SparkSession, sf: str) -> _Crawl:
     return _crawl(spark.sparkContext.applicationId, sf, _stamp(spark, sf))
 
 
+def versioned(spark: SparkSession, name: str) -> VersionedTable:
+    """A table of its own in the shared folder."""
+    return VersionedTable(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+
+
 def crawled(spark: SparkSession, sf: str) -> DataFrame:
     """Stored facts of the crawl, denied pages emptied."""
     return crawl(spark, sf).facts

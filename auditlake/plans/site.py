@@ -11,7 +11,7 @@ from auditlake.operators.advice import advice_table, with_advice
 from auditlake.plans import duck as D, inputs as I
 from auditlake.plans.registry import query
 from auditlake.sources import sinks
-from auditlake.sources.tables import AS_OF, sitemap_docs, table
+from auditlake.sources.tables import AS_OF, AS_OF_EPOCH, sitemap_docs, table
 
 u = F.col
 
@@ -40,7 +40,10 @@ def page_export(spark, sf):
 
 @query("snapshot_rows", "SELECT site, url, status, array_to_string(list_sort(list_distinct(codes)), ',') AS codes FROM page_findings")
 def snapshot_rows(spark, sf):
-    return sinks.snapshot_rows(I.audited(spark, sf)).withColumn("codes", F.array_join("codes", ","))
+    """A crawl saved as a version and read back."""
+    crawls = I.versioned(spark, "crawls")
+    sinks.save_crawl(I.audited(spark, sf), crawls, "every site", AS_OF_EPOCH)
+    return crawls.read().select("site", "url", "status", F.array_join("codes", ",").alias("codes"))
 
 
 @query("audit_grid", """
@@ -244,7 +247,10 @@ def truncated_lists(spark, sf):
 SELECT site, category, code, severity, row_no, url, affected, greatest(affected - 40, 0) AS overflow FROM (
   SELECT *, row_number() OVER (PARTITION BY site, category, code ORDER BY page_id, issue_seq) AS row_no, count(*) OVER (PARTITION BY site, category, code) AS affected FROM findings) WHERE row_no <= 40""")
 def area_report(spark, sf):
-    return sinks.area_report(rules.issue_rows(I.audited(spark, sf)))
+    """Reports written by area and read back."""
+    reports = I.versioned(spark, "area-reports")
+    sinks.write_area_reports(sinks.area_report(rules.issue_rows(I.audited(spark, sf))), reports)
+    return reports.read()
 
 
 @query("next_steps", """
@@ -423,6 +429,16 @@ def render_compare(spark, sf):
     return render.compare_captures(I.crawled(spark, sf), I.captures(spark, sf)).select("page_id", "render.title_match", "render.description_match", "render.h1_match", "render.mobile_match")
 
 
+@query("link_union_last", """
+SELECT page_id, target, min(source_no * 1000000 + link_pos) // 1000000 AS source_no, min(source_no * 1000000 + link_pos) % 1000000 AS link_pos, arg_max(anchor_text, source_no * 1000000 + link_pos) AS anchor_text FROM (
+  SELECT page_id, target, 0::bigint AS source_no, link_pos, anchor_text FROM links UNION ALL SELECT page_id, target, 1, link_pos, anchor_text || ' js' FROM links) GROUP BY page_id, target""")
+def link_union_last(spark, sf):
+    """Each target once, at its first place, worded as in the rendering."""
+    raw = I.stage(page_facts.page_links(I.facts(spark, sf)).select("page_id", "link_pos", "target", "anchor_text", "rel"), "links")
+    seen = raw.withColumn("anchor_text", F.concat("anchor_text", F.lit(" js")))
+    return render.link_union(raw, seen, last_wins=True).select("page_id", "target", "source_no", "link_pos", "anchor_text")
+
+
 @query("link_union", """
 SELECT page_id, target, source_no, link_pos FROM (SELECT *, row_number() OVER (PARTITION BY page_id, target ORDER BY source_no, link_pos) AS n FROM (
   SELECT page_id, target, 0::bigint AS source_no, link_pos FROM links UNION ALL SELECT page_id, target || CASE WHEN link_pos % 4 = 0 THEN '-js' ELSE '' END, 1, link_pos FROM links)) WHERE source_no = 0 OR n = 1""")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from auditlake.operators import brand as B
 from auditlake.operators.rules import lookup
 from auditlake.operators.shuffle import number_within, shared_folder
-from auditlake.plans import duck as D
+from auditlake.plans import duck as D, inputs as I
 from auditlake.plans.brand import BRANDS
 from auditlake.plans.history import _codes
 from auditlake.plans.registry import query
@@ -64,20 +64,23 @@ def snapshot_load(spark, sf):
 
 
 @query("brand_runs_load", """
-SELECT r.provider, r.intent, count(*) AS answers, count_if(r.error <> '')::bigint AS errors, coalesce(sum(n.n), 0)::bigint AS mentions FROM responses r LEFT JOIN (SELECT resp_id, count(*) AS n FROM mention_rows GROUP BY resp_id) n ON n.resp_id = r.resp_id GROUP BY ALL""")
+SELECT 'Thing' AS target, (r.resp_id // 16)::double AS created_at, row_number() OVER (PARTITION BY r.resp_id // 16 ORDER BY r.resp_id) - 1 AS answer_no, r.provider, r.query, r.intent, r.repetition, r.web_search, r.text, r.error,
+  coalesce((SELECT string_agg(m.brand || ':' || m.position, ',' ORDER BY m.position) FROM mention_rows m WHERE m.resp_id = r.resp_id), '') AS mentions, CASE WHEN r.resp_id % 2 = 0 THEN 'positivo' ELSE 'neutro' END AS tone FROM responses r""")
 def brand_runs_load(spark, sf):
-    """Runs written as documents (one per provider, intent and repetition block) and read back."""
+    """Runs written as indented documents, one a file, and read back answer by answer."""
     analyses = B.with_mentions(table(spark, sf, "responses"), BRANDS)
-    answer = F.struct(
-        F.struct("provider", "query", "intent", u("repetition").cast("int").alias("repetition"), "web_search", F.lit(0.7).alias("temperature"), "text", "error", F.lit(0.0).alias("timestamp")).alias("response"),
-        "mentions", F.create_map(F.lit("Thing"), F.lit("neutro")).alias("framing"))
+    response = F.struct("provider", "query", "intent", u("repetition").cast("int").alias("repetition"), "web_search", F.lit(0.7).alias("temperature"), "text", "error", F.lit(0.0).alias("timestamp"))
     # a run holds a bounded number of answers: sixteen here
-    runs = analyses.withColumn("run", F.floor(u("resp_id") / 16)).groupBy("run").agg(F.collect_list(answer).alias("analyses"))
+    rows = F.sort_array(F.collect_list(F.struct("resp_id", response.alias("response"), "mentions")))
+    runs = analyses.withColumn("run", F.floor(u("resp_id") / 16)).groupBy("run").agg(rows.alias("rows"))
+    tone = lambda r: F.create_map(F.lit("Thing"), F.when(r.resp_id % 2 == 0, F.lit("positivo")).otherwise(F.lit("neutro")))
+    answers = F.transform("rows", lambda r: F.struct(r.response.alias("response"), r.mentions.alias("mentions"), tone(r).alias("framing")))
+    document = F.struct(u("run").cast("double").alias("created_at"), F.struct(F.struct(F.lit("Thing").alias("name")).alias("target")).alias("config"), answers.alias("analyses"))
     path = _folder(spark, "brand-runs")
-    runs.select(u("run").cast("double").alias("created_at"), F.struct(F.struct(F.lit("Thing").alias("name")).alias("target")).alias("config"), "analyses").write.json(path)
-    loaded = readers.brand_answers(spark.read.schema(readers.RUN_SCHEMA).json(path))
-    return loaded.groupBy("provider", "intent").agg(
-        F.count("*").alias("answers"), F.count_if(u("error") != "").alias("errors"), F.sum(F.size("mentions")).alias("mentions"))
+    runs.select("run", F.to_json(document, {"pretty": "true"}).alias("value")).repartition("run").write.partitionBy("run").text(path)
+    shown = F.array_join(F.transform("mentions", lambda m: F.concat(m.brand, F.lit(":"), m.position.cast("string"))), ",")
+    return readers.read_brand_runs(spark, path).select(
+        "target", "created_at", "answer_no", "provider", "query", "intent", "repetition", "web_search", "text", "error", shown.alias("mentions"), u("framing")["Thing"].alias("tone"))
 
 
 D.CTES["heads"] = r"SELECT doc_id, lang, regexp_replace(replace(replace(substr(text, 1, 20), '<', ''), '&', ''), '\s+$', '') AS head FROM documents"
@@ -106,9 +109,12 @@ def resumable_crawls(spark, sf):
 
 @query("frontier_state", "SELECT seed_url, pending, saved_at FROM saved_frontiers")
 def frontier_state(spark, sf):
-    """Written under a new version, then read from it."""
-    path = sinks.save_frontier(table(spark, sf, "saved_frontiers").select("seed_url", "pending", "saved_at"), _folder(spark, "frontier"), 1)
-    return spark.read.parquet(path)
+    """Saved twice, old versions cleared, read from the newest."""
+    frontiers, rows = I.versioned(spark, "frontiers"), table(spark, sf, "saved_frontiers").select("seed_url", "pending", "saved_at")
+    sinks.save_frontier(rows.where("pending = 0"), frontiers, AS_OF_EPOCH - 60)
+    sinks.save_frontier(rows, frontiers, AS_OF_EPOCH)
+    frontiers.clear(keep=1)
+    return frontiers.read()
 
 
 @query("channel_history", """

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from auditlake.functions import html as H, text as X, urls as U
 from auditlake.functions.binding import unpack
+from auditlake.sources.versions import VersionedTable
 
 SNAPSHOT_SCHEMA = (
     "seed_url string, timestamp double, pages map<string,array<string>>, status_by_url map<string,int>, "
@@ -69,6 +70,12 @@ def read_brand_runs(spark: SparkSession, path: str) -> DataFrame:
     return brand_answers(runs)
 
 
+def list_runs(runs: VersionedTable, brand: str | None = None) -> list[dict]:
+    """Records of stored runs, oldest first: version, brand and time.  One record a run, no rows are read."""
+    found = [{"version": r["version"], **r["info"]} for r in runs.versions()]
+    return sorted((r for r in found if brand in (None, r["brand"])), key=lambda r: (r["run_ts"], r["version"]))
+
+
 def brand_answers(runs: DataFrame) -> DataFrame:
     """Answer rows of stored runs."""
     rows = runs.select(F.col("config.target.name").alias("target"), "created_at", "analyses")

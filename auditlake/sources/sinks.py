@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from auditlake.functions import text as X
 from auditlake.functions.binding import unpack
 from auditlake.operators.facts import is_indexable
+from auditlake.sources.versions import VersionedTable
 
 REPORT_URLS = 40  # fixed value: addresses listed per finding in an area report
 
@@ -59,15 +60,15 @@ def snapshot_rows(pages: DataFrame) -> DataFrame:
     )
 
 
-def save_crawl(pages: DataFrame, path: str, crawl_ts: int) -> None:
-    """Appends a crawl; sites are spread over files by address so that one large site is not one file."""
+def save_crawl(pages: DataFrame, crawls: VersionedTable, seed: str, crawl_ts: int) -> int:
+    """Stores a crawl as a version: full rows with their sorted distinct codes.  Readers see it once it is complete."""
     rows = pages.withColumn("codes", F.array_sort(F.array_distinct(F.transform("issues", lambda i: i.code))))
-    rows.withColumn("crawl_ts", F.lit(crawl_ts)).write.mode("append").partitionBy("crawl_ts").parquet(path)
+    return crawls.write(rows.withColumn("crawl_ts", F.lit(crawl_ts)), info={"seed": seed, "crawl_ts": crawl_ts})
 
 
-def save_brand_run(analyses: DataFrame, path: str, run_ts: int) -> None:
+def save_brand_run(analyses: DataFrame, runs: VersionedTable, brand: str, run_ts: int) -> int:
     """Answers verbatim next to what was derived from them, so that parsing can be redone."""
-    analyses.withColumn("run_ts", F.lit(run_ts)).write.mode("append").partitionBy("run_ts").parquet(path)
+    return runs.write(analyses.withColumn("run_ts", F.lit(run_ts)), info={"brand": brand, "run_ts": run_ts})
 
 
 def brand_stats_sheet(stats: DataFrame) -> DataFrame:
@@ -96,12 +97,14 @@ def area_report(issues: DataFrame) -> DataFrame:
     return listed.select("site", "category", "code", "severity", "row_no", "url", F.col("group_rows").alias("affected"), "overflow")
 
 
-def write_area_reports(report: DataFrame, path: str) -> None:
-    report.write.mode("overwrite").partitionBy("category").parquet(path)
+def write_area_reports(report: DataFrame, reports: VersionedTable) -> int:
+    """One part per category, so that a reader of one area opens its part only."""
+    return reports.write(report.withColumn("area", F.col("category")), "area")
 
 
-def save_frontier(frontier: DataFrame, path: str, version: int) -> str:
-    """Writes a frontier under its own version; readers switch once the write has finished, so a crash is harmless."""
-    target = f"{path}/version={version}"
-    frontier.write.mode("overwrite").parquet(target)
-    return target
+def save_frontier(frontier: DataFrame, frontiers: VersionedTable, saved_at: int) -> int:
+    """Writes a frontier as the newest version; a crash before its record leaves the one before.
+
+    ``frontiers.read()`` resumes from it, ``frontiers.clear()`` removes all once a crawl has completed.
+    """
+    return frontiers.write(frontier, info={"saved_at": saved_at})

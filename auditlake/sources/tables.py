@@ -157,6 +157,15 @@ FROM {labels}
 """,
 )
 
+# One question of tone for each brand of an answer: they need not agree.
+DERIVED["brand_replies"] = (
+    ("framing_replies",),
+    """
+SELECT resp_id, 0 AS brand_no, reply FROM {framing_replies} UNION ALL SELECT resp_id, 1, CASE WHEN resp_id % 3 = 0 THEN 'negativo' ELSE reply END FROM {framing_replies}
+UNION ALL SELECT resp_id, 2, CASE WHEN resp_id % 2 = 0 THEN 'Positivo' ELSE 'con_reservas' END FROM {framing_replies} WHERE resp_id % 5 <> 0 UNION ALL SELECT resp_id, 3, reply FROM {framing_replies} WHERE resp_id % 7 < 4
+""",
+)
+
 DERIVED["snapshots"] = (
     ("event_log",),
     """

@@ -107,3 +107,43 @@ def test_streams(spark, tmp_path):
     hourly = S.running_counts(spark.createDataFrame([("s", None, 200)], "site string, ts timestamp, status int"), "10 minutes")
     assert "hour" in hourly.columns
     assert one(spark, lambda v, s: S.estimated_total(v, s, 500), 7, 0) == 500 and one(spark, lambda v, s: S.estimated_total(v, s, 500), 70, 60) == 70
+
+
+def test_tone_belongs_to_a_brand(spark):
+    replies = [(1, "Acme", "Positivo."), (1, "Rival", "negativo"), (2, "Acme", "NEGATIVO"), (2, "Acme", "NEGATIVO"), (3, "Rival", "Positivo"), (3, None, "x")]
+    tones = B.tones_by_brand(spark.createDataFrame(replies, "resp_id long, brand string, reply string"))
+    both = [("Acme", 1, False), ("Rival", 2, False)]
+    answers = spark.createDataFrame([(1, both, False), (2, both, False), (3, both[:1], False), (4, both, False)], "resp_id long, mentions array<struct<brand:string,position:int,is_domain_citation:boolean>>, web_search boolean")
+    stats = {r["brand"]: r for r in B.brand_stats(answers.join(tones, "resp_id", "left"), [B.Brand("Acme"), B.Brand("Rival")], [[]]).collect()}
+    assert (stats["Acme"]["framing_positivo"], stats["Acme"]["framing_negativo"]) == (0.5, 0.5)  # answers 1 and 2; 3 has no tone for it
+    assert (stats["Rival"]["framing_positivo"], stats["Rival"]["framing_negativo"]) == (0.0, 1.0)  # answer 3 doesn't name it
+
+
+def test_runs_are_listed_in_time_order(spark, tmp_path):
+    from auditlake.sources import readers, sinks
+    from auditlake.sources.versions import VersionedTable
+
+    runs = VersionedTable(spark, str(tmp_path / "runs"))
+    rows = lambda x: spark.createDataFrame([(x,)], "text string")
+    for text, brand, at in (("b", "Acme", 20), ("a", "Acme", 10), ("c", "Otra", 15)):
+        sinks.save_brand_run(rows(text), runs, brand, at)
+    assert [(r["brand"], r["run_ts"]) for r in readers.list_runs(runs)] == [("Acme", 10), ("Otra", 15), ("Acme", 20)]
+    mine = readers.list_runs(runs, "Acme")
+    assert [runs.read(r["version"]).first()["text"] for r in mine] == ["a", "b"]
+
+
+def test_sinks_are_read_back(spark, tmp_path):
+    from auditlake.sources import sinks
+    from auditlake.sources.versions import VersionedTable
+
+    pages = spark.createDataFrame([("s", "/a", 200, [("b",), ("a",), ("b",)])], "site string, url string, status int, issues array<struct<code:string>>")
+    crawls = VersionedTable(spark, str(tmp_path / "crawls"))
+    assert sinks.save_crawl(pages, crawls, "https://s/", 7) == 1
+    assert crawls.read().first()["codes"] == ["a", "b"] and crawls.versions()[0]["info"]["crawl_ts"] == 7
+    reports = VersionedTable(spark, str(tmp_path / "reports"))
+    sinks.write_area_reports(spark.createDataFrame([("s", "meta", 1), ("s", "links", 2)], "site string, category string, row_no int"), reports)
+    assert reports.read().count() == 2 and reports.read(buckets=["meta"]).collect()[0]["row_no"] == 1
+    frontiers = VersionedTable(spark, str(tmp_path / "frontier"))
+    sinks.save_frontier(spark.createDataFrame([("u",)], "url string"), frontiers, 1)
+    frontiers.clear()
+    assert frontiers.record() is None

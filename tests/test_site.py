@@ -162,3 +162,14 @@ def test_budget_classes_cover_every_page(spark):
     df = spark.createDataFrame([_page(i, status=[200, 301, 404, 500, None][i % 5]) for i in range(50)], PAGES)
     b = A.crawl_budget(A.page_states(df)).collect()[0]
     assert b.blocked_by_robots + b.error_pages + b.ok_pages == b.total_pages == 50
+
+
+def test_orphans_within_limits_and_without_seeds(spark):
+    listed = spark.createDataFrame([("a.com", 1, i, f"https://a.com/{p}") for i, p in enumerate(["", "x", "y#f", "long-address-of-a-page", "z?q=1"])] + [("a.com", 1, 9, "https://b.com/x")], "site string, visit_no int, loc_pos int, loc string")
+    reached = spark.createDataFrame([("a.com", "https://a.com/x")], "site string, url string")
+    seeds = spark.createDataFrame([("a.com", "https://a.com/")], "site string, url string")
+    urls = lambda **k: sorted(r["url"] for r in links.orphan_candidates(listed, reached, **k).collect())
+    assert urls() == ["https://a.com/", "https://a.com/long-address-of-a-page", "https://a.com/y", "https://a.com/z?q=1"]
+    assert urls(seeds=seeds, max_length=20, exclude_patterns=(r"\?", "(", "(?P<n>x)")) == ["https://a.com/y"]
+    assert urls(seeds=seeds, budget=1) == ["https://a.com/y"]
+    assert links._compiles("(?<n>x)") and not links._compiles("(?P<n>x)") and not links._compiles("[")
