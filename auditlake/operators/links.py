@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from auditlake.functions import urls as U
-from auditlake.operators.shuffle import cut_lineage, heavy_keys, salted_join
+from auditlake.operators.shuffle import SALTS, BucketedTables, cut_lineage, heavy_keys, salted_join, stage
 
 MAX_HOPS = 10  # fixed value: redirects followed before giving up
 
@@ -17,7 +18,7 @@ def _compiles(pattern: str) -> bool:
     """A pattern that is no regular expression excludes nothing.  The dialect that runs it decides: that of the JVM."""
     try:
         SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError:
+    except (Py4JJavaError, IllegalArgumentException):
         return False
     return True
 
@@ -94,6 +95,35 @@ def tree_parents(pages: DataFrame, edges: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "depth").join(best, "page_id", "left").select("page_id", "url", "depth", parent.alias("parent_url"))
 
 
+MOST_LEVELS = 8  # settled tables before they are merged into one
+
+
+def _with_salts(nodes: DataFrame, hubs: DataFrame, keys: list[str]) -> DataFrame:
+    """Open nodes with a row for every part of their out-links: one, or ``SALTS`` for a hub."""
+    parts = F.when(F.col("_hub"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return nodes.join(F.broadcast(hubs), keys, "left").withColumn("_salt", F.explode(parts)).drop("_hub")
+
+
+def salted_edges(edges: DataFrame, hubs: DataFrame, keys: list[str]) -> DataFrame:
+    """Out-links with ``_salt``: those of a hub (a node with a large share of all links) are dealt to ``SALTS`` parts."""
+    salt = F.when(F.col("_hub"), F.pmod(F.xxhash64("dst"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    return edges.join(F.broadcast(hubs), keys, "left").withColumn("_salt", salt).drop("_hub")
+
+
+def expanded(edges: DataFrame, open_nodes: DataFrame, hubs: DataFrame, settled: list[DataFrame], keys: list[str]) -> DataFrame:
+    """One round: targets of the open nodes' links that no settled table has, each with its first place in the queue.
+
+    ``edges`` is bucketed by ``keys`` and ``_salt``, the settled tables by ``keys``: only the open nodes and what they reach
+    are exchanged.  A popular target is reduced by the partial minimum.
+    """
+    key = keys[0]
+    best = F.min(F.struct((F.col("depth") + 1).alias("depth"), F.concat("place", F.array(F.col("link_pos").cast("long"))).alias("place")))
+    reached = edges.join(_with_salts(open_nodes, hubs, keys), [*keys, "_salt"]).groupBy(key, F.col("dst").alias("node")).agg(best.alias("best"))
+    for table in settled:
+        reached = reached.join(table, keys, "left_anti")
+    return reached.select(key, "node", "best.depth", "best.place")
+
+
 def bfs(
     edges: DataFrame,
     frontier: DataFrame,
@@ -104,45 +134,34 @@ def bfs(
 ) -> DataFrame:
     """Breadth-first discovery from ``frontier`` (key, node, depth), all sites at once.
 
-    ``edges``: key, src, dst, link_pos, as a stored table (every round reads it).  Nodes beyond ``max_depth`` are discovered but not expanded
-    (``fetched`` is false).  ``visited`` (key, node) resumes an earlier crawl.  ``place`` is the chain of link
-    positions from the seed, which orders a level exactly as a queue would; ``max_pages`` keeps the first pages
-    of each site in that order.  A node is settled once, so the work is one pass over the edges in total; the
-    lineage is cut every round.
+    ``edges``: key, src, dst, link_pos.  Nodes beyond ``max_depth`` are discovered but not expanded (``fetched`` is false).
+    ``visited`` (key, node) resumes an earlier crawl.  ``place`` is the chain of link positions from the seed, which orders a
+    level exactly as a queue would; ``max_pages`` keeps the first pages of each site in that order.
+
+    Links are shuffled once, into buckets by their source; every level found is stored in buckets by node.  A round scans the
+    links where they lie and moves the frontier only.  Stored tables cut the lineage and go when the result is written.
     """
-    level = cut_lineage(frontier.select(key, "node", "depth", F.array(F.coalesce("pos", F.lit(0)).cast("long")).alias("place")))
-    done = level
-    settled = level.select(key, "node") if visited is None else visited.select(key, "node").unionByName(level.select(key, "node"))
-    out_edges = edges.withColumnRenamed("src", "node")
-    hubs = cut_lineage(heavy_keys(out_edges, [key, "node"]))
+    tables, keys = BucketedTables(edges.sparkSession, "bfs"), [key, "node"]
+    out_edges = edges.select(key, F.col("src").alias("node"), "dst", "link_pos")
+    hubs = cut_lineage(heavy_keys(out_edges, keys).withColumn("_hub", F.lit(True)))
+    links = tables.put(salted_edges(out_edges, hubs, keys), [*keys, "_salt"])
+    level = tables.put(frontier.select(key, "node", "depth", F.array(F.coalesce("pos", F.lit(0)).cast("long")).alias("place")), keys)
+    done, settled = [level], [level.select(*keys)]
+    if visited is not None:
+        settled.append(tables.put(visited.select(*keys), keys))
     while True:
-        open_nodes = level.where(F.col("depth") <= max_depth)
-        # a node with a large share of all edges is spread; a popular target is reduced by the partial minimum
-        reached = (
-            salted_join(out_edges, open_nodes, [key, "node"], F.col("dst"), "inner", heavy=hubs)
-            .groupBy(key, F.col("dst").alias("node"))
-            .agg(
-                F.min(
-                    F.struct(
-                        (F.col("depth") + 1).alias("depth"),
-                        F.concat("place", F.array(F.col("link_pos").cast("long"))).alias("place"),
-                    )
-                ).alias("best")
-            )
-        )
-        fresh = reached.join(settled, [key, "node"], "left_anti").select(
-            key, "node", "best.depth", "best.place"
-        )
-        level = cut_lineage(fresh)
+        level = tables.put(expanded(links, level.where(F.col("depth") <= max_depth), hubs, settled, keys), keys)
         if level.isEmpty():
             break
-        done = done.unionByName(level)
-        settled = settled.unionByName(level.select(key, "node"))
-    out = done.withColumn("fetched", F.col("depth") <= max_depth)
+        done.append(level)
+        settled.append(level.select(*keys))
+        if len(settled) > MOST_LEVELS:
+            settled = [tables.put(reduce(DataFrame.unionByName, settled), keys)]
+    out = stage(reduce(DataFrame.unionByName, done).withColumn("fetched", F.col("depth") <= max_depth), "reached")
+    tables.drop()
     if max_pages is not None:
         rank = F.row_number().over(W.partitionBy(key).orderBy("depth", "place"))
-        kept = out.where("fetched").withColumn("_n", rank).where(F.col("_n") <= max_pages).drop("_n")
-        out = kept
+        out = out.where("fetched").withColumn("_n", rank).where(F.col("_n") <= max_pages).drop("_n")
     return out
 
 

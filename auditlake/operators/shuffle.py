@@ -88,3 +88,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     target = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(target)
     return df.sparkSession.read.parquet(target)
+
+
+class BucketedTables:
+    """Tables of one job, bucketed by their join keys in the shared folder, so that joins leave their rows where they are.
+
+    All have as many buckets as there are shuffle partitions.  ``drop`` removes tables and files.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.count = spark, f"{name}_{uuid.uuid4().hex}", 0
+        self.folder = f"{shared_folder(spark)}/{self.name}"
+
+    def put(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        table = f"{self.name}_{self.count}"
+        self.count += 1
+        writer = df.write.format("parquet").bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+        writer.option("path", f"{self.folder}/{table}").saveAsTable(table)
+        return self.spark.table(table)
+
+    def drop(self) -> None:
+        for i in range(self.count):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{i}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -51,7 +51,7 @@ SELECT '/p1' AS node, 0 AS depth UNION SELECT g.dst, r.depth + 1 FROM reach r JO
 
 @query("bfs_depth", _BFS)
 def bfs_depth(spark, sf):
-    return L.bfs(I.stage(_edges(spark, sf), "edges"), _seed(spark, sf), max_depth=8).select("node", "depth")
+    return L.bfs(_edges(spark, sf), _seed(spark, sf), max_depth=8).select("node", "depth")
 
 
 D.CTES["reach2"] = """
@@ -65,7 +65,7 @@ SELECT node, min(depth)::bigint AS depth FROM reach2 WHERE node NOT IN (SELECT n
 def bfs_resume(spark, sf):
     """An interrupted crawl: levels 0 and 1 are stored as visited, level 2 as the pending frontier."""
     edges = I.stage(_edges(spark, sf), "edges")
-    first = I.stage(L.bfs(edges, _seed(spark, sf), max_depth=1), "saved")
+    first = L.bfs(edges, _seed(spark, sf), max_depth=1)
     pending = first.where("depth = 2").select("site", "node", "depth", F.element_at("place", -1).alias("pos"))
     return L.bfs(edges, pending, max_depth=8, visited=first.where("depth < 2")).select("node", "depth")
 

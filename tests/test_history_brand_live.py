@@ -81,8 +81,6 @@ def test_snapshot_and_run_files(spark, tmp_path):
     (tmp_path / "r").mkdir()
     (tmp_path / "r" / "1.json").write_text(json.dumps(run, indent=2))
     assert readers.read_brand_runs(spark, str(tmp_path / "r")).collect()[0].mentions[0].brand == "Acme"
-    path = sinks.save_frontier(snaps.select("seed_url"), str(tmp_path / "f"), 3)
-    assert path.endswith("version=3") and spark.read.parquet(path).count() == 2
     sinks.write_csv(snaps.select("seed_url"), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
 

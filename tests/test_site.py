@@ -3,7 +3,7 @@ import urllib.robotparser
 from pyspark.sql import functions as F
 
 from auditlake.operators import aggregates as A, duplicates, links, robots, rules, sitemaps
-from auditlake.operators.shuffle import number_within, salted_join
+from auditlake.operators.shuffle import BucketedTables, number_within, salted_join
 from helpers import values
 
 ROBOTS = {
@@ -85,6 +85,38 @@ def test_bfs_matches_a_queue(spark):
     assert {r.node for r in links.bfs(table, seed, 6, max_pages=9).collect()} == set(crawl(6, 9)[0])
 
 
+def test_a_round_moves_the_frontier_only(spark):
+    tables, keys = BucketedTables(spark, "round"), ["site", "node"]
+    edges = spark.createDataFrame([("a", f"n{i}", f"n{i * k % 50}", k) for i in range(50) for k in range(3)] + [("a", "hub", f"n{i}", i) for i in range(400)], "site string, node string, dst string, link_pos int")
+    hubs = spark.createDataFrame([("a", "hub", True)], "site string, node string, _hub boolean")
+    stored = tables.put(links.salted_edges(edges, hubs, keys), [*keys, "_salt"])
+    settled = [tables.put(spark.createDataFrame([("a", f"n{i}")], "site string, node string"), keys) for i in (1, 2)]
+    level = tables.put(spark.createDataFrame([("a", "hub", 3, [0]), ("a", "n7", 3, [1])], "site string, node string, depth int, place array<long>"), keys)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = links.expanded(stored, level, hubs, settled, keys)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r["node"]: r["depth"] for r in out.collect()}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert plan.count("Exchange hashpartitioning") == 2, plan  # the open nodes, and what they reach
+    assert plan.count("Bucketed: true") >= 3, plan
+    assert got == {f"n{i}": 4 for i in range(400) if i not in (1, 2)}
+    tables.drop()
+
+
+def test_bfs_of_a_long_chain_leaves_no_table(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    chain = spark.createDataFrame([("a", f"n{i}", f"n{i + 1}", 0) for i in range(14)], "site string, src string, dst string, link_pos int")
+    seed = spark.createDataFrame([("a", "n0", 0, 0)], "site string, node string, depth int, pos int")
+    visited = spark.createDataFrame([("a", "n12")], "site string, node string")
+    assert {r["node"]: r["depth"] for r in links.bfs(chain, seed, 50, visited=visited).collect()} == {f"n{i}": i for i in range(12)}
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_redirect_chains(spark):
     hops = [("a", 301, "b"), ("b", 302, "c"), ("l1", 301, "l2"), ("l2", 301, "l1")] + [(f"s{i}", 301, f"s{i + 1}") for i in range(12)]
     table = spark.createDataFrame(hops, "from_url string, status int, to_url string")
