@@ -68,36 +68,48 @@ def _folded(doc: Column) -> Column:
         start = F.struct(empty.alias("stack"), F.array().cast("array<struct<i:int,ends:string,drop:boolean>>").alias("notes"))
         closing = lambda part: F.array_join(F.transform(F.reverse(part), lambda e: F.concat(F.lit("</"), e, F.lit(">"))), "")
 
+        # every value that is mentioned more than once is bound: spelt out, the expression would grow with each mention
         def step(state: Column, i: Column) -> Column:
-            name, tag, stack = F.get(names, i), F.get(tags, i), state["stack"]
-            depth = F.size(stack)
-            ending = tag.startswith("</")
-            void = name.isin(*VOID) | tag.endswith("/>")
-            last = lambda e: depth - F.array_position(F.reverse(stack), e) + 1  # noqa: E731  place of the innermost e, 1-based; depth + 1: none
-            # end tag: down to its element, if nothing of a higher rank lies within
-            at = last(name)
-            above = F.slice(stack, at + 1, F.greatest(depth - at, F.lit(0)))
-            held = (at <= depth) & ~F.exists(above, lambda e: _rank(e) > _rank(name))
-            # start tag: from the outermost element that it closes, above the last wall
-            wall = F.greatest(F.lit(0), *[F.when(last(w) <= depth, last(w)).otherwise(0) for w in _WALLS])
-            lowest = depth + 1
-            for element, closers in CLOSED_BY.items():
-                reach = F.when(F.lit(element in _ANYWHERE) | (last(element) > wall), last(element)).otherwise(depth + 1)
-                lowest = F.least(lowest, F.when(name.isin(*closers), reach).otherwise(depth + 1))
-            keep = F.when(ending, F.when(held, at - 1).otherwise(depth)).otherwise(lowest - 1)
-            gone = F.slice(stack, keep + 1, F.greatest(depth - keep, F.lit(0)))
-            implied = F.when(ending & held, F.slice(stack, at + 1, F.greatest(depth - at, F.lit(0)))).when(ending, empty).otherwise(gone)
-            left = F.slice(stack, F.lit(1), keep)
-            # an anchor within an anchor: only the outer anchor itself ends
-            outer = last("a")
-            again = ~ending & (name == "a") & (outer <= depth)
-            implied = F.when(again, F.array(F.lit("a"))).otherwise(implied)
-            left = F.when(again, F.concat(F.slice(stack, F.lit(1), outer - 1), F.slice(stack, outer + 1, F.greatest(depth - outer, F.lit(0))))).otherwise(left)
-            after = F.when(ending | void, left).otherwise(F.array_append(left, name))
-            drop = ending & ~held
-            note = F.struct(i.cast("int").alias("i"), closing(implied).alias("ends"), drop.alias("drop"))
-            notes = F.when((F.size(implied) > 0) | drop, F.array_append(state["notes"], note)).otherwise(state["notes"])
-            return F.struct(after.alias("stack"), notes.alias("notes"))
+            seen = F.struct(
+                i.cast("int").alias("i"), F.get(names, i).alias("name"), F.get(tags, i).startswith("</").alias("ending"), F.get(tags, i).endswith("/>").alias("empty"),
+                state["stack"].alias("stack"), F.reverse(state["stack"]).alias("back"), F.size(state["stack"]).alias("depth"), state["notes"].alias("notes"),
+            )
+            return let(seen, moved)
+
+        def moved(s: Column) -> Column:
+            last = lambda e: s["depth"] - F.array_position(s["back"], e) + 1  # noqa: E731  place of the innermost e, 1-based; depth + 1: none
+            inner = lambda e: F.when(F.array_contains(s["stack"], e), last(e)).otherwise(0)
+            places = F.struct(last(s["name"]).alias("at"), F.greatest(F.lit(0), *[inner(w) for w in _WALLS]).alias("wall"), last("a").alias("anchor"))
+            return let(places, lambda p: let(cut(s, p, last), lambda c: let(implied(s, p, c), lambda ends: after(s, p, c, ends))))
+
+        def cut(s: Column, p: Column, last) -> Column:
+            """How much of the stack stays, and whether an end tag has its element there with nothing of a higher rank within."""
+            above = F.slice(s["stack"], p["at"] + 1, F.greatest(s["depth"] - p["at"], F.lit(0)))
+            held = (p["at"] <= s["depth"]) & ~F.exists(above, lambda e: _rank(e) > _rank(s["name"]))
+            none = s["depth"] + 1
+            closed = [
+                F.when(s["name"].isin(*closers), last(e) if e in _ANYWHERE else F.greatest(last(e), F.when(last(e) > p["wall"], F.lit(0)).otherwise(none))).otherwise(none)
+                for e, closers in CLOSED_BY.items()
+            ]
+            again = ~s["ending"] & (s["name"] == "a") & (p["anchor"] <= s["depth"])
+            held = F.coalesce(held, F.lit(False))
+            return F.struct(
+                held.alias("held"), again.alias("again"), F.when(s["ending"], F.when(held, p["at"] - 1).otherwise(s["depth"])).otherwise(F.least(*closed) - 1).alias("keep"),
+            )
+
+        def implied(s: Column, p: Column, c: Column) -> Column:
+            """Elements that end without an end tag of their own, outermost first; of an anchor within an anchor the outer one."""
+            within = lambda place: F.slice(s["stack"], place + 1, F.greatest(s["depth"] - place, F.lit(0)))
+            return F.when(c["again"], F.array(F.lit("a"))).when(s["ending"] & ~c["held"], empty).otherwise(within(F.when(s["ending"], p["at"]).otherwise(c["keep"])))
+
+        def after(s: Column, p: Column, c: Column, ends: Column) -> Column:
+            rest = F.concat(F.slice(s["stack"], F.lit(1), p["anchor"] - 1), F.slice(s["stack"], p["anchor"] + 1, F.greatest(s["depth"] - p["anchor"], F.lit(0))))
+            left = F.when(c["again"], rest).otherwise(F.slice(s["stack"], F.lit(1), c["keep"]))
+            stack = F.concat(left, F.when(s["ending"] | s["empty"] | s["name"].isin(*VOID), empty).otherwise(F.array(s["name"])))
+            drop = s["ending"] & ~c["held"]
+            note = F.struct(s["i"].alias("i"), closing(ends).alias("ends"), drop.alias("drop"))
+            notes = F.when((F.size(ends) > 0) | drop, F.array_append(s["notes"], note)).otherwise(s["notes"])
+            return F.struct(stack.alias("stack"), notes.alias("notes"))
 
         count = F.size(tags)
         walked = F.aggregate(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")), start, step)
