@@ -443,8 +443,8 @@ SELECT *, row_number() OVER (PARTITION BY site ORDER BY total DESC, list_positio
 FROM (SELECT site, category, count_if(severity = 'critical')::bigint AS critical, count_if(severity = 'warning')::bigint AS warning, count_if(severity = 'info')::bigint AS info, count(*) AS total FROM findings GROUP BY ALL)
 """
 CTES["budget"] = """
-SELECT site, count(*) AS total_pages, count_if(is_blocked)::bigint AS blocked_by_robots, count_if(NOT is_blocked AND (status IS NULL OR status >= 400))::bigint AS error_pages,
-  count_if(NOT is_blocked AND status < 400)::bigint AS ok_pages, count_if(list_contains(codes, 'duplicate_content'))::bigint AS duplicate_pages, count_if(is_orphan)::bigint AS orphan_pages
+SELECT site, count(*) AS total_pages, count_if(is_blocked)::bigint AS blocked_by_robots, count(*) FILTER (WHERE NOT is_blocked AND (status IS NULL OR status >= 400)) AS error_pages,
+  count(*) FILTER (WHERE NOT is_blocked AND status < 400) AS ok_pages, count_if(list_contains(codes, 'duplicate_content'))::bigint AS duplicate_pages, count_if(is_orphan)::bigint AS orphan_pages
 FROM page_findings GROUP BY site
 """
 _ADVICE = ", ".join(f"({lit(c)}, {lit(t)}, {lit(w)}, {lit(s[0])}, {lit(chr(10).join(s))})" for c, t, w, s in ADVICE)

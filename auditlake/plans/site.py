@@ -175,7 +175,7 @@ def category_breakdown(spark, sf):
 
 
 @query("audit_totals", """
-SELECT site, count(*) AS total_pages, count_if(NOT is_blocked AND status < 400)::bigint AS ok_pages, round_even(100.0::double * count_if(NOT is_blocked AND status < 400) / count(*), 0)::bigint AS ok_percent, (sum(fetch_ms) / 1000)::double AS fetch_seconds FROM page_findings GROUP BY site""")
+SELECT site, count(*) AS total_pages, count(*) FILTER (WHERE NOT is_blocked AND status < 400) AS ok_pages, round_even(100.0::double * count(*) FILTER (WHERE NOT is_blocked AND status < 400) / count(*), 0)::bigint AS ok_percent, (sum(fetch_ms) / 1000)::double AS fetch_seconds FROM page_findings GROUP BY site""")
 def audit_totals(spark, sf):
     """Share of pages that answered well, and the time spent fetching."""
     return A.ok_share(I.page_states(spark, sf))
