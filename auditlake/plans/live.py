@@ -11,16 +11,17 @@ from auditlake.operators.shuffle import shared_folder
 from auditlake.plans import duck as D
 from auditlake.plans.brand import BRANDS
 from auditlake.plans.registry import query
-from auditlake.streaming import pages as S
+from auditlake.streaming import changes as C, pages as S
 
 u = F.col
+FILES = 64  # files in a micro-batch: bounds its rows whatever has piled up
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def _stream(spark, sf: str, name: str, schema: str) -> DataFrame:
     """One of the supplied files as a file stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", FILES).parquet(sf)
 
 
 def _folders(spark, name: str) -> tuple[str, str]:
@@ -38,32 +39,38 @@ def _fetches(spark, sf: str) -> DataFrame:
     )
 
 
-def _keyed(spark, changes: DataFrame, name: str, keys: list[str]) -> DataFrame:
+def _kept(spark, rows: DataFrame, name: str, merge, partial=None) -> DataFrame:
+    """Follows a stream to its end into a change table and reads it back; ``partial`` reduces a micro-batch first."""
     path, progress = _folders(spark, name)
-    S.write_changes(changes, path, progress).awaitTermination()
-    return S.latest_rows(spark, path, keys)
+    changes = C.ChangeTable(spark, path, merge)
+    put = changes.put if partial is None else lambda batch, number: changes.put(partial(batch), number)
+    rows.writeStream.foreachBatch(put).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return changes.read()
 
 
 @query("stream_upsert", """
 SELECT '/u' || user_id || '/' || (event_id % 7) AS url, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY url""")
 def stream_upsert(spark, sf):
     pages = _fetches(spark, sf).select("url", "event_id", "event_type", "value")
-    return _keyed(spark, S.upserts(pages, "url", "event_id"), "upsert", ["url"])
+    return _kept(spark, pages, "upsert", C.latest(["url"], "event_id"))
 
 
 _COUNTS = """
 SELECT user_id % 20 AS site, count(*) AS pages, count_if(event_type IN ('error', 'signup'))::bigint AS error_pages, count_if(event_type NOT IN ('error', 'signup'))::bigint AS ok_pages FROM events GROUP BY 1"""
 
 
+_COUNTED = C.totals(["site"], ["pages", "error_pages", "ok_pages"])
+
+
 @query("stream_counts", _COUNTS)
 def stream_counts(spark, sf):
-    return _keyed(spark, S.running_counts(_fetches(spark, sf)), "counts", ["site"])
+    return _kept(spark, _fetches(spark, sf), "counts", _COUNTED, S.running_counts)
 
 
 @query("stream_progress", f"SELECT site, pages, least(500, greatest(CASE WHEN site % 3 = 0 THEN 500 ELSE 40 * site END, pages))::bigint AS estimate FROM ({_COUNTS})")
 def stream_progress(spark, sf):
     """Size estimate from the running counters; every third site has no sitemap."""
-    counts = _keyed(spark, S.running_counts(_fetches(spark, sf)), "progress", ["site"])
+    counts = _kept(spark, _fetches(spark, sf), "progress", _COUNTED, S.running_counts)
     sitemap = F.when(u("site") % 3 == 0, F.lit(0)).otherwise(u("site") * 40)
     return counts.select("site", "pages", S.estimated_total(u("pages"), sitemap).cast("long").alias("estimate"))
 
@@ -76,7 +83,7 @@ def _throttled(spark, sf):
 @query("stream_backoff", """
 SELECT 'h' || (user_id % 20) AS host, max(floor(epoch_us(ts) / 1000000) + CASE WHEN event_id % 2 = 0 THEN floor(value) ELSE 1.5 END)::double AS backoff_until, count(*) AS throttles FROM events WHERE event_type = 'error' GROUP BY 1""")
 def stream_backoff(spark, sf):
-    return _keyed(spark, S.backoff_until(_throttled(spark, sf)), "backoff", ["host"])
+    return _kept(spark, _throttled(spark, sf), "backoff", C.totals(["host"], ["throttles"], ["backoff_until"]), S.backoff_until)
 
 
 D.CTES["throttle_times"] = "SELECT DISTINCT 'h' || (user_id % 20) AS host, floor(epoch_us(ts) / 1000000)::double AS t FROM events WHERE event_type = 'error'"
@@ -89,20 +96,26 @@ UNION ALL SELECT host, nt FROM (SELECT w.host, (SELECT min(e.t) FROM throttle_ti
 @query("stream_backoff_notices", "SELECT host, t AS notified_at FROM notice_walk")
 def stream_backoff_notices(spark, sf):
     path, progress = _folders(spark, "notices")
-    S.append_stream(S.backoff_notices(_throttled(spark, sf)), path, progress).awaitTermination()
+    with S.ordered_store(spark):
+        S.append_stream(S.backoff_notices(_throttled(spark, sf)), path, progress).awaitTermination()
     return spark.read.schema("host string, notified_at double").parquet(path)
 
 
 @query("stream_frontier", """
-SELECT 'https://u' || user_id || '.example.com/' AS seed_url, (2 * count(*) - count_if(event_type = 'click'))::bigint AS pending, max(epoch_us(ts) // 1000) AS saved_at FROM events GROUP BY user_id""")
+SELECT seed_url, pending, saved_at, saved_at + 604800000 <= newest - 3600000 AS expired FROM (
+  SELECT 'https://u' || user_id || '.example.com/' AS seed_url, (2 * count(*) - count_if(event_type = 'click'))::bigint AS pending, max(epoch_us(ts) // 1000) AS saved_at FROM events GROUP BY user_id), (SELECT max(epoch_us(ts)) // 1000 AS newest FROM events)""")
 def stream_frontier(spark, sf):
-    """Pending work per crawl: two addresses found per event, one taken on a click."""
+    """Pending work per crawl: two addresses found per event, one taken on a click; silent crawls have expired."""
     events = _stream(spark, sf, "events", EVENTS)
     changes = events.select(
         F.concat(F.lit("https://u"), u("user_id").cast("string"), F.lit(".example.com/")).alias("seed_url"), "ts", F.unix_millis("ts").alias("unix_ms"),
         F.lit(2).alias("added"), F.when(u("event_type") == "click", F.lit(1)).otherwise(F.lit(0)).alias("taken"))
-    state = _keyed(spark, S.frontier_state(changes).where("NOT expired"), "frontier", ["seed_url"])
-    return state.select("seed_url", "pending", "saved_at")
+    path, progress = _folders(spark, "frontier")
+    states = C.ChangeTable(spark, path, C.latest(["seed_url"], "batch_no"))
+    with S.ordered_store(spark):
+        S.frontier_state(changes).writeStream.outputMode("update").option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(
+            lambda batch, number: states.put(batch.withColumn("batch_no", F.lit(number)), number)).start().awaitTermination()
+    return states.read().select("seed_url", "pending", "saved_at", "expired")
 
 
 @query("stream_mentions", "SELECT resp_id, brand, position, is_domain_citation FROM mention_rows WHERE resp_id IN (SELECT resp_id FROM responses)")

@@ -1,19 +1,19 @@
 """Live feeds: page upserts, running counters, throttling, frontier state and answer analysis.
 
-Every job is restartable from its checkpoint.  Keyed results go to an append-only change table written by
-``foreachBatch``: a batch that is replayed after a lost executor overwrites its own partition, and readers take the
-newest version of each key.  Nothing is rewritten as the table grows and nothing passes through the driver.
+Every job is restartable from its checkpoint.  What adds up (upserts, counters, pauses of hosts) is an aggregate of a
+micro-batch kept in a change table (``streaming/changes.py``) and needs no state.  What depends on order or silence
+(notices, frontiers) is a stateful processor with event-time timers on an ordered store.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from auditlake.functions import text as X
 
@@ -41,12 +41,6 @@ def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return newest.select(*keys, "row.*")
 
 
-def upserts(pages: DataFrame, key: str, seq: str) -> DataFrame:
-    """Last write wins per key.  State is one row per key."""
-    rest = [c for c in pages.columns if c not in (key, seq)]
-    return pages.groupBy(key).agg(F.max(F.struct(seq, *rest)).alias("row")).select(key, "row.*")
-
-
 def running_counts(pages: DataFrame, delay: str | None = None) -> DataFrame:
     """Dashboard counters per site; with ``delay`` they are per site and hour behind a watermark on ``ts``,
     which bounds the state of an endless feed."""
@@ -83,57 +77,98 @@ def backoff_until(log: DataFrame) -> DataFrame:
     )
 
 
-def _notices(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else float("-inf")
-    times = sorted(t for pdf in batches for t in pdf["unix_ts"])
-    told = []
-    for t in times:
-        if t - last > NOTICE_GAP:
-            told.append(t)
-            last = t
-    state.update((last,))
-    yield pd.DataFrame({"host": [key[0]] * len(told), "notified_at": told})
-
-
-def backoff_notices(log: DataFrame) -> DataFrame:
-    """At most one notice per host and three seconds.  Only the throttled rows' times reach Python, a micro-batch
-    at a time."""
-    seconds = throttle_events(log).select("host", F.col("unix_ts").cast("double").alias("unix_ts"))
-    return seconds.groupBy("host").applyInPandasWithState(
-        _notices, "host string, notified_at double", "last double", "append", GroupStateTimeout.NoTimeout
-    )
+class _Notices(StatefulProcessor):
+    """A host's throttled moments are timers: the store keeps them in time order, a task holds one at a time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "told double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        for row in rows:
+            # one millisecond early, so that the newest moment of the feed is behind the watermark too
+            self.handle.registerTimer(int(row["unix_ts"] * 1000) - 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        moment = (expiredTimerInfo.getExpiryTimeInMs() + 1) / 1000
+        if self.last.exists() and moment - self.last.get()[0] <= NOTICE_GAP:
+            return
+        self.last.update((moment,))
+        yield Row(host=key[0], notified_at=moment)
+
+    def close(self) -> None:
+        """Nothing is held."""
+
+
+def backoff_notices(log: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """At most one notice per host and three seconds, in the order of ``unix_ts`` (to the millisecond).
+
+    A notice goes out when the watermark has passed its moment: rows that come up to ``delay`` late take their place, later
+    ones are dropped, and a feed that stands still keeps the notices of its last ``delay`` to itself.  Without delay only
+    the rows of one micro-batch are brought into order.  A host of any size keeps its moments in the store.
+    """
+    timed = log.withColumn("_at", F.timestamp_micros((F.col("unix_ts") * 1000000).cast("long"))).withWatermark("_at", delay)
+    moments = throttle_events(timed).select("host", F.col("unix_ts").cast("double").alias("unix_ts"))
+    return moments.groupBy("host").transformWithState(_Notices(), "host string, notified_at double", "append", "eventTime")
 
 
 EXPIRY_MS = 7 * 24 * 3600 * 1000
 
 
-def _frontier(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame({"seed_url": [key[0]], "pending": [0], "saved_at": [0], "expired": [True]})
-        return
-    pending, saved_at = state.get if state.exists else (0, 0)
-    for pdf in batches:
-        pending += int(pdf["added"].sum()) - int(pdf["taken"].sum())
-        saved_at = max(saved_at, int(pdf["unix_ms"].max()))
-    state.update((pending, saved_at))
-    state.setTimeoutTimestamp(max(saved_at + EXPIRY_MS, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"seed_url": [key[0]], "pending": [pending], "saved_at": [saved_at], "expired": [False]})
+class _Frontier(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.work = handle.getValueState("work", "pending long, saved_at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        known = self.work.get() if self.work.exists() else None
+        pending, saved_at = known or (0, 0)
+        if known:
+            self.handle.deleteTimer(saved_at + EXPIRY_MS)
+        for row in rows:
+            pending += row["added"] - row["taken"]
+            saved_at = max(saved_at, row["unix_ms"])
+        self.work.update((pending, saved_at))
+        self.handle.registerTimer(saved_at + EXPIRY_MS)
+        yield Row(seed_url=key[0], pending=pending, saved_at=saved_at, expired=False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        pending, saved_at = self.work.get()
+        self.work.clear()
+        yield Row(seed_url=key[0], pending=pending, saved_at=saved_at, expired=True)
+
+    def close(self) -> None:
+        """Nothing is held."""
 
 
 def frontier_state(changes: DataFrame) -> DataFrame:
-    """Pending work per crawl; a crawl that stays silent for seven days is dropped from the state.
+    """Pending work per crawl; a crawl that stays silent for seven days is reported as expired and leaves the state.
 
-    ``changes``: seed_url, ts (timestamp), unix_ms, added, taken.
+    ``changes``: seed_url, ts (timestamp), unix_ms, added, taken.  Time is event time: a crawl expires when the watermark,
+    one hour behind the newest change of any crawl, passes its last change by seven days.
     """
     return (
-        changes.withWatermark("ts", "1 hour").groupBy("seed_url").applyInPandasWithState(
-            _frontier, "seed_url string, pending long, saved_at long, expired boolean", "pending long, saved_at long",
-            "update", GroupStateTimeout.EventTimeTimeout,
-        )
+        changes.withWatermark("ts", "1 hour").groupBy("seed_url")
+        .transformWithState(_Frontier(), "seed_url string, pending long, saved_at long, expired boolean", "update", "eventTime")
     )
 
 
+@contextmanager
+def ordered_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which timers need; those of the session before are untouched."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def append_stream(rows: DataFrame, path: str, checkpoint: str):
     """Starts a stateless job with an exactly-once file sink."""
     return (

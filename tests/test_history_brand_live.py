@@ -90,7 +90,8 @@ def test_streams(spark, tmp_path):
     schema = "host string, unix_ts double, status int, retry_after string"
     spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(str(tmp_path / "in"))
-    S.append_stream(S.backoff_notices(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    with S.ordered_store(spark):
+        S.append_stream(S.backoff_notices(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     want = set()
     for host in ("h0", "h1"):
         last = float("-inf")
