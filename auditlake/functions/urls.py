@@ -208,3 +208,21 @@ def resolve_against(href: Column, parts: Column, keep_fragment: bool = False) ->
 
 def resolve(href: Column, base: Column, keep_fragment: bool = False) -> Column:
     return let(base_parts(base), lambda parts: resolve_against(href, parts, keep_fragment))
+
+
+def percent_decoded(text: Column) -> Column:
+    """Escapes as the characters they stand for; malformed escapes stay, bytes that are no UTF-8 become U+FFFD."""
+    parts = F.regexp_extract_all(text, F.lit("((?:%[0-9A-Fa-f]{2})+|[^%]+|%)"), F.lit(1))
+    spelled = F.transform(
+        parts,
+        lambda t: F.when(t.rlike("^%[0-9A-Fa-f]{2}"), F.make_valid_utf8(F.unhex(F.replace(t, F.lit("%"), F.lit(""))).cast("string"))).otherwise(t),
+    )
+    return F.when(text.contains("%"), F.array_join(spelled, "")).otherwise(text)
+
+
+def percent_encoded(text: Column) -> Column:
+    """Everything but letters, digits and ``/ - . _ ~`` as escapes of its UTF-8 bytes."""
+    coded = F.url_encode(text)
+    for form, plain in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        coded = F.replace(coded, F.lit(form), F.lit(plain))
+    return coded

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from auditlake.operators.shuffle import salted_join
+from auditlake.operators.shuffle import running_before, salted_join
 
 
 def snapshot_pages(codes: DataFrame, ts: str = "crawl_ts") -> DataFrame:
@@ -22,16 +22,16 @@ def crawls(pages: DataFrame) -> DataFrame:
     return each.withColumn("previous_ts", F.lag("crawl_ts").over(by_site)).withColumn("next_ts", F.lead("crawl_ts").over(by_site))
 
 
-def previous_snapshot(requests: DataFrame, pages: DataFrame) -> DataFrame:
-    """Latest snapshot strictly before each request (site, before_ts): one sorted pass over crawls and requests.
+def previous_snapshot(requests: DataFrame, pages: DataFrame, width: float = 4096) -> DataFrame:
+    """Latest snapshot strictly before each request (site, before_ts): one scan over crawls and requests.
 
-    Requests and crawls are unioned and the last crawl time is carried forward, so no pair is ever formed.
+    Requests and crawls are unioned and the last crawl time is carried forward, so no pair is ever formed.  A site's times
+    are cut into blocks of ``width``, so a site of any size is scanned by many tasks.
     """
     events = pages.select("site", F.col("crawl_ts").alias("at"), F.col("crawl_ts").alias("seen"), F.lit(1).alias("kind")).distinct().unionByName(
         requests.select("site", F.col("before_ts").alias("at"), F.lit(None).cast("long").alias("seen"), F.lit(0).alias("kind")).distinct()
     )
-    before = W.partitionBy("site").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, -1)
-    found = events.withColumn("previous_ts", F.max("seen").over(before)).where("kind = 0")
+    found = running_before(events, "site", ["at", "kind"], F.floor(F.col("at") / width), F.col("seen"), "max", "previous_ts").where("kind = 0")
     return found.select("site", F.col("at").alias("before_ts"), "previous_ts")
 
 

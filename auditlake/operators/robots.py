@@ -1,7 +1,7 @@
 """Robots files: parsing, permissions and site findings.
 
-A robots file is one bounded document, so its rules travel as one array per site and pages are checked in place;
-pages are never multiplied by rules.
+Paths of rules and addresses are compared in one form: decoded, then encoded again.  Rules are found by the first ``HEAD``
+characters of an address; only rules shorter than that travel with every page of a site.  Pages are never multiplied by rules.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def group_for_bot(rules: DataFrame, bot: Column) -> DataFrame:
                 F.collect_list(
                     F.when(
                         F.col("directive").isin("allow", "disallow"),
-                        F.struct("rule_no", ((F.col("directive") == "allow") | (F.col("value") == "")).alias("allow"), F.col("value").alias("path")),
+                        F.struct("rule_no", ((F.col("directive") == "allow") | (F.col("value") == "")).alias("allow"), rule_path(F.col("value")).alias("path")),
                     )
                 )
             )
@@ -97,23 +97,46 @@ def group_for_bot(rules: DataFrame, bot: Column) -> DataFrame:
     return usable.groupBy("site").agg(F.min_by(F.struct("group_no", "delay", "rules"), F.struct("is_default", "group_no")).alias("decision"))
 
 
+def _without_empty_parts(address: Column) -> Column:
+    """Without a ``;``, ``?`` or ``#`` that nothing follows."""
+    for empty in (r"(?s)^((?:[^?#]*/)?[^/?#;]*);(?=$|[?#])", r"(?s)^([^?#]*)\?(?=$|#)", r"(?s)^([^#]*)#$"):
+        address = F.regexp_replace(address, empty, "$1")
+    return address
+
+
+def rule_path(value: Column) -> Column:
+    """Path of a rule in the form that is compared."""
+    return U.percent_encoded(_without_empty_parts(U.percent_decoded(value)))
+
+
 def robots_path(url: Column) -> Column:
-    q = U.query(url)
-    full = F.concat(U.path(url), F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
+    """What follows the host of an address, in the form that is compared."""
+    tail = F.regexp_replace(U.percent_decoded(url), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?", "")
+    full = U.percent_encoded(_without_empty_parts(tail))
     return F.when(full == "", F.lit("/")).otherwise(full)
 
 
 def verdict(decision_rules: Column, path: Column) -> Column:
     """First rule whose path is a prefix decides; nothing matching means allowed."""
-    hits = F.filter(decision_rules, lambda r: (r.path == "*") | path.startswith(r.path))
+    hits = F.filter(decision_rules, lambda r: path.startswith(r.path))
     return F.coalesce(F.get(hits, F.lit(0)).allow, F.lit(True))
 
 
+HEAD = 8
+
+
 def robots_allowed(pages: DataFrame, docs: DataFrame, user_agent: str) -> DataFrame:
     """Adds ``is_allowed`` for one crawler; a site without a file allows everything."""
     decisions = group_for_bot(robots_rules(docs), F.lit(user_agent)).select("site", F.col("decision.rules").alias("_rules"))
-    joined = salted_join(pages, decisions, ["site"], F.col("page_id"))
-    return joined.withColumn("is_allowed", verdict(F.col("_rules"), robots_path(F.col("url")))).drop("_rules")
+    short = decisions.select("site", F.filter("_rules", lambda r: F.length(r.path) < HEAD).alias("_short"))
+    split = decisions.select("site", F.explode(F.filter("_rules", lambda r: F.length(r.path) >= HEAD)).alias("_rule"))
+    long = split.groupBy("site", F.substring("_rule.path", 1, HEAD).alias("_head")).agg(F.sort_array(F.collect_list("_rule")).alias("_long"))
+    keyed = pages.withColumn("_path", robots_path(F.col("url"))).withColumn("_head", F.substring("_path", 1, HEAD))
+    joined = salted_join(keyed, short, ["site"], F.col("page_id"), counted=pages)
+    joined = salted_join(joined, long, ["site", "_head"], F.col("page_id"), counted=keyed)
+    none = F.array().cast("array<struct<rule_no:int,allow:boolean,path:string>>")
+    candidates = F.sort_array(F.concat(F.coalesce("_short", none), F.coalesce("_long", none)))
+    return joined.withColumn("is_allowed", verdict(candidates, F.col("_path"))).drop("_short", "_long", "_path", "_head")
 
 
 def crawl_delays(docs: DataFrame, user_agent: str) -> DataFrame:
@@ -131,7 +154,7 @@ def bot_access(sites: DataFrame, docs: DataFrame) -> DataFrame:
         F.collect_set(F.lower("agent")).alias("agents"),
         F.array_distinct(F.sort_array(F.collect_list(F.when(
             F.col("directive").isin("allow", "disallow"),
-            F.struct("rule_no", ((F.col("directive") == "allow") | (F.col("value") == "")).alias("allow"), F.col("value").alias("path")))))).alias("rules"),
+            F.struct("rule_no", ((F.col("directive") == "allow") | (F.col("value") == "")).alias("allow"), rule_path(F.col("value")).alias("path")))))).alias("rules"),
     )
     files = groups.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("group_no", "agents", "rules"))).alias("groups"))
     bots = F.array(*[F.struct(F.lit(i).alias("bot_no"), F.lit(b).alias("bot"), F.lit(d).alias("description")) for i, (b, d) in enumerate(AI_BOTS)])

@@ -48,19 +48,56 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def number_within(df: DataFrame, key: str, order: list[str], block: Column, name: str = "rn") -> DataFrame:
-    """Exact 1-based ``row_number`` over ``key`` ordered by ``order`` without sorting a whole key in one task.
+FAN = 1024  # blocks under one head in a prefix scan
+_SCANS = {
+    "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+    "max": (F.max, F.greatest),
+    "min": (F.min, F.least),
+}
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which a null key equals a null key; ``right`` has each key once."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}" if c in keys else c) for c in right.columns])
+    return left.join(renamed, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], "left").drop(*[f"_r_{k}" for k in keys])
+
+
+def _before_blocks(blocks: DataFrame, key: str, how: str, levels: int) -> DataFrame:
+    """Adds ``_before``: ``_value`` combined over the earlier blocks of the key.  ``blocks``: key, _block, _value.
 
-    ``block`` must not decrease along ``order``.  Rows are numbered inside (key, block); the offset of a block
-    is a running sum over the block counts, one row per block.
+    A window sees the blocks under one head only; what lies before the head comes from the scan over heads.
     """
-    cut = df.withColumn("_block", block)
-    counts = cut.groupBy(key, "_block").agg(F.count("*").alias("_n"))
-    running = W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(key, "_block", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
-    local = F.row_number().over(W.partitionBy(key, "_block").orderBy(*order))
-    numbered = cut.withColumn("_local", local).join(offsets, [key, "_block"])
-    return numbered.withColumn(name, F.col("_local") + F.col("_before")).drop("_block", "_local", "_before")
+    combine, both = _SCANS[how]
+    if levels == 0:
+        earlier = W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+        return blocks.withColumn("_before", combine("_value").over(earlier))
+    under = blocks.withColumn("_head", F.floor(F.col("_block") / FAN))
+    heads = under.groupBy(key, F.col("_head").alias("_block")).agg(combine("_value").alias("_value"))
+    heads = _before_blocks(heads, key, how, levels - 1).select(key, F.col("_block").alias("_head"), F.col("_before").alias("_ahead"))
+    earlier = W.partitionBy(key, "_head").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    scanned = _same(under.withColumn("_in", combine("_value").over(earlier)), heads, [key, "_head"])
+    return scanned.select(key, "_block", "_value", both(F.col("_in"), F.col("_ahead")).alias("_before"))
+
+
+def running_before(df: DataFrame, key: str, order: list[str], block: Column, value: Column, how: str, name: str) -> DataFrame:
+    """``value`` combined (sum, max or min) over all rows of the key before each row, for keys of any size.
+
+    ``block`` is a whole number that must not decrease along ``order`` and should change every few thousand rows.  Rows are
+    scanned inside (key, block), blocks inside heads of ``FAN`` blocks, and so on: no task ever holds a whole key.  Before
+    the first row stands null, or 0 for a sum.  Null keys are a key of their own.
+    """
+    combine, both = _SCANS[how]
+    cut = df.withColumn("_block", block.cast("long")).withColumn("_value", value)
+    blocks = cut.groupBy(key, "_block").agg(combine("_value").alias("_value"))
+    offsets = _before_blocks(blocks, key, how, 2).select(key, "_block", "_before")
+    earlier = W.partitionBy(key, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    scanned = _same(cut.withColumn("_local", combine("_value").over(earlier)), offsets, [key, "_block"])
+    return scanned.withColumn(name, both(F.col("_local"), F.col("_before"))).drop("_block", "_value", "_local", "_before")
+
+
+def number_within(df: DataFrame, key: str, order: list[str], block: Column, name: str = "rn") -> DataFrame:
+    """Exact 1-based ``row_number`` over ``key`` ordered by ``order``, for keys of any size (see ``running_before``)."""
+    return running_before(df, key, order, block, F.lit(1), "sum", name).withColumn(name, F.col(name) + 1)
 
 
 def shared_folder(spark: SparkSession) -> str:

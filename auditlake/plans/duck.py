@@ -281,18 +281,20 @@ SELECT site, bot_no, arg_min(group_no, (is_default::int, group_no)) AS group_no
 WHERE is_default OR named GROUP BY site, bot_no
 """
 CTES["bot_rules"] = """
-SELECT DISTINCT g.site, g.bot_no, r.rule_no, r.directive = 'allow' OR r.value = '' AS allow, r.value AS path
+SELECT DISTINCT g.site, g.bot_no, r.rule_no, r.directive = 'allow' OR r.value = '' AS allow, replace(url_encode(url_decode(r.value)), '%2F', '/') AS path
 FROM bot_groups g JOIN robots_all r ON r.site = g.site AND r.group_no = g.group_no AND r.directive IN ('allow', 'disallow')
 """
-CTES["page_verdicts"] = f"""
+CTES["robots_paths"] = """
+SELECT page_id, site, CASE WHEN tail = '' THEN '/' ELSE replace(url_encode(tail), '%2F', '/') END AS tail
+FROM (SELECT page_id, site, regexp_replace(regexp_replace(url_decode(url), '^[a-zA-Z]+://[^/?#]*', ''), '[?#]$', '') AS tail FROM fetch_rows)
+"""
+CTES["page_verdicts"] = """
 SELECT p.page_id, coalesce(arg_min(r.allow, r.rule_no), true) AS is_allowed
-FROM fetch_rows p LEFT JOIN bot_rules r ON r.site = p.site AND r.bot_no = 98 AND (r.path = '*' OR starts_with(
-  CASE WHEN {path('p.url')} = '' AND {query_part('p.url')} = '' THEN '/' ELSE {path('p.url')} || CASE WHEN {query_part('p.url')} = '' THEN '' ELSE '?' || {query_part('p.url')} END END, r.path))
-GROUP BY p.page_id
+FROM robots_paths p LEFT JOIN bot_rules r ON r.site = p.site AND r.bot_no = 98 AND starts_with(p.tail, r.path) GROUP BY p.page_id
 """
 CTES["site_bot_access"] = """
 SELECT s.site, b.bot_no, b.bot, b.description, s.site IN (SELECT site FROM robots_docs) AS robots_found,
-  coalesce((SELECT arg_min(r.allow, r.rule_no) FROM bot_rules r WHERE r.site = s.site AND r.bot_no = b.bot_no AND (r.path = '*' OR starts_with('/', r.path))), true) AS allowed
+  coalesce((SELECT arg_min(r.allow, r.rule_no) FROM bot_rules r WHERE r.site = s.site AND r.bot_no = b.bot_no AND starts_with('/', r.path)), true) AS allowed
 FROM site_list s CROSS JOIN bots b WHERE b.bot_no < 90
 """
 CTES["sitemap_files"] = """

@@ -39,7 +39,7 @@ def previous_snapshot(spark, sf):
     """As-of lookup for every requested moment."""
     requests = table(spark, sf, "event_log").select(
         (u("user_id") % 20).alias("site"), (F.floor((u("unix_ts") - 1704067200) / 86400) + u("event_id") % 3).alias("before_ts")).distinct()
-    return H.previous_snapshot(requests, _codes(spark, sf))
+    return H.previous_snapshot(requests, _codes(spark, sf), width=8)
 
 
 @query("crawl_diff", "SELECT site, previous_ts, crawl_ts, url, array_to_string(added, ',') AS new_codes, array_to_string(resolved, ',') AS resolved_codes FROM pairs WHERE len(added) > 0 OR len(resolved) > 0")

@@ -50,13 +50,11 @@ def priority_flags(pages: DataFrame, priority: DataFrame) -> DataFrame:
 
 
 def site_signals(spark: SparkSession, sf: str, pages: DataFrame, sitemap: DataFrame) -> DataFrame:
-    """Per page: may it be fetched, and does its site have a sitemap.  One row per site, joined once."""
-    decisions = robots.group_for_bot(robots.robots_rules(tables.table(spark, sf, "robots_docs")), F.lit(AGENT))
-    per_site = decisions.select("site", F.col("decision.rules").alias("rules")).join(
-        sitemaps.sites_with_sitemap(sitemap).withColumn("site_has_sitemap", F.lit(True)), "site", "full")
-    joined = salted_join(pages.select("page_id", "site", "url"), per_site, ["site"], F.col("page_id"))
-    allowed = robots.verdict(F.col("rules"), robots.robots_path(F.col("url")))
-    return joined.select("page_id", (~allowed).alias("is_blocked"), "site_has_sitemap")
+    """Per page: may it be fetched, and does its site have a sitemap."""
+    verdicts = robots.robots_allowed(pages.select("page_id", "site", "url"), tables.table(spark, sf, "robots_docs"), AGENT)
+    with_sitemap = sitemaps.sites_with_sitemap(sitemap).withColumn("site_has_sitemap", F.lit(True))
+    joined = salted_join(verdicts, with_sitemap, ["site"], F.col("page_id"), counted=pages)
+    return joined.select("page_id", (~F.col("is_allowed")).alias("is_blocked"), "site_has_sitemap")
 
 
 def seeds(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,7 +157,12 @@ def crawl(spark: SparkSession, sf: str) -> _Crawl:
 
 def versioned(spark: SparkSession, name: str) -> VersionedTable:
     """A table of its own in the shared folder."""
-    return VersionedTable(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return VersionedTable(spark, folder(spark, name))
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place under the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def crawled(spark: SparkSession, sf: str) -> DataFrame:

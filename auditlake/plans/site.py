@@ -8,6 +8,7 @@ from auditlake.functions import html as H, text as X
 from auditlake.functions.binding import unpack
 from auditlake.operators import aggregates as A, broken_assets, duplicates, facts as page_facts, keywords as K, links as L, render, robots, rules, site_rules, sitemaps
 from auditlake.operators.advice import advice_table, with_advice
+from auditlake.operators.grid import SortedGrid
 from auditlake.plans import duck as D, inputs as I
 from auditlake.plans.registry import query
 from auditlake.sources import sinks
@@ -64,6 +65,23 @@ def audit_grid(spark, sf):
         F.array_join("keywords", ", ").alias("keywords"), F.array_join("tech", ", ").alias("tech"), F.size("issues").alias("issue_count"), A.max_severity().alias("max_severity"))
 
 
+_ORDERS = [("title", False), ("word_count", True)]
+
+
+@query("audit_grid_sorted", """
+SELECT 'title' AS sorted_by, row_number() OVER (ORDER BY title ASC NULLS FIRST, page_id) AS position, page_id, title, word_count FROM page_findings
+UNION ALL SELECT 'word_count', row_number() OVER (ORDER BY word_count DESC NULLS LAST, page_id), page_id, title, word_count FROM page_findings""")
+def audit_grid_sorted(spark, sf):
+    """The grid sorted by two of its columns: every page's place in each order, from stored ranges."""
+    rows = I.audited(spark, sf).select("page_id", "title", "word_count")
+    placed = []
+    for column, descending in _ORDERS:
+        grid = SortedGrid(spark, I.folder(spark, "grid"), column, "page_id", descending)
+        grid.save(rows)
+        placed.append(grid.positions().select(F.lit(column).alias("sorted_by"), "position", "page_id", "title", "word_count"))
+    return placed[0].unionByName(placed[1])
+
+
 @query("grid_filters", """
 SELECT page_id, n_issues > 0 AS any_issue, is_orphan AS orphan, list_contains(categories, 'duplicates') AS duplicate, list_contains(categories, 'meta') AS meta, list_contains(categories, 'links') AS links FROM page_findings""")
 def grid_filters(spark, sf):

@@ -121,7 +121,7 @@ SELECT site, CASE length(site) % 5
   WHEN 0 THEN 'User-agent: *' || chr(10) || 'Disallow:' || chr(10) || chr(10) || 'Sitemap: https://' || site || '/sitemap_index.xml' || chr(10)
   WHEN 1 THEN '# reglas' || chr(10) || 'User-agent: GPTBot' || chr(10) || 'User-agent: CCBot' || chr(10) || 'Disallow: /' || chr(10) || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /fr/ # nota' || chr(10) || 'Allow: /' || chr(10) || 'Crawl-delay: 2.5' || chr(10) || 'Sitemap: https://' || site || '/sitemap_index.xml'
   WHEN 2 THEN 'User-agent: *' || chr(10) || 'Disallow: /' || chr(10)
-  ELSE 'User-agent: SiteAuditBot' || chr(10) || 'Crawl-delay: 3' || chr(10) || 'Allow: /en/' || chr(10) || 'Disallow: /de/' || chr(10) || 'Disallow: /es/' || chr(10) || chr(10) || 'Disallow: /perdida' || chr(10) || 'User-agent: *' || chr(10) || 'Crawl-delay: 7' || chr(10) || 'Disallow: /de/' END AS text
+  ELSE 'User-agent: SiteAuditBot' || chr(10) || 'Crawl-delay: 3' || chr(10) || 'Allow: /en/' || chr(10) || 'Disallow: /de/' || chr(10) || 'Disallow: /%65s/' || chr(10) || chr(10) || 'Disallow: /perdida' || chr(10) || 'User-agent: *' || chr(10) || 'Crawl-delay: 7' || chr(10) || 'Disallow: /de/' END AS text
 FROM {site_list} WHERE length(site) % 5 <> 3
 """,
 )
