@@ -157,7 +157,7 @@ def battery_plan(spark, sf):
 
 _INTENTS = list(B.INTENT_LABELS)
 D.CTES["parsed_words"] = """
-SELECT doc_id, lang, regexp_extract(text, '([a-zA-Z]+)', 1) AS w1, regexp_extract(text, '[a-zA-Z]+[^a-zA-Z]+([a-zA-Z]+)', 1) AS w2 FROM documents WHERE doc_id % 3 = 0 OR doc_id % 7 <> 1
+SELECT doc_id, lang, w1, trim(upper(w1)) AS w2 FROM (SELECT doc_id, coalesce(lang, '') AS lang, regexp_replace(coalesce(text, ''), '[^a-zA-Z]+', ' ', 'g') AS w1 FROM documents) WHERE doc_id % 3 = 0 OR doc_id % 7 <> 1
 """
 
 

@@ -83,7 +83,7 @@ def brand_runs_load(spark, sf):
         "target", "created_at", "answer_no", "provider", "query", "intent", "repetition", "web_search", "text", "error", shown.alias("mentions"), u("framing")["Thing"].alias("tone"))
 
 
-D.CTES["heads"] = r"SELECT doc_id, lang, regexp_replace(replace(replace(substr(text, 1, 20), '<', ''), '&', ''), '\s+$', '') AS head FROM documents"
+D.CTES["heads"] = r"SELECT doc_id, coalesce(lang, '') AS lang, regexp_replace(replace(replace(coalesce(text, ''), '<', ''), '&', ''), '\s+$', '') AS head FROM documents"
 
 
 @query("feed_items", """

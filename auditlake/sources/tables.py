@@ -270,7 +270,7 @@ SELECT doc_id, '<rss><channel><title>SEO</title><item><title>SEO y ' || head ||
   || '<item><title> Motores de Búsqueda: ' || cast(doc_id as string) || ' </title><link> https://n.example/m </link><pubDate>ayer</pubDate></item>'
   || '<item><title>ChatGPT sin enlace</title><link></link></item><item><title></title><link>https://n.example/z</link></item>'
   || '<item><title>LLM &amp; buscadores</title><link>https://n.example/l</link><source>Solo</source></item></channel></rss>' AS xml
-FROM (SELECT doc_id, lang, replace(replace(substr(text, 1, 20), '<', ''), '&', '') AS head FROM {documents}) d
+FROM (SELECT doc_id, coalesce(lang, '') AS lang, replace(replace(coalesce(text, ''), '<', ''), '&', '') AS head FROM {documents}) d
 """,
 )
 
@@ -290,7 +290,7 @@ DERIVED["battery_replies"] = (
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '```json' || chr(10) ELSE 'Claro: ' END
   || '{{"comparativa": [" ' || w1 || ' ", "", "' || w2 || '", "tercera", "cuarta", "quinta"], "transaccional": ["' || lang || '"], "otra": ["x"]}}'
   || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '```' WHEN doc_id % 7 = 1 THEN ' }} mal' ELSE ' fin' END AS reply
-FROM (SELECT doc_id, lang, regexp_extract(text, '([a-zA-Z]+)', 1) AS w1, regexp_extract(text, '[a-zA-Z]+[^a-zA-Z]+([a-zA-Z]+)', 1) AS w2 FROM {documents}) d
+FROM (SELECT doc_id, lang, w1, upper(w1) AS w2 FROM (SELECT doc_id, coalesce(lang, '') AS lang, regexp_replace(coalesce(text, ''), '[^a-zA-Z]+', ' ') AS w1 FROM {documents}) t) d
 """,
 )
 
