@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from auditlake.functions import urls as U
-from auditlake.operators.shuffle import salted_join
+from auditlake.operators.shuffle import salted_join, stage
 
 # Crawlers of assistants, in display order.
 AI_BOTS = [
@@ -132,7 +132,8 @@ def robots_allowed(pages: DataFrame, docs: DataFrame, user_agent: str) -> DataFr
     split = decisions.select("site", F.explode(F.filter("_rules", lambda r: F.length(r.path) >= HEAD)).alias("_rule"))
     long = split.groupBy("site", F.substring("_rule.path", 1, HEAD).alias("_head")).agg(F.sort_array(F.collect_list("_rule")).alias("_long"))
     keyed = pages.withColumn("_path", robots_path(F.col("url"))).withColumn("_head", F.substring("_path", 1, HEAD))
-    joined = salted_join(keyed, short, ["site"], F.col("page_id"), counted=pages)
+    keyed = stage(keyed, "robots")  # read by the join and by both counts of heavy keys
+    joined = salted_join(keyed, short, ["site"], F.col("page_id"))
     joined = salted_join(joined, long, ["site", "_head"], F.col("page_id"), counted=keyed)
     none = F.array().cast("array<struct<rule_no:int,allow:boolean,path:string>>")
     candidates = F.sort_array(F.concat(F.coalesce("_short", none), F.coalesce("_long", none)))
