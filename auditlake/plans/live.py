@@ -20,8 +20,11 @@ DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def _stream(spark, sf: str, name: str, schema: str) -> DataFrame:
-    """One of the supplied files as a file stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", FILES).parquet(sf)
+    """One of the supplied tables as a file stream.
+
+    A table is a file or a folder of files: the pattern fits its own name only, and a path with a pattern may end in either.
+    """
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _folders(spark, name: str) -> tuple[str, str]:
@@ -127,4 +130,5 @@ def stream_mentions(spark, sf):
         F.when(u("doc_id") % 50 == 0, F.lit("")).otherwise(u("text")).alias("text"), F.when(u("doc_id") % 50 == 0, F.lit("HTTP 429")).otherwise(F.lit("")).alias("error"))
     path, progress = _folders(spark, "mentions")
     S.append_stream(B.brand_mentions(B.with_mentions(answers, BRANDS)), path, progress).awaitTermination()
-    return spark.read.parquet(path).select("resp_id", "brand", "position", "is_domain_citation")
+    written = spark.read.schema("resp_id long, brand string, position int, is_domain_citation boolean").parquet(path)
+    return written.select("resp_id", "brand", "position", "is_domain_citation")
