@@ -8,6 +8,7 @@ micro-batch kept in a change table (``streaming/changes.py``) and needs no state
 from __future__ import annotations
 
 import sys
+from bisect import bisect_right
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -77,25 +78,64 @@ def backoff_until(log: DataFrame) -> DataFrame:
     )
 
 
+SPAN_MS = 3600 * 1000  # moments of one host that are kept, and told, together
+HELD = 1 << 18  # distinct moments of a micro-batch that a task gathers before it stores them
+
+
 class _Notices(StatefulProcessor):
-    """A host's throttled moments are timers: the store keeps them in time order, a task holds one at a time."""
+    """A host's throttled moments by hour, each hour sorted and without repetition, with one timer at its first moment.
+
+    The store keeps the timers in time order; a task holds one hour at a time, and what is done for each moment stays
+    inside the task.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "told double")
+        self.spans = handle.getMapState("spans", "span long", "moments array<long>")
+
+    def _store(self, fresh: dict[int, set[int]]) -> None:
+        for span, moments in fresh.items():
+            known = self.spans.getValue((span,))[0] if self.spans.containsKey((span,)) else []
+            first = min(moments)
+            if not known or first < known[0]:
+                if known:
+                    self.handle.deleteTimer(known[0] - 1)
+                # one millisecond early, so that the newest moment of the feed is behind the watermark too
+                self.handle.registerTimer(first - 1)
+            self.spans.updateValue((span,), (sorted(moments.union(known)),))
+        fresh.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        fresh, held = {}, 0
         for row in rows:
-            # one millisecond early, so that the newest moment of the feed is behind the watermark too
-            self.handle.registerTimer(int(row["unix_ts"] * 1000) - 1)
+            moment = int(row["unix_ts"] * 1000)
+            span = fresh.setdefault(moment // SPAN_MS, set())
+            if moment not in span:
+                span.add(moment)
+                held += 1
+            if held == HELD:
+                self._store(fresh)
+                held = 0
+        self._store(fresh)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        moment = (expiredTimerInfo.getExpiryTimeInMs() + 1) / 1000
-        if self.last.exists() and moment - self.last.get()[0] <= NOTICE_GAP:
-            return
-        self.last.update((moment,))
-        yield Row(host=key[0], notified_at=moment)
+        first = expiredTimerInfo.getExpiryTimeInMs() + 1
+        span = first // SPAN_MS
+        moments = self.spans.getValue((span,))[0]
+        passed = bisect_right(moments, max(first, timerValues.getCurrentWatermarkInMs()))
+        told = self.last.get()[0] if self.last.exists() else None
+        for moment in (m / 1000 for m in moments[:passed]):
+            if told is None or moment - told > NOTICE_GAP:
+                told = moment
+                yield Row(host=key[0], notified_at=moment)
+        self.last.update((told,))
+        if passed < len(moments):
+            self.spans.updateValue((span,), (moments[passed:],))
+            self.handle.registerTimer(moments[passed] - 1)
+        else:
+            self.spans.removeKey((span,))
 
     def close(self) -> None:
         """Nothing is held."""

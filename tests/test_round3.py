@@ -25,3 +25,59 @@ def test_streams_read_tables_of_many_files(spark, tmp_path, name, table):
 def test_stream_without_rows_gives_none(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert QUERIES["stream_mentions"](spark, str(tmp_path)).collect() == []
+
+
+def test_notices_cost_one_timer_an_hour(monkeypatch):
+    """A host's moments are stored and told by hour: what goes through the state store does not grow with every moment."""
+    from auditlake.streaming import pages as S
+
+    calls = []
+
+    class Value:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Map(dict):
+        containsKey, getValue, removeKey, updateValue = dict.__contains__, dict.get, dict.pop, dict.__setitem__
+
+    class Handle:
+        timers = set()
+
+        def getValueState(self, *_):
+            return Value()
+
+        def getMapState(self, *_):
+            return Map()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.discard(at)
+
+    class Now:
+        def __init__(self, at):
+            self.at = at
+
+        getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: self.at
+
+    monkeypatch.setattr(S, "HELD", 100)
+    processor, handle, told = S._Notices(), Handle(), []
+    processor.init(handle)
+    assert list(processor.handleInputRows(("h",), iter([{"unix_ts": float(t)} for t in reversed(range(4000, 6000))] * 2), Now(0))) == []
+    assert len(handle.timers) == 1 and len(calls) <= 25
+    for watermark in (5000 * 1000, 9000 * 1000):
+        due = min(handle.timers)
+        handle.timers.discard(due)
+        told += [r.notified_at for r in processor.handleExpiredTimer(("h",), Now(watermark), Now(due))]
+    assert told == [float(t) for t in range(4000, 6000, 4)] and not handle.timers and len(calls) <= 30
