@@ -67,7 +67,7 @@ def snapshot_load(spark, sf):
 SELECT 'Thing' AS target, (r.resp_id // 16)::double AS created_at, row_number() OVER (PARTITION BY r.resp_id // 16 ORDER BY r.resp_id) - 1 AS answer_no, r.provider, r.query, r.intent, r.repetition, r.web_search, r.text, r.error,
   coalesce((SELECT string_agg(m.brand || ':' || m.position, ',' ORDER BY m.position) FROM mention_rows m WHERE m.resp_id = r.resp_id), '') AS mentions, CASE WHEN r.resp_id % 2 = 0 THEN 'positivo' ELSE 'neutro' END AS tone FROM responses r""")
 def brand_runs_load(spark, sf):
-    """Runs written as indented documents, one a file, and read back answer by answer."""
+    """Runs written as indented documents, many to a file, and read back answer by answer."""
     analyses = B.with_mentions(table(spark, sf, "responses"), BRANDS)
     response = F.struct("provider", "query", "intent", u("repetition").cast("int").alias("repetition"), "web_search", F.lit(0.7).alias("temperature"), "text", "error", F.lit(0.0).alias("timestamp"))
     # a run holds a bounded number of answers: sixteen here
@@ -77,7 +77,7 @@ def brand_runs_load(spark, sf):
     answers = F.transform("rows", lambda r: F.struct(r.response.alias("response"), r.mentions.alias("mentions"), tone(r).alias("framing")))
     document = F.struct(u("run").cast("double").alias("created_at"), F.struct(F.struct(F.lit("Thing").alias("name")).alias("target")).alias("config"), answers.alias("analyses"))
     path = _folder(spark, "brand-runs")
-    runs.select("run", F.to_json(document, {"pretty": "true"}).alias("value")).repartition("run").write.partitionBy("run").text(path)
+    runs.select(F.to_json(document, {"pretty": "true"}).alias("value")).write.option("lineSep", readers.RECORD_SEPARATOR).text(path)
     shown = F.array_join(F.transform("mentions", lambda m: F.concat(m.brand, F.lit(":"), m.position.cast("string"))), ",")
     return readers.read_brand_runs(spark, path).select(
         "target", "created_at", "answer_no", "provider", "query", "intent", "repetition", "web_search", "text", "error", shown.alias("mentions"), u("framing")["Thing"].alias("tone"))

@@ -64,9 +64,16 @@ def snapshot_catalog(snapshots: DataFrame) -> DataFrame:
     ).orderBy(F.desc("crawl_ts"))
 
 
+RECORD_SEPARATOR = "\u001e"
+
+
 def read_brand_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Brand runs (indented JSON, one document per file) as answer rows with the stored analysis."""
-    runs = spark.read.schema(RUN_SCHEMA).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
+    """Brand runs (indented JSON documents) as answer rows with the stored analysis.
+
+    A file holds one document, or any number of them with a record separator between: a control character, which JSON
+    never holds unescaped.
+    """
+    runs = spark.read.schema(RUN_SCHEMA).option("lineSep", RECORD_SEPARATOR).option("recursiveFileLookup", "true").json(path)
     return brand_answers(runs)
 
 

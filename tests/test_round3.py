@@ -81,3 +81,16 @@ def test_notices_cost_one_timer_an_hour(monkeypatch):
         handle.timers.discard(due)
         told += [r.notified_at for r in processor.handleExpiredTimer(("h",), Now(watermark), Now(due))]
     assert told == [float(t) for t in range(4000, 6000, 4)] and not handle.timers and len(calls) <= 30
+
+
+def test_brand_runs_share_files(spark, tmp_path, monkeypatch):
+    """Sixteen answers are a document, but a document is no file: their number must not grow with the answers."""
+    import glob
+
+    from auditlake.plans import sources_sinks
+
+    monkeypatch.setattr(sources_sinks, "_folder", lambda spark, name: f"{tmp_path}/{name}")
+    rows = QUERIES["brand_runs_load"](spark, SF)
+    runs = rows.select("created_at").distinct().count()
+    files = glob.glob(f"{tmp_path}/brand-runs/**/part-*", recursive=True)
+    assert runs > 10 and len(files) <= 8
