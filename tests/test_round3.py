@@ -94,3 +94,31 @@ def test_brand_runs_share_files(spark, tmp_path, monkeypatch):
     runs = rows.select("created_at").distinct().count()
     files = glob.glob(f"{tmp_path}/brand-runs/**/part-*", recursive=True)
     assert runs > 10 and len(files) <= 8
+
+
+def test_text_of_a_page_costs_its_length(spark):
+    """Blanks of every kind are trimmed as before, and a long run of them within a text is passed once."""
+    import time
+
+    from auditlake.functions import html as H
+    from helpers import one
+
+    every = [chr(i) for i in range(1, 0x3002) if not 0xD800 <= i < 0xE000]
+    blanks = "".join(c for c in every if c.isspace())
+    assert one(spark, H.trim_ws, f"{blanks}a{blanks}b{blanks}") == f"a{blanks}b"
+    assert one(spark, H.visible_text, f"{blanks}<p>{blanks}a b{blanks}</p>{blanks}<i>{blanks}c") == "a b c"
+    assert one(spark, H.word_count, blanks.join("abc")) == 3
+    began = time.perf_counter()
+    run = " " * 150000
+    got = one(spark, H.visible_text, f"<p>a{run}b</p>{run}<p>c</p>")
+    assert len(got) == 150004 and time.perf_counter() - began < 20
+
+
+def test_common_and_rare_names_are_decoded(spark):
+    from html import unescape
+
+    from auditlake.functions import html as H
+    from helpers import one
+
+    text = "&lt;&ntilde;&nbsp;&zwnj;&Zopf;&hellip;&ThickSpace;&quot;&unknown;&amp;lt;"
+    assert one(spark, H.decode_entities, text) == unescape(text.replace("&unknown;", "U")).replace("U", "&unknown;")
