@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from auditlake.plans import ORACLE, QUERIES
 
@@ -122,3 +123,53 @@ def test_common_and_rare_names_are_decoded(spark):
 
     text = "&lt;&ntilde;&nbsp;&zwnj;&Zopf;&hellip;&ThickSpace;&quot;&unknown;&amp;lt;"
     assert one(spark, H.decode_entities, text) == unescape(text.replace("&unknown;", "U")).replace("U", "&unknown;")
+
+
+def test_a_bucket_is_one_file(spark):
+    """Rounds of a walk open every file of the links, so their number must not be tasks times buckets."""
+    from auditlake.operators.shuffle import BucketedTables
+
+    for buckets in (None, 3):
+        tables = BucketedTables(spark, "files", *[buckets][: buckets is not None])
+        stored = tables.put(spark.range(0, 4000, 1, 8), ["id"])
+        assert len(stored.inputFiles()) == (buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        assert stored.count() == 4000
+        tables.drop()
+
+
+def test_settled_nodes_meet_what_is_reached_not_all_links(spark):
+    from auditlake.operators import links
+    from auditlake.operators.shuffle import BucketedTables
+
+    tables, keys = BucketedTables(spark, "late"), ["site", "node"]
+    edges = spark.createDataFrame([("a", f"n{i}", f"n{i * k % 50}", k) for i in range(50) for k in range(3)], "site string, node string, dst string, link_pos int")
+    hubs = spark.createDataFrame([], "site string, node string, _hub boolean")
+    stored = tables.put(links.salted_edges(edges, hubs, keys), [*keys, "_salt"])
+    settled = [tables.put(spark.createDataFrame([("a", f"n{i}")], "site string, node string"), keys) for i in (0, 7)]
+    level = tables.put(spark.createDataFrame([("a", "n7", 3, [1])], "site string, node string, depth int, place array<long>"), keys)
+    out = links.expanded(stored, level, hubs, settled, keys)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan[plan.rindex("Aggregate"):].count("Join") == 2, plan  # the open nodes and their parts
+    assert [(r["node"], r["depth"]) for r in out.collect()] == [("n14", 4)]
+    tables.drop()
+
+
+@pytest.mark.parametrize("fan", [3, 400])
+def test_walks_with_and_without_a_hub(spark, monkeypatch, fan):
+    """One store of the links serves several walks; no round is run without a node to expand."""
+    from auditlake.operators import links
+
+    edges = [("a", "n0", f"n{i}", i) for i in range(1, fan + 1)] + [("a", f"n{i}", f"m{i}", 0) for i in range(1, 61)] + [("a", f"m{i}", "n0", 0) for i in range(1, 61)]
+    table = spark.createDataFrame(edges, "site string, src string, dst string, link_pos int")
+    seed = spark.createDataFrame([("a", "n0", 0, 0)], "site string, node string, depth int, pos int")
+    want = {"n0": 0} | {f"n{i}": 1 for i in range(1, fan + 1)} | {f"m{i}": 2 for i in range(1, min(fan, 60) + 1)}
+    rounds, expanded = [], links.expanded
+    monkeypatch.setattr(links, "expanded", lambda *a: rounds.append(1) or expanded(*a))
+    before = {t.name for t in spark.catalog.listTables()}
+    with links.StoredLinks(table) as stored:
+        assert (stored.hubs is not None) == (fan == 400)
+        first = links.bfs(stored, seed, 0)
+        assert {r["node"]: r["depth"] for r in first.collect()} == {n: d for n, d in want.items() if d < 2} and len(rounds) == 1
+        again = links.bfs(stored, first.where("depth = 1").withColumn("pos", F.element_at("place", -1)), 5, visited=first.where("depth = 0"))
+        assert {r["node"]: r["depth"] for r in again.collect()} == {n: d for n, d in want.items() if d > 0}
+    assert {t.name for t in spark.catalog.listTables()} == before
