@@ -64,10 +64,10 @@ UNION SELECT g.dst, r.depth + 1 FROM reach2 r JOIN links_graph g ON g.src = r.no
 SELECT node, min(depth)::bigint AS depth FROM reach2 WHERE node NOT IN (SELECT node FROM reach GROUP BY node HAVING min(depth) < 2) GROUP BY node""")
 def bfs_resume(spark, sf):
     """An interrupted crawl: levels 0 and 1 are stored as visited, level 2 as the pending frontier."""
-    edges = I.stage(_edges(spark, sf), "edges")
-    first = L.bfs(edges, _seed(spark, sf), max_depth=1)
-    pending = first.where("depth = 2").select("site", "node", "depth", F.element_at("place", -1).alias("pos"))
-    return L.bfs(edges, pending, max_depth=8, visited=first.where("depth < 2")).select("node", "depth")
+    with L.StoredLinks(_edges(spark, sf)) as links:
+        first = L.bfs(links, _seed(spark, sf), max_depth=1)
+        pending = first.where("depth = 2").select("site", "node", "depth", F.element_at("place", -1).alias("pos"))
+        return L.bfs(links, pending, max_depth=8, visited=first.where("depth < 2")).select("node", "depth")
 
 
 @query("orphan_pages", "SELECT site, url FROM orphans WHERE length(url) <= 60 AND NOT contains(url, '?')")

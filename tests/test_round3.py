@@ -173,3 +173,11 @@ def test_walks_with_and_without_a_hub(spark, monkeypatch, fan):
         again = links.bfs(stored, first.where("depth = 1").withColumn("pos", F.element_at("place", -1)), 5, visited=first.where("depth = 0"))
         assert {r["node"]: r["depth"] for r in again.collect()} == {n: d for n, d in want.items() if d > 0}
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_a_resumed_crawl_stores_its_links_once(spark, monkeypatch):
+    from auditlake.operators.shuffle import BucketedTables
+
+    put, stored = BucketedTables.put, []
+    monkeypatch.setattr(BucketedTables, "put", lambda self, df, keys: stored.append("dst" in df.columns) or put(self, df, keys))
+    assert QUERIES["bfs_resume"](spark, SF).count() > 100 and sum(stored) == 1
